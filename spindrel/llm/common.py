@@ -99,3 +99,10 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         if new == state:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
         state = new
+
+
+def unique_docs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """key, doc_id, text without rows that repeat an id with the same text. A count of keys, without
+    texts, finds whether there are any; only then are texts grouped."""
+    rows = narrow(docs, id_col, text_col)
+    return rows.dropDuplicates(["key"]) if not rows.groupBy("key").count().where("count > 1").isEmpty() else rows
