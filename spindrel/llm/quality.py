@@ -102,20 +102,51 @@ def encode(texts: pa.Array, vocabulary: np.ndarray) -> Encoded:
     return Encoded(np.zeros(0, np.int64), np.zeros(0, np.int64), dense.astype(np.float32), first)
 
 
+def _parts(texts: pa.Array) -> Iterator[tuple[int, pa.Array]]:
+    """The texts in runs of about a megabyte, each with the number of its first."""
+    at = 0
+    for part in slices(pa.RecordBatch.from_arrays([texts], names=["text"]), "text"):
+        yield at, part["text"]
+        at += part.num_rows
+
+
+def encode_all(texts: pa.Array, vocabulary: np.ndarray) -> Encoded:
+    """encode(), run by run, so that memory holds the scratch arrays of one only."""
+    parts, base = [encode(pa.array([], pa.string()), vocabulary)], 0
+    for _, part in _parts(texts):
+        e = encode(part, vocabulary)
+        parts.append(Encoded(e.passage + base, e.column, e.dense, e.first[1:] + base))
+        base += int(e.first[-1])
+    return Encoded(*(np.concatenate([getattr(x, name) for x in parts]) for name in ("passage", "column", "dense", "first")))
+
+
 def select_vocabulary(texts: pa.Array, labels: np.ndarray, size: int = VOCABULARY) -> tuple[np.ndarray, np.ndarray]:
     """The features most associated with any label, sorted by hash, and their log odds by label."""
-    words = Words(texts)
-    number, value = _features(words)
-    order = np.lexsort((words.doc[number], value))
-    value, doc = value[order], words.doc[number][order]
-    once = np.ones(len(value), bool)
-    once[1:] = (value[1:] != value[:-1]) | (doc[1:] != doc[:-1])
-    value, doc = value[once], doc[once]
-    entries, start, df = np.unique(value, return_index=True, return_counts=True)
+    K, tallies = labels.shape[1], []
+    for at, part in _parts(texts):
+        words = Words(part)
+        number, value = _features(words)
+        doc = words.doc[number].astype(np.int32)
+        order = np.lexsort((doc, value))
+        value, doc = value[order], doc[order]
+        once = np.ones(len(value), bool)
+        once[1:] = (value[1:] != value[:-1]) | (doc[1:] != doc[:-1])
+        value, doc = value[once], doc[once] + at
+        if len(value):
+            start = np.flatnonzero(np.concatenate([[True], value[1:] != value[:-1]]))
+            tallies.append((value[start], np.diff(np.append(start, len(value))), *[np.add.reduceat(labels[doc, k], start) for k in range(K)]))
+    if not tallies:
+        return np.zeros(0, np.uint64), np.zeros((0, K), np.float32)
+    value, *counts = (np.concatenate(x) for x in zip(*tallies))
+    order = np.argsort(value, kind="stable")
+    value = value[order]
+    start = np.flatnonzero(np.concatenate([[True], value[1:] != value[:-1]]))
+    entries = value[start]
+    df, *positive = (np.add.reduceat(x[order], start) for x in counts)
     n = len(labels)
     odds, strength = np.zeros((len(entries), labels.shape[1])), np.zeros(len(entries))
     for k in range(labels.shape[1]):
-        pos = np.add.reduceat(labels[doc, k], start) if len(entries) else np.zeros(0)
+        pos = positive[k]
         neg, p = df - pos, labels[:, k].sum()
         odds[:, k] = np.log((pos + 0.5) / (p + 1)) - np.log((neg + 0.5) / (n - p + 1))
         expected = df * p / max(n, 1)
@@ -183,7 +214,7 @@ def train(texts: pa.Array, labels: np.ndarray, epochs: int = EPOCHS, seed: int =
     """
     rng = np.random.default_rng(seed)
     vocabulary, odds = select_vocabulary(texts, labels)
-    e = encode(texts, vocabulary)
+    e = encode_all(texts, vocabulary)
     K, V = len(HEADS), len(vocabulary)
     E = rng.normal(0, 0.02, (V, HIDDEN))
     for k in range(K):
@@ -246,7 +277,7 @@ def train(texts: pa.Array, labels: np.ndarray, epochs: int = EPOCHS, seed: int =
                 m2[name] += 0.001 * (g[name] ** 2 - m2[name])
                 w[name] -= (RATE * (m1[name] / (1 - 0.9**step)) / (np.sqrt(m2[name] / (1 - 0.999**step)) + 1e-7)).astype(np.float32)
     if len(held):
-        scores = model.score(texts.take(pa.array(held)))[0]
+        scores = np.concatenate([model.score(part)[0] for _, part in _parts(texts.take(pa.array(held)))])
         for k in range(K):
             model.thresholds[k] = _threshold(scores[:, k], labels[held, k])
     return model
