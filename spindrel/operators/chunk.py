@@ -134,6 +134,23 @@ def chunk_documents(docs: DataFrame, options: ChunkOptions = ChunkOptions(), emb
     return rows.mapInPandas(_chunker(embed, options, digits, attempts, rescue), f"doc_id {kind}, chunks array<string>, status string")
 
 
+def window_gaps(docs: DataFrame, buffer: int = 2, embed: Embed = letter_embed, id_col: str = "doc_id", text_col: str = "text", digits: int | None = None) -> DataFrame:
+    """doc_id, d: distances of consecutive windows of every document that has two windows or more.
+
+    One pass over Arrow batches: as nested column expressions the vectors are
+    computed again at every use.
+    """
+    rows = docs.select(F.col(id_col).alias("doc_id"), sentences(preprocess(F.col(text_col))).alias("segments")).where(F.size("segments") > buffer)
+    kind = rows.schema["doc_id"].dataType.simpleString()
+
+    def gaps(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            spans = [[" ".join(s[i : i + buffer]) for i in range(len(s) - buffer + 1)] for s in batch["segments"].map(list)]
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "d": [distances(np.asarray(embed(x)), digits) for x in spans]})
+
+    return rows.mapInPandas(gaps, f"doc_id {kind}, d array<double>")
+
+
 def exploded(chunked: DataFrame) -> DataFrame:
     """doc_id, pos, chunk."""
     return chunked.select("doc_id", F.posexplode("chunks").alias("pos", "chunk"))

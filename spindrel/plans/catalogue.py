@@ -107,12 +107,7 @@ def letter_embedding(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _distances(spark: SparkSession, d: str) -> DataFrame:
-    # counts of letters add up, so a window's vector is the sum of its sentences'
-    rows = _segments(spark, d).where(F.size("s") >= 2).select("doc_id", F.transform("s", T.letter_counts).alias("v"))
-    wins = F.transform(F.sequence(F.lit(0), F.size("v") - 2), lambda i: F.zip_with(F.get("v", i), F.get("v", i + 1), lambda x, y: x + y))
-    rows = rows.select("doc_id", wins.alias("w")).where(F.size("w") >= 2)
-    gaps = F.transform(F.sequence(F.lit(0), F.size("w") - 2), lambda i: F.round(1 - cosine(F.get("w", i), F.get("w", i + 1)), 6))
-    return rows.select("doc_id", gaps.alias("d"))
+    return C.window_gaps(table(spark, d, "documents"), digits=6)
 
 
 @query(f"WITH {_SEGS}, {_WINS}, {_VECS}, {_DIST} SELECT doc_id, pos, distance FROM dist")
@@ -130,7 +125,7 @@ def semantic_chunks(spark: SparkSession, d: str) -> DataFrame:
     return C.exploded(C.chunk_documents(table(spark, d, "documents"), digits=6))
 
 
-@query(_CHUNKS + "SELECT lang, count(*) AS chunks, count(DISTINCT doc_id) AS docs, sum(length(chunk)) AS chars FROM chunks JOIN (SELECT doc_id, lang FROM documents) USING (doc_id) GROUP BY lang")
+@query(_CHUNKS + "SELECT lang, count(*) AS chunks, count(DISTINCT doc_id) AS docs, CAST(sum(length(chunk)) AS BIGINT) AS chars FROM chunks JOIN (SELECT doc_id, lang FROM documents) USING (doc_id) GROUP BY lang")
 def chunk_stats_by_lang(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents")
     # the language rides in the id, so that nothing is joined
