@@ -69,35 +69,53 @@ def _hits(grams: np.ndarray | None, n: int):
     return hits
 
 
+def _cut(words: Words, part: pa.RecordBatch, row: np.ndarray, item: np.ndarray, at: np.ndarray, reach: int) -> pa.RecordBatch:
+    """Of each row and item with seeds at words `at`: the word hashes within reach of any seed, run by run."""
+    order = np.lexsort((at, item, row))
+    row, item, at = row[order], item[order], at[order]
+    begin = np.flatnonzero(np.concatenate([[True], (np.diff(row) != 0) | (np.diff(item) != 0) | (np.diff(at) > reach)])) if len(at) else at
+    last = at[np.append(begin[1:], len(at)) - 1] if len(at) else at
+    row, item = row[begin], item[begin]
+    base = words.first[row]
+    lo, hi = np.maximum(at[begin] - reach, 0), np.minimum(last + reach, words.first[row + 1] - base)
+    spans = [signed(words.hash[x:y]) for x, y in zip((base + lo).tolist(), (base + hi).tolist())]
+    return pa.RecordBatch.from_arrays(
+        [part["key"].take(pa.array(row)), part["doc_id"].take(pa.array(row)), pa.array(item, pa.int64()), pa.array(lo.astype(np.int32)), pa.array(spans, pa.list_(pa.int64()))],
+        names=["key", "doc_id", "item", "lo", "words"],
+    )
+
+
 def _windows(reach: int):
-    """Of each text with its seed positions: the word hashes within reach of any seed, run by run."""
+    """_cut() of each text by the seed positions that come with it."""
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
-                words = Words(part["text"])
-                out: list[tuple] = []
-                for r, seeds in enumerate(part["seeds"].to_pylist()):
-                    base, size = words.first[r], words.first[r + 1] - words.first[r]
-                    by_item: dict[int, list[int]] = {}
-                    for s in seeds:
-                        by_item.setdefault(s["item"], []).append(s["at"])
-                    for item, places in by_item.items():
-                        places.sort()
-                        a = places[0]
-                        for i, p in enumerate(places):
-                            if i + 1 == len(places) or places[i + 1] - p > reach:
-                                lo, hi = max(0, a - reach), min(size, p + reach)
-                                out.append((part["key"][r].as_py(), part["doc_id"][r].as_py(), item, int(lo), signed(words.hash[base + lo : base + hi])))
-                                a = places[i + 1] if i + 1 < len(places) else 0
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int64()), pa.array([o[2] for o in out], pa.int64()), pa.array([o[3] for o in out], pa.int32()), pa.array([o[4] for o in out], pa.list_(pa.int64()))],
-                    names=["key", "doc_id", "item", "lo", "words"],
-                )
+                seeds = [(r, s["item"], s["at"]) for r, all_ in enumerate(part["seeds"].to_pylist()) for s in all_]
+                yield _cut(Words(part["text"]), part, *np.array(seeds, np.int64).reshape(-1, 3).T, reach)
 
     return windows
 
 
+def _seeded(grams: np.ndarray, items: np.ndarray, n: int, reach: int):
+    """_cut() of each text by the seeds found in it; grams ascend, and items[i] is an item that grams[i] is a seed of."""
+
+    def seeded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                words = Words(part["text"])
+                at, gram = words.grams(n)
+                first, end = np.searchsorted(grams, gram), np.searchsorted(grams, gram, side="right")
+                hit = np.flatnonzero(end > first)
+                much = (end - first)[hit]
+                entry = np.repeat(first[hit] - np.cumsum(much) + much, much) + np.arange(much.sum())
+                at = np.repeat(at[hit], much)
+                row = words.doc[at]
+                yield _cut(words, part, row, items[entry], at - words.first[row], reach)
+
+    return seeded
+
+
 def _align(min_score: float):
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -134,8 +152,10 @@ def contaminated(
     min_score of a perfect copy's.
 
     The n-grams of the benchmark are searched as one sorted array in every task
-    while there are at most broadcast_grams (8 bytes each); beyond that, all
-    n-grams of the corpus join them by shuffle. Results are the same.
+    while there are at most broadcast_grams (8 bytes each, and 16 for a seed with
+    its item): the corpus is read once to count them and once to cut windows
+    about the seeds, and no text is shuffled. Beyond that, all n-grams of the
+    corpus join them by shuffle. Results are the same.
 
     - Nulls, empty texts and those below n words, on either side, match nothing.
     - Rows that repeat an id with the same text are one document, or one item.
@@ -148,11 +168,10 @@ def contaminated(
     of_items = written(items.mapInArrow(_hits(None, n), gram_type).select(F.col("key").alias("item"), "gram").distinct(), "item-grams")
     size = of_items.count()
     if size <= broadcast_grams:
-        grams = np.sort(np.array([r[0] for r in of_items.select("gram").distinct().collect()], np.int64).view(np.uint64))
+        grams = np.sort(of_items.select("gram").distinct().toArrow()["gram"].to_numpy().view(np.uint64))
         found = docs.mapInArrow(_hits(grams, n), gram_type)
     else:
-        found = docs.mapInArrow(_hits(None, n), gram_type).join(of_items.select("gram").distinct(), "gram", "left_semi").select("key", "doc_id", "gram", "at")
-    found = written(found.distinct(), "hits")
+        found = written(docs.mapInArrow(_hits(None, n), gram_type).join(of_items.select("gram").distinct(), "gram", "left_semi").select("key", "doc_id", "gram", "at").distinct(), "hits")
     df = found.select("gram", "key").distinct().groupBy("gram").agg(F.count("*").alias("df"))
     total = docs.count()
     seen = of_items.join(df, "gram")
@@ -160,9 +179,16 @@ def contaminated(
     seeds = seen.withColumn("rank", rank).where((F.col("df") <= rare_df * total) | (F.col("rank") <= rare_share)).select("item", "gram")
     lists = written(items.mapInArrow(_item_words, "item long, item_id long, item_words array<long>"), "items")
     reach = lists.agg(F.max(F.size("item_words"))).first()[0] or 1
-    per_doc = written(found.join(seeds, "gram").groupBy("key").agg(F.collect_set(F.struct("item", "at")).alias("seeds")), "seeds")
-    texts = docs.join(per_doc if small(per_doc) else per_doc.hint("shuffle_hash"), "key").select("key", "doc_id", "text", "seeds")
-    pairs = texts.mapInArrow(_windows(reach), "key long, doc_id long, item long, lo int, words array<long>").distinct()
+    window_type = "key long, doc_id long, item long, lo int, words array<long>"
+    if size <= broadcast_grams:
+        chosen = seeds.toArrow()
+        gram, item = chosen["gram"].to_numpy().view(np.uint64), chosen["item"].to_numpy()
+        order = np.lexsort((item, gram))
+        pairs = docs.mapInArrow(_seeded(gram[order], item[order], n, reach), window_type).distinct()
+    else:
+        per_doc = written(found.join(seeds, "gram").groupBy("key").agg(F.collect_set(F.struct("item", "at")).alias("seeds")), "seeds")
+        texts = docs.join(per_doc if small(per_doc) else per_doc.hint("shuffle_hash"), "key").select("key", "doc_id", "text", "seeds")
+        pairs = texts.mapInArrow(_windows(reach), window_type).distinct()
     scored = pairs.join(lists, "item").mapInArrow(_align(min_score), "key long, doc_id long, item long, item_id long, score double, start_word int, end_word int")
     best = scored.groupBy("key", "item").agg(F.max_by(F.struct("doc_id", "item_id", "score", "start_word", "end_word"), F.struct("score", -F.col("start_word"))).alias("b"))
     return best.select("key", "b.*")
