@@ -274,7 +274,7 @@ def articles(df: DataFrame, ignored: list[str], id_col: str = "doc_id", text_col
     stays, with the last picture."""
     link = r"(?:\[!\[(?:Image \d+:? ?)?([^\]]*)\]\(([^)\s]+)[^)]*\)\]\((http[^)\s]+)[^)]*\)|(?<!!)\[([^\]\[]*)\]\((http[^)\s]+)[^)]*\))"
     both = [F.regexp_extract_all(F.col(text_col), F.lit(link), F.lit(g)) for g in range(1, 6)]
-    rows = df.select(id_col, F.posexplode(F.arrays_zip(*[b.alias(n) for b, n in zip(both, ("caption", "image", "image_url", "title", "url"))])).alias("pos", "l")).select(id_col, "pos", *[F.when(F.col(f"l.{i}") != "", F.trim(F.col(f"l.{i}"))).alias(n) for i, n in enumerate(("caption", "image", "image_url", "title", "url"))])
+    rows = df.select(id_col, F.posexplode(F.arrays_zip(*[b.alias(n) for b, n in zip(both, ("caption", "image", "image_url", "title", "url"))])).alias("pos", "l")).select(id_col, "pos", *[F.when(F.col(f"l.{n}") != "", F.trim(F.col(f"l.{n}"))).alias(n) for n in ("caption", "image", "image_url", "title", "url")])
     w = Window.partitionBy(id_col).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.select(id_col, "pos", F.coalesce("url", "image_url").alias("url"), F.coalesce("title", "caption", F.last("caption", True).over(w)).alias("title"), F.last("image", True).over(w).alias("image"))
     keep = F.col("title").isNotNull()

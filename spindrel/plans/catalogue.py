@@ -210,7 +210,7 @@ def _pipeline() -> P.Pipeline:
         P.Pipeline()
         .add("clean", lambda x: F.regexp_replace(x, "\n", " "))
         .add("accept", lambda x: x, lambda x: F.when(F.length(x) < 200, "too short"))
-        .add("shout", F.upper)
+        .add("quiet", F.lower)
         .add("cut", lambda x: F.substring(x, 1, 100))
     )
 
@@ -218,7 +218,7 @@ def _pipeline() -> P.Pipeline:
 _STATE = "CASE WHEN length(text) < 200 THEN"
 
 
-@query(f"SELECT doc_id, {_STATE} replace(text, chr(10), ' ') ELSE substr(upper(replace(text, chr(10), ' ')), 1, 100) END AS doc, {_STATE} 'paused' ELSE 'done' END AS status, {_STATE} 'too short' END AS reason, {_STATE} 1 ELSE 4 END AS next_step FROM documents")
+@query(f"SELECT doc_id, {_STATE} replace(text, chr(10), ' ') ELSE substr(lower(replace(text, chr(10), ' ')), 1, 100) END AS doc, {_STATE} 'paused' ELSE 'done' END AS status, {_STATE} 'too short' END AS reason, {_STATE} 1 ELSE 4 END AS next_step FROM documents")
 def pipeline_run(spark: SparkSession, d: str) -> DataFrame:
     p = _pipeline()
     return p.run(p.start(table(spark, d, "documents").select("doc_id", "text"), F.col("text"))).drop("text")
@@ -229,8 +229,8 @@ def pipeline_run(spark: SparkSession, d: str) -> DataFrame:
     WITH c AS (SELECT doc_id, replace(text, chr(10), ' ') AS t FROM documents)
     SELECT doc_id, 0 AS step, 'progress' AS type, t AS doc, NULL AS reason, 1 AS next_step FROM c
     UNION ALL SELECT doc_id, 1, CASE WHEN length(t) < 200 THEN 'pause' ELSE 'progress' END, t, CASE WHEN length(t) < 200 THEN 'too short' END, CASE WHEN length(t) < 200 THEN 1 ELSE 2 END FROM c
-    UNION ALL SELECT doc_id, 2, 'progress', upper(t), NULL, 3 FROM c WHERE length(t) >= 200
-    UNION ALL SELECT doc_id, 3, 'progress', substr(upper(t), 1, 100), NULL, 4 FROM c WHERE length(t) >= 200
+    UNION ALL SELECT doc_id, 2, 'progress', lower(t), NULL, 3 FROM c WHERE length(t) >= 200
+    UNION ALL SELECT doc_id, 3, 'progress', substr(lower(t), 1, 100), NULL, 4 FROM c WHERE length(t) >= 200
 """
 )
 def pipeline_events(spark: SparkSession, d: str) -> DataFrame:
@@ -494,7 +494,7 @@ _RUNS = (
     + """
     , rows AS (SELECT conv_id, r, 0 AS k, head AS text, path FROM paths UNION ALL SELECT conv_id, r, 1, body, path FROM paths WHERE body <> ''),
     marked AS (SELECT *, CASE WHEN lag(path) OVER w IS DISTINCT FROM path THEN 1 ELSE 0 END AS opens, row_number() OVER w AS pos FROM rows WINDOW w AS (PARTITION BY conv_id ORDER BY r, k)),
-    runs AS (SELECT *, sum(opens) OVER (PARTITION BY conv_id ORDER BY pos) AS run FROM marked)
+    runs AS (SELECT *, CAST(sum(opens) OVER (PARTITION BY conv_id ORDER BY pos) AS BIGINT) AS run FROM marked)
 """
 )
 
@@ -555,7 +555,7 @@ def news_articles(spark: SparkSession, d: str) -> DataFrame:
     return M.articles(table(spark, d, "pages").select("page_id", md.alias("md")), ["The"], "page_id", "md")
 
 
-@query("SELECT count(*) AS lines, sum(length(text)) AS chars FROM conversations")
+@query("SELECT count(*) AS lines, CAST(sum(length(text)) AS BIGINT) AS chars FROM conversations")
 def streamed_jsonl(spark: SparkSession, d: str) -> DataFrame:
     """A stream of the table goes to a JSONL sink, in ticks of one file, and is read again: every row once."""
     schema = table(spark, d, "conversations").schema
