@@ -1,9 +1,10 @@
-"""SimHash near-dedup by a segment-popcount embedding."""
+"""SimHash near-dedup by a range join over segments."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -13,9 +14,11 @@ from pyspark.sql import functions as F
 from .common import components, fresh, narrow, row_key, without, written
 from .tokens import Words, distinct, mix, signed, slices
 
-BITS, SEGMENT = 256, 2
+BITS = 256
 RADIUS = 40
-TABLES, DIMS = 32, 14
+#: Widest segment and the reach of most; nodes of a block at most; blocks at least, once there are FEW nodes for each.
+WIDTH, REACH = 19, 2
+BLOCK, LEAST_BLOCKS, FEW = 400_000, 6, 10_000
 _ROWS = 8192
 
 
@@ -60,48 +63,108 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return narrow(docs, id_col, text_col).mapInArrow(_fingerprint, "key long, doc_id long, f0 long, f1 long, f2 long, f3 long")
 
 
-@lru_cache(4)
-def _grid(tables: int, dims: int) -> np.ndarray:
-    order = np.argsort(mix(np.arange(tables * (BITS // SEGMENT), dtype=np.uint64), 11).reshape(tables, -1), axis=1, kind="stable")
-    return order[:, :dims]
+def _segments(radius: int) -> list[tuple[int, int, int]]:
+    """First bit, width and reach of disjoint segments: of two fingerprints within `radius`, at least one
+    segment differs by no more than its reach, as the sum of reach + 1 over the segments exceeds the radius."""
+    whole, rest = divmod(min(radius, BITS) + 1, REACH + 1)
+    reach = [REACH] * whole + [rest - 1] * (rest > 0)
+    ends = np.floor(np.cumsum([r + 4 for r in reach]) * BITS / sum(r + 4 for r in reach)).astype(int).tolist()
+    return [(a, min(b - a, WIDTH), r) for a, b, r in zip([0, *ends], ends, reach)]
 
 
-def _cells(tables: int, dims: int):
-    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chosen, base = _grid(tables, dims), (SEGMENT + 1) ** np.arange(dims, dtype=np.int64)
+def _values(fp: np.ndarray, first: int, width: int) -> np.ndarray:
+    """The bits first..first+width-1 of each fingerprint (n x 4 words), as a number."""
+    j, shift = divmod(first, 64)
+    x = fp[:, j] >> np.uint64(shift)
+    if shift + width > 64:
+        x = x | fp[:, j + 1] << np.uint64(64 - shift)
+    return (x & np.uint64((1 << width) - 1)).astype(np.int64)
+
+
+def _meet(x: np.ndarray, y: np.ndarray, radius: int, most: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Every pair of rows of x and y (n x 4 words) within `radius` bits, once.
+
+    For each segment, y is probed at all values within the segment's reach of
+    those of x. A pair comes up at the first segment that brings it together.
+    """
+    segments = _segments(radius)
+    for s, (first, width, reach) in enumerate(segments):
+        vx, vy = _values(x, first, width).astype(np.int32), _values(y, first, width)
+        order = np.argsort(vy, kind="stable").astype(np.int32)
+        counts = np.bincount(vy, minlength=1 << width).astype(np.int32)
+        starts = np.cumsum(counts, dtype=np.int32) - counts
+        masks = np.array([sum(1 << k for k in flips) for r in range(min(reach, width) + 1) for flips in combinations(range(width), r)], np.int32)
+        step = max(1, most // 4 // max(1, len(x)))
+        for m in range(0, len(masks), step):
+            at = (vx ^ masks[m : m + step, None]).ravel()
+            some = np.flatnonzero(counts[at])
+            at = at[some]
+            n, begin, row = counts[at], starts[at], some % len(x)
+            total = np.concatenate([[0], np.cumsum(n, dtype=np.int64)])
+            a = 0
+            while a < len(some):
+                b = max(a + 1, int(np.searchsorted(total, total[a] + most, side="right")) - 1)
+                i = np.repeat(row[a:b], n[a:b])
+                j = order[np.arange(total[b] - total[a]) + np.repeat(begin[a:b] - (total[a:b] - total[a]), n[a:b])]
+                half = np.flatnonzero(np.bitwise_count(x[i, 0] ^ y[j, 0]) + np.bitwise_count(x[i, 3] ^ y[j, 3]) <= radius)
+                i, j, a = i[half], j[half], b
+                near = np.bitwise_count(x[i] ^ y[j]).sum(axis=1, dtype=np.int64) <= radius
+                i, j = i[near], j[near]
+                for f, w, r in segments[:s]:
+                    new = np.bitwise_count(_values(x[i], f, w) ^ _values(y[j], f, w)) > r
+                    i, j = i[new], j[new]
+                if len(i):
+                    yield i, j
+
+
+def _tiles(radius: int):
+    """a, b: the close pairs of every tile; rows come sorted by tile."""
+
+    def tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: list[pa.RecordBatch] = []
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            fp = np.stack([batch[f"f{j}"].to_numpy() for j in range(4)], axis=1)
-            counts = np.unpackbits(fp.view(np.uint8), axis=1).reshape(len(fp), -1, SEGMENT).sum(axis=2, dtype=np.int64)
-            cell = np.stack([counts[:, chosen[t]] @ base + t * (SEGMENT + 1) ** dims for t in range(tables)], axis=1)
-            offsets = pa.array(np.arange(len(fp) + 1, dtype=np.int32) * tables)
-            yield pa.RecordBatch.from_arrays([batch["node"], *[batch[f"f{j}"] for j in range(4)], pa.ListArray.from_arrays(offsets, pa.array(cell.ravel()))], names=["node", "f0", "f1", "f2", "f3", "cells"])
-
-    return cells
-
-
-def near_pairs(nodes: DataFrame, radius: int = RADIUS, tables: int = TABLES, dims: int = DIMS) -> DataFrame:
-    """a, b: nodes (node, f0..f3, distinct) within `radius` bits of each other.
-
-    The embedding of a fingerprint is its bit count per segment. A grid cell is
-    the vector of counts at `dims` segments; `tables` such choices of segments
-    make as many grids, and nodes join where they share a cell of any. Along the
-    join, the Manhattan distance between the counts of the four 64-bit segments,
-    never above the Hamming distance, drops most pairs; the bits themselves
-    decide the others. A pair at distance d of 256 bits shares a cell of one grid
-    with a chance of about (1 - d/128)**dims: with 14 and 32, over 0.99 of pairs
-    at 16 bits are found, and about 0.9 at 24.
+            while batch.num_rows:
+                tile = batch["tile"].to_numpy()
+                if parts and parts[0]["tile"][0].as_py() != tile[0]:
+                    yield from of_tile(parts)
+                    parts = []
+                n = int(np.searchsorted(tile, tile[0], side="right"))
+                parts.append(batch.slice(0, n))
+                batch = batch.slice(n)
+        if parts:
+            yield from of_tile(parts)
+
+    def of_tile(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        node, side = (np.concatenate([p[c].to_numpy(zero_copy_only=False) for p in parts]) for c in ("node", "side"))
+        fp = np.stack([np.concatenate([p[f"f{j}"].to_numpy() for p in parts]) for j in range(4)], axis=1).view(np.uint64)
+        x, y = np.flatnonzero(side < 2), np.flatnonzero(side > 0)  # side 1: a block with itself
+        for i, j in _meet(fp[x], fp[y], radius):
+            a, b = node[x[i]], node[y[j]]
+            keep = (a < b) if side[0] == 1 else a != b
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)[keep]), pa.array(np.maximum(a, b)[keep])], names=["a", "b"])
+
+    return tiles
+
+
+def near_pairs(nodes: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> DataFrame:
+    """a, b: all pairs of nodes (node, f0..f3, distinct) within `radius` bits of each other.
+
+    A range join, exact. Nodes go to blocks by hash, and every two blocks meet in
+    a tile; 40 bytes a node and block are shuffled. In a tile, fingerprints are
+    compared by segments: two that are within the radius are, in one segment at
+    least, within that segment's small reach (pigeonhole), so a table of the
+    segment's values is probed at all values so near. The bits decide.
     """
-    cells = nodes.mapInArrow(_cells(tables, dims), "node long, f0 long, f1 long, f2 long, f3 long, cells array<long>").select("node", "f0", "f1", "f2", "f3", F.explode("cells").alias("cell"))
-    x, y = cells.alias("x"), cells.alias("y")
-    bound = sum((F.abs(F.bit_count(f"x.f{j}") - F.bit_count(f"y.f{j}")) for j in range(1, 4)), F.abs(F.bit_count("x.f0") - F.bit_count("y.f0")))
-    exact = sum((F.bit_count(F.col(f"x.f{j}").bitwiseXOR(F.col(f"y.f{j}"))) for j in range(1, 4)), F.bit_count(F.col("x.f0").bitwiseXOR(F.col("y.f0"))))
-    close = (F.col("x.cell") == F.col("y.cell")) & (F.col("x.node") < F.col("y.node")) & (bound <= radius) & (exact <= radius)
-    return x.join(y, close).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+    n = nodes.count()
+    blocks = max(-(-n // block), min(LEAST_BLOCKS, 1 + n // FEW))
+    own, other = F.pmod(F.xxhash64("node"), F.lit(blocks)).cast("int"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("other")
+    met = nodes.select("node", "f0", "f1", "f2", "f3", own.alias("own"), other)
+    side = F.when(F.col("own") == F.col("other"), 1).when(F.col("own") < F.col("other"), 0).otherwise(2).cast("byte")
+    rows = met.select((F.least("own", "other") * blocks + F.greatest("own", "other")).alias("tile"), side.alias("side"), "node", "f0", "f1", "f2", "f3")
+    return rows.repartition("tile").sortWithinPartitions("tile").mapInArrow(_tiles(radius), "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, radius: int = RADIUS, tables: int = TABLES, dims: int = DIMS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """key, doc_id, kept_key, kept_id: every document of a group but the one that stays, with that one.
 
     Groups are the connected components of pairs of fingerprints within `radius`
@@ -116,7 +179,7 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, tables: int = TABLES,
     prints = written(fingerprints(docs, id_col, text_col).distinct(), "prints")
     fs = ["f0", "f1", "f2", "f3"]
     nodes = written(prints.groupBy(*fs).agg(F.min("key").alias("node")), "nodes")
-    roots = components(near_pairs(nodes, radius, tables, dims))
+    roots = components(near_pairs(nodes, radius))
     node = nodes.join(roots, "node", "left").select(*fs, F.coalesce("root", "node").alias("root"))
     member = prints.join(node, fs).select("key", "doc_id", "root")
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key")

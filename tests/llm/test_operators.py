@@ -161,6 +161,21 @@ def test_recall_of_near_pairs(spark):
     assert got <= near and len(got) >= 0.9 * len(near)
 
 
+def test_every_pair_within_the_radius(spark):
+    r = np.random.default_rng(3)
+    bits = list(r.integers(0, 2, (164, 256)))
+    for k in range(164):  # four pairs at each distance of 1..41
+        other = bits[k].copy()
+        other[r.choice(256, k % 41 + 1, replace=False)] ^= 1
+        bits.append(other)
+    prints = np.packbits(np.array(bits, np.uint8), axis=1).view(np.int64)
+    far = (np.array(bits)[:, None] != np.array(bits)[None]).sum(axis=2)
+    nodes = spark.createDataFrame([(i, *map(int, p)) for i, p in enumerate(prints)], "node long, f0 long, f1 long, f2 long, f3 long")
+    for radius in (0, 5, 40, 60):
+        got = [(x.a, x.b) for x in near_pairs(nodes, radius).collect()]
+        assert sorted(got) == [(i, j) for i in range(328) for j in range(i + 1, 328) if far[i, j] <= radius]
+
+
 def test_near_copies_form_groups(spark):
     base = prose(300, 77)
     words = base.split()
