@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 from itertools import combinations
 
 import numpy as np
@@ -19,33 +18,45 @@ RADIUS = 40
 #: Widest segment and the reach of most; nodes of a block at most; blocks at least, once there are FEW nodes for each.
 WIDTH, REACH = 19, 2
 BLOCK, LEAST_BLOCKS, FEW = 400_000, 6, 10_000
-_ROWS = 8192
 
 
-@lru_cache(1)
-def _directions() -> np.ndarray:
-    """Fixed weights by feature and bit: random signs, magnitudes of a heavy tail (stability 1/2).
+_LANES = mix(np.arange(BITS, dtype=np.uint64), 7) | np.uint64(1)
+_PIECE, _FEW = 8192, 40_000
+
+
+def _weights(features: np.ndarray) -> np.ndarray:
+    """Weights by feature and bit, from the feature's whole hash: random signs, magnitudes of a heavy tail (stability 1/2).
 
     With such weights the sign of a sum follows the few largest, so that the
     share of bits that differ grows in proportion to the share of words that
     were edited; with weights of plus or minus one it grows as its square root.
     """
-    x = mix(np.arange(_ROWS * BITS, dtype=np.uint64), 7)
-    u = ((x >> np.uint64(11)).astype(np.float64) + 1) / 2.0**53
-    return (np.where(x & np.uint64(1), 1.0, -1.0) * u**-2.0).reshape(_ROWS, BITS).astype(np.float32)
+    out = np.empty((len(features), BITS), np.float32)
+    for a in range(0, len(features), 64):
+        x = features[a : a + 64, None] * _LANES
+        x ^= x >> np.uint64(32)
+        x *= np.uint64(0xBF58476D1CE4E5B9)
+        x >>= np.uint64(32)
+        u = (x.astype(np.uint32).view(np.int32) | 1).astype(np.float32)  # the sign, and a uniform magnitude of 31 bits
+        out[a : a + 64] = np.copysign(np.float32(2.0**62) / (u * u), u)
+    return out
 
 
 def _prints(words: Words, n: int) -> np.ndarray:
     """n x 4 words of 64 bits, of each text's distinct words."""
-    pair = distinct(words.doc * _ROWS + (words.hash % np.uint64(_ROWS)).astype(np.int64))
-    doc, row = pair // _ROWS, pair % _ROWS
-    bits = np.zeros((n, BITS), bool)
+    features, number = np.unique(words.hash, return_inverse=True)
+    pair = distinct(words.doc * max(len(features), 1) + number)
+    doc, feature = pair // max(len(features), 1), pair % max(len(features), 1)
     first = np.searchsorted(doc, np.arange(n + 1))
-    table = _directions()
+    table = _weights(features) if len(features) <= _FEW else None
+    bits = np.zeros((n, BITS), bool)
     for d in np.unique(doc):
-        a, b = first[d], first[d + 1]
-        # features ascend, so that equal sets of words give equal sums, to the last bit
-        bits[d] = table[row[a:b]].sum(axis=0, dtype=np.float64) > 0
+        # features ascend and pieces are the text's own, so that equal sets of words give equal sums, to the last bit
+        total = np.zeros(BITS)
+        for a in range(first[d], first[d + 1], _PIECE):
+            b = min(a + _PIECE, first[d + 1])
+            total += (_weights(features[feature[a:b]]) if table is None else table[feature[a:b]]).sum(axis=0, dtype=np.float64)
+        bits[d] = total > 0
     return np.packbits(bits, axis=1).view(np.uint64)
 
 

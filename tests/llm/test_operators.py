@@ -14,8 +14,9 @@ from spindrel.llm.html_extract import extract_main_text
 from spindrel.llm.line_dedup import line_dedup
 from spindrel.llm.mixing import flight, mixed, sample
 from spindrel.llm.pii import find_pii
-from spindrel.llm.simhash import near_dedup, near_duplicates, near_pairs
+from spindrel.llm.simhash import _prints, near_dedup, near_duplicates, near_pairs
 from spindrel.llm.suffix_dedup import repeated, repeated_passages, suffix_array
+from spindrel.llm.tokens import Words
 from spindrel.llm.topk import top_k
 
 SCHEMA = "doc_id long, text string, source string, key string, n string, gram int, cell int, __key int, at string, lang string, n_removed int"
@@ -176,6 +177,15 @@ def test_every_pair_within_the_radius(spark):
         assert sorted(got) == [(i, j) for i in range(328) for j in range(i + 1, 328) if far[i, j] <= radius]
 
 
+@pytest.mark.parametrize("n", [20_000, 100_000])
+def test_long_unrelated_texts_are_far_apart(n):
+    one, other = (" ".join(f"{side}{k}" for k in range(n)) for side in "ab")
+    short = prose(50, 3)
+    prints = np.concatenate([_prints(Words(pa.array(x)), len(x)) for x in ([one, short], [other, one], [short])])
+    assert np.array_equal(prints[0], prints[3]) and np.array_equal(prints[1], prints[4])
+    assert 90 < np.bitwise_count(prints[0] ^ prints[2]).sum() < 166
+
+
 def test_near_copies_form_groups(spark):
     base = prose(300, 77)
     words = base.split()
