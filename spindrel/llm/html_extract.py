@@ -140,20 +140,19 @@ def extract(source: str | None) -> tuple[str, int, float, float] | None:
     while i != body:
         i = dom.parent[i]
         threshold = min(threshold, density[i])
-    # below the body, the topmost nodes that reach the threshold: each gives its subtree of the greatest sum;
-    # a lone leaf (an advertisement, a footer) has no sum and gives none
+    # below the body, every node that reaches the threshold gives its subtree of the greatest sum, so that blocks
+    # beside the best one in its wrapper count; a lone leaf (an advertisement, a footer) has no sum and gives none
     chosen: set[int] = set()
     if best == body:
         chosen.add(body)
     else:
-        top, head = [-1] * n, {}
-        for i in range(body + 1, n):
-            if inside[i]:
-                p = dom.parent[i]
-                top[i] = top[p] if top[p] >= 0 else (i if density[i] >= threshold and density[i] > 0 else -1)
-                if top[i] >= 0 and total[i] > 0 and (top[i] not in head or total[i] > total[head[top[i]]]):
-                    head[top[i]] = i
-        chosen = set(head.values())
+        head = [i if total[i] > 0 else -1 for i in range(n)]
+        for i in range(n - 1, body, -1):
+            p = dom.parent[i]
+            # of equal sums the first in the document wins
+            if head[i] >= 0 and (head[p] < 0 or total[head[i]] > total[head[p]] or (total[head[i]] == total[head[p]] and head[i] < head[p])):
+                head[p] = head[i]
+        chosen = {head[i] for i in range(body + 1, n) if inside[i] and density[i] >= threshold and density[i] > 0 and head[i] >= 0}
     kept = [False] * n
     for i in range(n):
         kept[i] = i in chosen or (i > 0 and kept[dom.parent[i]] and dom.tag[i] not in _HIDDEN)
@@ -177,9 +176,9 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", html_col: str =
 
     Every node of the DOM has a composite text density, every parent the sum of
     its children's. The node of the greatest sum is the centre of the content; the
-    least density on its path up to the body is the threshold; each topmost node
-    under the body that reaches it gives its own subtree of the greatest sum, so
-    that content in several blocks is found and menus aren't. Text comes by
+    least density on its path up to the body is the threshold; each node under the
+    body that reaches it, however deep, gives its own subtree of the greatest sum,
+    so that content in several blocks is found and menus aren't. Text comes by
     block, entities decoded, white space collapsed.
 
     - A null page gives nulls; an empty one, or one without text, an empty text.

@@ -10,7 +10,7 @@ import pytest
 from spindrel.llm import quality
 from spindrel.llm.chain_dedup import chains, fuzzy_passages
 from spindrel.llm.decontaminate import contaminated, decontaminate, local_alignment
-from spindrel.llm.html_extract import extract_main_text
+from spindrel.llm.html_extract import extract, extract_main_text
 from spindrel.llm.line_dedup import line_dedup
 from spindrel.llm.mixing import flight, mixed, sample
 from spindrel.llm.pii import find_pii
@@ -106,6 +106,16 @@ def test_main_text_of_pages(spark):
     assert got[2] is None and got[3] == "" and got[4] == "plain words" and prose(30, 9) in got[5]
 
 
+def test_every_section_of_an_article():
+    texts = [prose(43, 60 + k) for k in range(9)]
+    first, second = ("".join(f"<p>{x}</p>" for x in part) for part in (texts[:5], texts[5:]))
+    menu = "<nav>" + "".join(f'<a href="/{k}">go {k}</a>' for k in range(30)) + "</nav>"
+    got = extract(f"<body>{menu}<article><section>{first}</section><section>{second}</section></article></body>")[0]
+    assert got == "\n".join(texts)
+    nested = extract(f"<body>{menu}<div><article><section>{first}</section><div><section>{second}</section></div></article></div></body>")[0]
+    assert nested == "\n".join(texts)
+
+
 def test_personal_data(spark):
     text = "Ask jo.doe+x@mail.example.org or see https://site.test/a?b=1, from 10.0.0.254 not 10.0.0.999; card 4111 1111 1111 1111, not 4111 1111 1111 1112; IBAN DE89 3704 0044 0532 0130 00."
     got = {(r.kind, r.value) for r in find_pii(docs(spark, [(1, text)])).collect()}
