@@ -246,3 +246,13 @@ def test_chains_are_ordered_and_fuzzy_passages_found(spark):
     rows = [(k, prose(300, k)) for k in range(10)] + [(20, prose(60, 21) + " " + " ".join(passage)), (22, " ".join(edited) + " " + prose(60, 23))]
     (r,) = fuzzy_passages(docs(spark, rows)).collect()
     assert {r.doc_id, r.lead_id} == {20, 22} and r.identity > 0.9 and r.end_word - r.start_word >= 110
+
+
+def test_all_edited_copies_of_a_group_are_found(spark):
+    r, passage = random.Random(6), prose(80, 600).split()
+    rows = []
+    for k in range(100):
+        copy = [f"new{k}x{i}" if r.random() < 0.1 else w for i, w in enumerate(passage)]
+        rows.append((k, " ".join([prose(40, 700 + k), *copy, prose(40, 900 + k)])))
+    got = fuzzy_passages(docs(spark, rows)).collect()
+    assert len({r.doc_id for r in got} | {r.lead_id for r in got}) >= 75
