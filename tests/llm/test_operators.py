@@ -256,3 +256,13 @@ def test_all_edited_copies_of_a_group_are_found(spark):
         rows.append((k, " ".join([prose(40, 700 + k), *copy, prose(40, 900 + k)])))
     got = fuzzy_passages(docs(spark, rows)).collect()
     assert len({r.doc_id for r in got} | {r.lead_id for r in got}) >= 75
+
+
+def test_every_place_in_either_document_comes_up(spark):
+    rows, want = [], set()
+    for k in range(6):  # whichever document of the two has the lesser key
+        passage = prose(80, 610 + k)
+        rows += [(2 * k, " ".join([prose(60, 20 + k), passage, prose(400, 40 + k), passage, prose(60, 60 + k)])), (2 * k + 1, " ".join([prose(70, 80 + k), passage, prose(70, 90 + k)]))]
+        want |= {(2 * k, 60), (2 * k, 540), (2 * k + 1, 70)}
+    got = fuzzy_passages(docs(spark, rows)).collect()
+    assert want <= {(r.doc_id, r.start_word) for r in got} | {(r.lead_id, r.lead_start) for r in got}
