@@ -7,8 +7,8 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from spindrel.llm import quality
-from spindrel.llm.chain_dedup import chains, fuzzy_passages
+from spindrel.llm import chain_dedup, quality
+from spindrel.llm.chain_dedup import align, chains, common, fuzzy_passages, passages
 from spindrel.llm.decontaminate import contaminated, decontaminate, local_alignment
 from spindrel.llm.html_extract import extract, extract_main_text
 from spindrel.llm.line_dedup import line_dedup
@@ -239,30 +239,119 @@ def test_mix_meets_its_targets(spark):
     assert {r.source for r in got} == {"web"} and abs(sum(r.tokens for r in got) - tokens * 0.25) < 400
 
 
-def test_chains_are_ordered_and_fuzzy_passages_found(spark):
+def test_chains_against_every_chain():
     assert chains([0, 10, 20], [5, 15, 26]) == [[0, 1, 2]]
+    for seed in range(80):
+        r = random.Random(seed)
+        matches = sorted({(r.randrange(60), r.randrange(60)) for _ in range(r.randrange(1, 14))})
+        best = [0.0] * len(matches)
+        for i, (x, y) in enumerate(matches):
+            before = [best[j] - 0.2 * ((x - u) + (y - v)) / 2 for j, (u, v) in enumerate(matches[:i]) if u < x and v < y]
+            best[i] = 7 + max([0.0, *before])
+        chain = chains([x for x, _ in matches], [y for _, y in matches])[0]
+        got = sum(7 - 0.2 * ((matches[j][0] - matches[i][0]) + (matches[j][1] - matches[i][1])) / 2 for i, j in zip(chain, chain[1:])) + 7
+        assert abs(got - max(best)) < 1e-9
+
+
+def longest_common(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        before = 0
+        for j, y in enumerate(b):
+            before, row[j + 1] = row[j + 1], before + 1 if x == y else max(row[j + 1], row[j])
+    return row[-1]
+
+
+@pytest.mark.parametrize("direct", [1 << 26, 50])
+def test_common_words_against_the_full_table(monkeypatch, direct):
+    monkeypatch.setattr(chain_dedup, "_DIRECT", direct)
+    for seed in range(200):
+        r = random.Random(seed)
+        k = r.choice((2, 4, 30))
+        a, b = ([r.randrange(k) for _ in range(r.randrange(60))] for _ in range(2))
+        pairs = common(a, b)
+        assert len(pairs) == longest_common(a, b) and all(a[i] == b[j] for i, j in pairs)
+        assert all(p[0] < q[0] and p[1] < q[1] for p, q in zip(pairs, pairs[1:]))
+
+
+def test_long_gaps_are_aligned_exactly():
+    r = random.Random(3)
+    a = [r.randrange(10**6) for _ in range(500)]
+    b = [*a[:100], -1, *a[100:300], *a[301:]]
+    assert len(common(a, b)) == 499
+    assert len(common(a, [-2, -3, *a[5:]])) == 495
+    a, b = ([r.randrange(9) for _ in range(1000)] for _ in range(2))
+    assert len(common(a, b)) == longest_common(a, b)
+
+
+def test_passages_are_cut_where_too_little_agrees():
+    def of(a, b):
+        return [(s, t, u, v) for s, t, u, v, _ in passages(*align(a, b, [0], [0], 7), 50, 0.8)]
+
+    one, two, junk = list(range(80)), list(range(100, 180)), list(range(1000, 1150))
+    assert of(one, one[:10] + [-1] + one[10:]) == [(0, 80, 0, 81)]
+    assert of(one + junk + two, one + [-x for x in junk] + two) == [(0, 80, 0, 80), (230, 310, 230, 310)]
+    assert of(one + junk[:60] + two, one + [-x for x in junk[:60]] + two) == [(0, 80, 0, 80), (140, 220, 140, 220)]
+    assert of(one[:45] + junk, one[:45] + two) == []
+
+
+@pytest.mark.parametrize("group", [256, 16])
+def test_fuzzy_passages_are_found(spark, group):
     passage = prose(120, 500).split()
     edited = passage[:40] + ["new"] + passage[41:80] + passage[82:]
     rows = [(k, prose(300, k)) for k in range(10)] + [(20, prose(60, 21) + " " + " ".join(passage)), (22, " ".join(edited) + " " + prose(60, 23))]
-    (r,) = fuzzy_passages(docs(spark, rows)).collect()
-    assert {r.doc_id, r.lead_id} == {20, 22} and r.identity > 0.9 and r.end_word - r.start_word >= 110
+    got = {r.doc_id: r for r in fuzzy_passages(docs(spark, rows), group=group).collect()}
+    assert set(got) == {20, 22}
+    assert (got[20].start_word, got[20].end_word, got[20].other_id, got[20].other_start, got[20].other_end) == (60, 180, 22, 0, 118)
+    assert got[22].other_id == 20 and got[22].identity == 117 / 120
 
 
-def test_all_edited_copies_of_a_group_are_found(spark):
+def test_edited_passages_are_found_as_brute_force_finds_them(spark):
+    """Pairs that share a passage of 52 to 120 words, 0 to 18 % of it edited: nine in ten of those of which a whole alignment has one."""
+    rows, want = [], set()
+    for i in range(240):
+        r = random.Random(1000 + i)
+        share = (0, 0.05, 0.1, 0.15, 0.18)[i % 5]
+        passage, copy = r.choices(VOCABULARY, k=r.choice((52, 60, 80, 120))), []
+        for word in passage:
+            kind = r.choice("sssid") if r.random() < share else ""
+            copy += {"": [word], "s": [r.choice(VOCABULARY)], "i": [word, r.choice(VOCABULARY)], "d": []}[kind]
+        one, other = [*r.choices(VOCABULARY, k=60), *passage, *r.choices(VOCABULARY, k=60)], [*r.choices(VOCABULARY, k=70), *copy, *r.choices(VOCABULARY, k=40)]
+        rows += [(2 * i, " ".join(one)), (2 * i + 1, " ".join(other))]
+        if passages(*np.array(common(one, other)).T, 50, 0.8):
+            want |= {2 * i, 2 * i + 1}
+    got = {r.doc_id for r in fuzzy_passages(docs(spark, rows)).collect() if r.doc_id // 2 == r.other_id // 2}
+    assert got <= {k for k, _ in rows} and len(want) > 300 and len(got & want) >= 0.93 * len(want)
+
+
+@pytest.mark.parametrize("group", [256, 16])
+def test_all_edited_copies_of_a_group_are_found(spark, group):
     r, passage = random.Random(6), prose(80, 600).split()
     rows = []
     for k in range(100):
         copy = [f"new{k}x{i}" if r.random() < 0.1 else w for i, w in enumerate(passage)]
         rows.append((k, " ".join([prose(40, 700 + k), *copy, prose(40, 900 + k)])))
-    got = fuzzy_passages(docs(spark, rows)).collect()
-    assert len({r.doc_id for r in got} | {r.lead_id for r in got}) >= 75
+    assert len({r.doc_id for r in fuzzy_passages(docs(spark, rows), group=group).collect()}) >= 97
+
 
+def test_short_phrases_of_many_documents_are_no_passages(spark):
+    phrase = prose(30, 77)
+    rows = [(k, " ".join([prose(60, 700 + k), phrase, prose(60, 900 + k)])) for k in range(200)]
+    assert fuzzy_passages(docs(spark, rows), group=16).count() == 0
 
-def test_every_place_in_either_document_comes_up(spark):
+
+@pytest.mark.parametrize("seeds", [1 << 20, 0])
+def test_every_place_in_either_document_comes_up(spark, seeds):
     rows, want = [], set()
     for k in range(6):  # whichever document of the two has the lesser key
         passage = prose(80, 610 + k)
         rows += [(2 * k, " ".join([prose(60, 20 + k), passage, prose(400, 40 + k), passage, prose(60, 60 + k)])), (2 * k + 1, " ".join([prose(70, 80 + k), passage, prose(70, 90 + k)]))]
         want |= {(2 * k, 60), (2 * k, 540), (2 * k + 1, 70)}
+    got = fuzzy_passages(docs(spark, rows), bitmap_seeds=seeds).collect()
+    assert want == {(r.doc_id, r.start_word) for r in got}
+
+
+def test_one_word_over_and_over(spark):
+    rows = [(1, "spam " * 3000), (2, "spam " * 500 + prose(60, 3)), (3, prose(60, 4))]
     got = fuzzy_passages(docs(spark, rows)).collect()
-    assert want <= {(r.doc_id, r.start_word) for r in got} | {(r.lead_id, r.lead_start) for r in got}
+    assert {(r.doc_id, r.start_word) for r in got} == {(1, 0), (2, 0)} and {r.end_word for r in got} == {3000, 500}
