@@ -6,8 +6,9 @@ import random
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
-from spindrel.llm import chain_dedup, quality
+from spindrel.llm import chain_dedup, quality, topk
 from spindrel.llm.chain_dedup import align, chains, common, fuzzy_passages, passages
 from spindrel.llm.decontaminate import contaminated, decontaminate, local_alignment
 from spindrel.llm.html_extract import extract, extract_main_text
@@ -210,18 +211,67 @@ def test_lines_of_later_windows_go(spark):
     assert got == {1: ("a\nb\nc\nd", 0), 2: ("x\n\ny", 3), 3: ("", 4), 4: ("a\nb", 0)}
 
 
-def test_neighbours_against_all_distances(spark):
-    x = np.random.default_rng(8).normal(size=(120, 16)).round(3)
-    x[7] = x[3]
-    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(None, x[0].tolist()), (200, None), (201, []), (202, [math.nan] * 16)]
+def nearest(rows, k, asks=lambda i: True):
+    """vec_id: its nearest others, by all distances; rows of (id, vector)."""
+    out = {}
+    for i, v in rows:
+        if asks(i):
+            others = sorted((round(math.dist(v, w), 9), j) for j, w in rows if j != i and len(w) == len(v))
+            out[i] = [j for _, j in others[:k]]
+    return out
+
+
+def neighbours(df):
     got: dict = {}
-    for r in top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), 5, 32).collect():
+    for r in df.collect():
         got.setdefault(r.vec_id, {})[r["rank"]] = r.neighbor_id
-    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2)).round(9)
-    for i in range(120):
-        want = sorted((j for j in range(120) if j != i), key=lambda j: (d[i, j], j))[:5]
-        assert [got[i][k] for k in range(1, 6)] == want
-    assert len(got) == 120
+    return {i: [x[k] for k in range(1, len(x) + 1)] for i, x in got.items()}
+
+
+@pytest.mark.parametrize("block", [None, 16])
+def test_neighbours_against_all_distances(spark, block):
+    r = np.random.default_rng(8)
+    x = r.normal(size=(150, 16)).round(3)
+    x[7] = x[3]
+    x[20:60] = x[20]  # more equal vectors than a block holds: ties go to the lesser id
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(300 + i, v.tolist()) for i, v in enumerate(r.normal(size=(12, 3)).round(3))] + [(400, [1.0])]
+    odd = [(None, x[0].tolist()), (200, None), (201, []), (202, [math.nan] * 16), (203, [1.0, None]), (204, [math.inf] * 16)]
+    data = spark.createDataFrame([(i, v, "x", 1, 2.0) for i, v in rows + odd + rows[:3]], "vec_id long, embedding array<double>, cell string, part int, dims double")
+    assert neighbours(top_k(data, 5, block=block)) == {i: v for i, v in nearest(rows, 5).items() if v}
+    few = top_k(data, 5, F.col("vec_id") % 10 == 0, block)
+    assert neighbours(few) == {i: v for i, v in nearest(rows, 5, lambda i: i % 10 == 0).items() if v}
+    assert top_k(data.limit(0)).count() == 0
+
+
+def test_of_rows_with_one_id_the_least_vector_stays(spark):
+    data = spark.createDataFrame([(1, [5.0, 5.0]), (1, [0.0, 0.0]), (2, [0.0, 1.0]), (3, [5.0, 4.0])], "vec_id long, embedding array<float>")
+    assert neighbours(top_k(data, 1)) == {1: [2], 2: [1], 3: [2]}
+
+
+def test_levels_and_boxes_prune_where_vectors_have_clusters(spark):
+    r = np.random.default_rng(5)
+    # smooth curves, as segment statistics see them, about 40 centres
+    centres = np.cumsum(r.normal(size=(40, 64)), axis=1) * 3
+    x = centres[r.integers(0, 40, 4000)] + r.normal(size=(4000, 64)) * 0.1
+    q = x[::20]
+    d = np.sqrt(np.maximum((q * q).sum(1)[:, None] + (x * x).sum(1)[None] - 2 * q @ x.T, 0))
+    limit = np.sort(d, axis=1)[:, 20] ** 2
+    i, j, distance, exact = topk.search(q, x, limit, 10)
+    want = np.argsort(d, axis=1, kind="stable")[:, :10]
+    for row in range(len(q)):
+        mine = np.flatnonzero(i == row)
+        assert set(want[row]) <= set(j[mine]) and np.allclose(np.sort(distance[mine])[:10], np.sort(d[row])[:10], atol=1e-5)
+    assert exact < 0.1 * d.size
+    seen = []
+    whole = topk.meetings
+    try:
+        topk.meetings = lambda tiles, blocks: (seen.append((tiles.count() * blocks.count(), whole(tiles, blocks).count())), whole(tiles, blocks))[1]
+        got = neighbours(top_k(spark.createDataFrame(list(enumerate(x.tolist())), "vec_id long, embedding array<double>"), 10, F.col("vec_id") % 20 == 0, 64))
+    finally:
+        topk.meetings = whole
+    full = np.argsort(np.where(d < 1e-4, -1, d), axis=1, kind="stable")[:, 1:11]
+    assert all(set(got[20 * row]) == set(full[row]) for row in range(len(q)))
+    assert seen[0][1] < 0.2 * seen[0][0]
 
 
 def test_flight_keeps_totals():
