@@ -11,13 +11,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+_QUOTE_OR_END = re.compile(r"[>\"']")
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = {t: re.compile(rf"</{t}\s*>", re.I) for t in ("script", "style", "textarea", "noscript", "template", "title")}
 _HIDDEN = frozenset("script style noscript template head title".split())
 _BLOCK = frozenset("address article aside blockquote body br dd div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr li main nav ol p pre section table td th tr ul".split())
+_BLOCK_NOT_P = _BLOCK - {"p"}
 _CLOSES_P = _BLOCK - {"br", "body", "td", "th", "tr", "li", "dd", "dt"}
-_SELF_CLOSING = {"li": ("li", {"ul", "ol"}), "dt": ("dt dd", {"dl"}), "dd": ("dt dd", {"dl"}), "tr": ("tr td th", {"table"}), "td": ("td th", {"tr", "table"}), "th": ("td th", {"tr", "table"}), "option": ("option", {"select"})}
+_SELF_CLOSING = {
+    "li": (("li",), ("ul", "ol")), "dt": (("dt", "dd"), ("dl",)), "dd": (("dt", "dd"), ("dl",)), "tr": (("tr", "td", "th"), ("table",)),
+    "td": (("td", "th"), ("tr", "table")), "th": (("td", "th"), ("tr", "table")), "option": (("option",), ("select",)),
+}
 _LINK = frozenset(("a", "button", "select"))
 _SPACE = re.compile(r"\s+")
 
@@ -32,52 +37,90 @@ class Dom:
         self._read(source)
 
     def _read(self, source: str) -> None:
+        """One pass over the source; what is open is known by name, so that each tag costs the same however deep it stands."""
         stack, at, n = [0], 0, len(source)
-        while at < n:
-            match = _TOKEN.search(source, at)
-            stop = match.start() if match else n
-            if stop > at:
-                self.pieces.append((stack[-1], source[at:stop]))
-            if not match:
+        open_: dict[str, list[int]] = {}  # places in the stack, by name
+        blocks: list[int] = []  # places in the stack of blocks other than p
+        quotes = True  # whether quotes shield a > in tags; no longer once one is never closed
+        last = {q: source.rfind(q) for q in "\"'"}
+
+        def pop(to: int) -> None:
+            while len(stack) > to:
+                name = self.tag[stack.pop()]
+                open_[name].pop()
+                if name in _BLOCK_NOT_P:
+                    blocks.pop()
+
+        begin = 0  # of the text that is being read
+        while True:
+            lt = source.find("<", at)
+            if lt < 0 or lt + 1 == n:
                 break
-            at = match.end()
-            name = match[2]
+            mark, name, closing, empty = source[lt + 1], "", False, False
+            if source.startswith("<!--", lt):
+                end = source.find("-->", lt + 4)
+                end = n if end < 0 else end + 3
+            elif mark in "!?":
+                end = source.find(">", lt) + 1
+                if not end:
+                    break
+            else:
+                closing = mark == "/"
+                match = _NAME.match(source, lt + 1 + closing)
+                if not match:
+                    at = lt + 1
+                    continue
+                name, end = match[0].lower(), 0
+                p = match.end()
+                while quotes:
+                    stop = _QUOTE_OR_END.search(source, p)
+                    if stop and stop[0] == ">":
+                        end = stop.end()
+                        break
+                    if not stop or stop.start() == last[stop[0]]:
+                        quotes = False
+                        break
+                    p = source.find(stop[0], stop.end()) + 1
+                if not end:
+                    end = source.find(">", match.end()) + 1
+                    if not end:
+                        break
+                empty = source[end - 2] == "/"
+            if lt > begin:
+                self.pieces.append((stack[-1], source[begin:lt]))
+            at = begin = end
             if not name:
                 continue
-            name = name.lower()
-            if match[1]:
-                for k in range(len(stack) - 1, 0, -1):
-                    if self.tag[stack[k]] == name:
-                        if name in _BLOCK:
-                            self.pieces.append((stack[-1], None))
-                        del stack[k:]
-                        break
+            if closing:
+                if open_.get(name):
+                    if name in _BLOCK:
+                        self.pieces.append((stack[-1], None))
+                    pop(open_[name][-1])
                 continue
             if name in _CLOSES_P:
-                self._close(stack, ("p",), _BLOCK - {"p"})
+                if open_.get("p") and open_["p"][-1] > (blocks[-1] if blocks else 0):
+                    pop(open_["p"][-1])
             elif name in _SELF_CLOSING:
                 ends, scope = _SELF_CLOSING[name]
-                self._close(stack, ends.split(), scope)
+                inner = max((open_[e][-1] for e in ends if open_.get(e)), default=0)
+                if inner > max((open_[e][-1] for e in scope if open_.get(e)), default=0):
+                    pop(inner)
             node = len(self.tag)
             self.tag.append(name)
             self.parent.append(stack[-1])
             if name in _BLOCK:
                 self.pieces.append((node, None))
             if name in _RAW:
-                end = _RAW[name].search(source, at)
-                self.pieces.append((node, source[at : end.start() if end else n]))
-                at = end.end() if end else n
-            elif name not in _VOID and not (match[3] or "").endswith("/"):
+                close = _RAW[name].search(source, at)
+                self.pieces.append((node, source[at : close.start() if close else n]))
+                at = begin = close.end() if close else n
+            elif name not in _VOID and not empty:
+                open_.setdefault(name, []).append(len(stack))
+                if name in _BLOCK_NOT_P:
+                    blocks.append(len(stack))
                 stack.append(node)
-
-    def _close(self, stack: list[int], ends, scope) -> None:
-        for k in range(len(stack) - 1, 0, -1):
-            tag = self.tag[stack[k]]
-            if tag in ends:
-                del stack[k:]
-                return
-            if tag in scope:
-                return
+        if begin < n:
+            self.pieces.append((stack[-1], source[begin:]))
 
 
 def densities(dom: Dom) -> tuple[list[float], list[float], int]:
@@ -86,7 +129,7 @@ def densities(dom: Dom) -> tuple[list[float], list[float], int]:
     Of a node: C characters, T tags, LC characters and LT tags in links. The
     density is C/T times the logarithm of (C/LC)(T/LT), to the base
     ln(C/(C-LC) LC + LC_body/C_body C + e): text in links makes it small.
-    Zeros in denominators count as one.
+    Zeros in denominators count as one; a base of one (no links at all) gives the natural logarithm.
     """
     n = len(dom.tag)
     hidden, linked = [False] * n, [False] * n
@@ -183,8 +226,11 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", html_col: str =
 
     - A null page gives nulls; an empty one, or one without text, an empty text.
     - Broken markup (unclosed, crossed, cut off) is read as browsers do in the
-      main: an open paragraph or item ends at the next, unknown ends are passed over.
-    - Without tags the whole text is the content. Depth and length have no limit.
+      main: an open paragraph or item ends at the next, unknown ends are passed
+      over, a bracket that opens no tag, or a tag that is never closed, is text;
+      once a quote in a tag is never closed, tags end at their first >.
+    - Without tags the whole text is the content. Depth and length have no limit,
+      and time is in proportion to length. Ids must be integers or cast to them.
     - Of equal sums the first node in the document wins.
     - Repeated rows give repeated rows; extra columns are dropped before anything
       is computed. An empty table gives no rows.
