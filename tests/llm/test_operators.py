@@ -2,6 +2,8 @@
 
 import math
 import random
+import time
+from xml.etree import ElementTree
 
 import numpy as np
 import pyarrow as pa
@@ -11,10 +13,10 @@ from pyspark.sql import functions as F
 from spindrel.llm import chain_dedup, quality, topk
 from spindrel.llm.chain_dedup import align, chains, common, fuzzy_passages, passages
 from spindrel.llm.decontaminate import contaminated, decontaminate, local_alignment
-from spindrel.llm.html_extract import extract, extract_main_text
+from spindrel.llm.html_extract import Dom, densities, extract, extract_main_text
 from spindrel.llm.line_dedup import line_dedup
 from spindrel.llm.mixing import flight, mixed, sample
-from spindrel.llm.pii import find_pii
+from spindrel.llm.pii import find, find_pii, luhn
 from spindrel.llm.simhash import _prints, near_dedup, near_duplicates, near_pairs
 from spindrel.llm.suffix_dedup import repeated, repeated_passages, suffix_array
 from spindrel.llm.tokens import Words
@@ -125,6 +127,99 @@ def test_personal_data(spark):
     assert find_pii(docs(spark, [(1, prose(500, 3) + " at 5 @ home, 3.14, 1999.")])).count() == 0
 
 
+def test_densities_against_recursion():
+    def made(r, depth):
+        tag = r.choice(("div", "section", "b", "a", "span", "i"))
+        inside = "".join(r.choice((lambda: made(r, depth + 1), lambda: "word " * r.randrange(1, 9)))() for _ in range(r.randrange(4) if depth < 6 else 0))
+        return f"<{tag}>{inside}</{tag}>"
+
+    def count(node, linked):
+        linked = linked or node.tag == "a"
+        own = len(node.text or "") + sum(len(x.tail or "") for x in node)
+        parts = [count(x, linked) for x in node]
+        c, lc = own + sum(x[0] for x in parts), (own if linked else 0) + sum(x[2] for x in parts)
+        t, lt = sum(x[1] + 1 for x in parts), sum(x[3] + (1 if x[4] else 0) for x in parts)
+        return c, t, lc, lt, linked, [(c, t, lc, lt), *[y for x in parts for y in x[5]]]
+
+    for seed in range(60):
+        r = random.Random(seed)
+        page = "<body>" + "".join(made(r, 0) for _ in range(3)) + "</body>"
+        body = ElementTree.fromstring(page)
+        rows = count(body, False)[5]
+        c_body, _, lc_body, _ = rows[0]
+        want = []
+        for c, t, lc, lt in rows:
+            base = math.log(c / max(c - lc, 1) * lc + lc_body / max(c_body, 1) * c + math.e)
+            want.append(c / max(t, 1) * math.log(c / max(lc, 1) * max(t, 1) / max(lt, 1)) / (math.log(base) if base > 1 else 1) if c else 0)
+        of = dict(zip(body.iter(), want))
+        sums = [sum(of[x] for x in node) for node in body.iter()]
+        density, total, number = densities(Dom(page))
+        assert np.allclose(density[number:], want) and np.allclose(total[number:], sums)
+
+
+@pytest.mark.parametrize("bad", ["<a ", "<a \">\"", "<", "<!", "<td>", "<b>", "x", "<p><b>", "&"])
+def test_broken_pages_take_linear_time(bad):
+    began = time.perf_counter()
+    extract(bad * (1_000_000 // len(bad)))
+    extract("<div>" * 100_000 + "</x>" * 100_000)
+    extract("<li><ul>" + "<b>" * 80_000 + "<li></li>" * 80_000)
+    extract("<p>" + "<b>" * 80_000 + "<div></div>" * 80_000)
+    assert time.perf_counter() - began < 15
+
+
+def test_odd_pages(spark):
+    rows = [(1, None), (2, ""), (3, "<p>3 < 4 &amp; 5</p>"), (3, "<p>3 < 4 &amp; 5</p>"), (None, "<div>" * 5000 + "deep"), (5, "<p>ties</p><p>ties</p>"), (6, "cut off <a href='x")]
+    pages = spark.createDataFrame([(*r, "x", 1, 2) for r in rows], "page_id long, html string, text string, n_nodes int, threshold int")
+    got = extract_main_text(pages).collect()
+    assert sorted((r.page_id or 0, r.text or "") for r in got) == [(0, "deep"), (1, ""), (2, ""), (3, "3 < 4 & 5"), (3, "3 < 4 & 5"), (5, "ties\nties"), (6, "cut off <a href='x")]
+    assert extract_main_text(pages.limit(0)).count() == 0
+
+
+def test_planted_personal_data_is_all_that_is_found():
+    """Texts of known findings and near misses between plain words, in any order."""
+    digits = lambda r, n: "".join(r.choice("123456789") for _ in range(n))
+
+    def card(r):
+        head = "4" + digits(r, 14)
+        return next(head + d for d in "0123456789" if luhn(head + d))
+
+    good = [
+        ("email", lambda r: f"jo.{digits(r, 3)}@mail{digits(r, 2)}.example.org"), ("ip", lambda r: ".".join(str(r.randrange(256)) for _ in range(4))), ("card", card), ("ssn", lambda r: f"{r.choice('12345')}{digits(r, 2)}-{digits(r, 2)}-{digits(r, 4)}"),
+        ("phone", lambda r: f"+{digits(r, 2)} {digits(r, 3)} {digits(r, 3)} {digits(r, 4)}"), ("phone", lambda r: f"({digits(r, 3)}) {digits(r, 3)}-{digits(r, 4)}"), ("url", lambda r: f"https://a{digits(r, 3)}.example/x?y={digits(r, 2)}"),
+        ("account", lambda r: "DE89 3704 0044 0532 0130 00"), ("secret", lambda r: f"AKIA{digits(r, 16)}"),
+    ]
+    bad = [lambda r: f"{digits(r, 3)}.{digits(r, 2)}", lambda r: "300.1.2.3", lambda r: "000-12-3456", lambda r: "a @ b", lambda r: "x@y", lambda r: "http://", lambda r: digits(r, 12), lambda r: "DE00 3704 0044 0532 0130 00"[:-1], lambda r: "19.5 %"]
+    for seed in range(150):
+        r = random.Random(seed)
+        text, want = "", []
+        for _ in range(r.randrange(12)):
+            text += " ".join(r.choices(VOCABULARY, k=3)) + " : "
+            if r.random() < 0.6:
+                kind, make = r.choice(good)
+                value = make(r)
+                want.append((kind, value))
+            else:
+                value = r.choice(bad)(r)
+            text += value + " ; "
+        assert [(k, text[a:b]) for k, a, b in find(text)] == want
+
+
+@pytest.mark.parametrize("bad", ["12", "1 ", "1.2.", "http://", "a://", "www.a;", "password=", "account", "a@a.", "@", "(1", "+1 2", "+", "token:'", "x@b."])
+def test_hostile_texts_take_linear_time(bad):
+    began = time.perf_counter()
+    find(bad * (1_000_000 // len(bad)))
+    find("http://a" + ")" * 500_000)
+    assert time.perf_counter() - began < 8
+
+
+def test_cues_in_any_case_and_long_schemes():
+    of = lambda x: [(k, x[a:b]) for k, a, b in find(x)]
+    assert of("PassWord=abc123xyz") == of("API_Key: abc123xyz") == [("secret", "abc123xyz")]
+    assert of("password=correcthorse; password: please wait") == [("secret", "correcthorse")]
+    assert of("İİ jo@bücher.example") == [("email", "jo@bücher.example")]
+    assert of("averyveryverylongscheme+x://host.example/y") == [("url", "averyveryverylongscheme+x://host.example/y")]
+
+
 def test_alignment_against_the_full_matrix():
     for seed in range(30):
         r = np.random.default_rng(seed)
