@@ -54,8 +54,8 @@ def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every near copy with the document of its group that stays."""
-    return near_duplicates(_table(spark, sf_dir, "documents")).select("doc_id", "kept_id")
+    """Every near copy with the document of its group that stays, and its number of links."""
+    return near_duplicates(_table(spark, sf_dir, "documents")).select("doc_id", "kept_id", "links")
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,4 +1,4 @@
-"""SimHash near-dedup by a range join over segments."""
+"""SimHash near-dedup: segment-popcount embedding, grid range-join, exact check."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import components, fresh, narrow, row_key, without, written
@@ -15,7 +15,9 @@ from .tokens import Words, distinct, mix, signed, slices
 
 BITS = 256
 RADIUS = 40
-#: Widest segment and the reach of most; nodes of a block at most; blocks at least, once there are FEW nodes for each.
+#: Segments whose counts embed a fingerprint; nodes that the grid is made from (those of least hash).
+COUNTS, SAMPLE = 8, 8192
+#: Widest segment of a cell's tables and the reach of most; nodes of a cell at most; cells at least, once there are FEW nodes for each.
 WIDTH, REACH = 19, 2
 BLOCK, LEAST_BLOCKS, FEW = 400_000, 6, 10_000
 
@@ -157,26 +159,83 @@ def _tiles(radius: int):
     return tiles
 
 
+def grid(counts: np.ndarray, leaves: int) -> list[tuple[int, int]]:
+    """Segment and count at which each inner node of the grid splits, in the order of a heap: cells are
+    halved along the segment whose counts vary most, so that crowded parts get small cells. -1: not split."""
+    out, rows = [], [np.arange(len(counts))]
+    for node in range((1 << max(0, leaves - 1).bit_length()) - 1):
+        mine = counts[rows[node]]
+        spread = mine.std(axis=0) if len(mine) > 1 else np.zeros(1)
+        c = int(spread.argmax())
+        cut = int(np.median(mine[:, c])) if spread[c] > 0 else 0
+        if spread[c] > 0 and cut == mine[:, c].min():
+            cut += 1
+        below = mine[:, c] < cut if spread[c] > 0 else np.ones(len(mine), bool)
+        out.append((c if spread[c] > 0 else -1, cut))
+        rows += [rows[node][below], rows[node][~below]]
+    return out
+
+
+def _located(splits: list[tuple[int, int]]):
+    """Adds each node's counts and its cell."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fp = np.stack([batch[f"f{j}"].to_numpy() for j in range(4)], axis=1).view(np.uint32).reshape(-1, COUNTS)
+            counts = np.bitwise_count(fp).astype(np.int32)
+            cell = np.zeros(len(counts), np.int64)
+            for _ in range(len(splits).bit_length() if splits else 0):
+                column, cut = (np.array(x) for x in zip(*splits))
+                cell = 2 * cell + 1 + ((column[cell] >= 0) & (counts[np.arange(len(cell)), np.maximum(column[cell], 0)] >= cut[cell]))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell), pa.array(counts.tolist(), pa.list_(pa.int32()))], names=[*batch.schema.names, "cell", "counts"])
+
+    return run
+
+
+def _apart(low: str, high: str, other_low: str, other_high: str) -> Column:
+    """Manhattan distance of two boxes."""
+    return F.aggregate(
+        F.sequence(F.lit(0), F.lit(COUNTS - 1)), F.lit(0),
+        lambda a, i: a + F.greatest(F.lit(0), F.get(other_low, i) - F.get(high, i), F.get(low, i) - F.get(other_high, i)),
+    )
+
+
 def near_pairs(nodes: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> DataFrame:
     """a, b: all pairs of nodes (node, f0..f3, distinct) within `radius` bits of each other.
 
-    A range join, exact. Nodes go to blocks by hash, and every two blocks meet in
-    a tile; 40 bytes a node and block are shuffled. In a tile, fingerprints are
-    compared by segments: two that are within the radius are, in one segment at
-    least, within that segment's small reach (pigeonhole), so a table of the
-    segment's values is probed at all values so near. The bits decide.
+    A grid range-join, exact. A fingerprint is embedded as the bit counts of its
+    COUNTS segments; the Manhattan distance of two embeddings is at most the number
+    of bits that differ. Cells of a grid over the counts, refined where crowded
+    and cut by hash beyond `block` nodes, meet if the boxes about their counts are
+    within the radius, and a node goes to the cells whose boxes are (40 bytes
+    each). Where two cells meet, fingerprints are compared by segments: two within
+    the radius are, in one segment at least, within that segment's small reach
+    (pigeonhole), so a table of the segment's values is probed at all values so
+    near. The bits decide.
     """
     n = nodes.count()
-    blocks = max(-(-n // block), min(LEAST_BLOCKS, 1 + n // FEW))
-    own, other = F.pmod(F.xxhash64("node"), F.lit(blocks)).cast("int"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("other")
-    met = nodes.select("node", "f0", "f1", "f2", "f3", own.alias("own"), other)
-    side = F.when(F.col("own") == F.col("other"), 1).when(F.col("own") < F.col("other"), 0).otherwise(2).cast("byte")
-    rows = met.select((F.least("own", "other") * blocks + F.greatest("own", "other")).alias("tile"), side.alias("side"), "node", "f0", "f1", "f2", "f3")
+    leaves = max(-(-n // block), min(LEAST_BLOCKS, 1 + n // FEW))
+    few = nodes.orderBy(F.xxhash64("node"), "node").limit(SAMPLE).select("f0", "f1", "f2", "f3").toArrow()
+    counts = np.bitwise_count(np.stack([few[f"f{j}"].to_numpy() for j in range(4)], axis=1).view(np.uint32).reshape(-1, COUNTS)).astype(np.int64)
+    kind = "node long, f0 long, f1 long, f2 long, f3 long"
+    placed = nodes.select("node", "f0", "f1", "f2", "f3").mapInArrow(_located(grid(counts, min(leaves, max(1, len(counts) // 8)))), f"{kind}, cell long, counts array<int>")
+    sizes = placed.groupBy("cell").agg(F.ceil(F.count("*") / block).alias("parts"))
+    placed = written(placed.join(sizes, "cell").withColumn("cell", F.xxhash64("cell", F.pmod(F.xxhash64("node"), F.col("parts")))).drop("parts"), "placed")
+    corners = [F.array(*[f(F.get("counts", F.lit(i))) for i in range(COUNTS)]) for f in (F.min, F.max)]
+    boxes = written(placed.groupBy("cell").agg(corners[0].alias("low"), corners[1].alias("high")), "boxes")
+    deal = F.pmod(F.col("cell"), F.lit(16))
+    theirs = boxes.select(F.col("cell").alias("other"), F.col("low").alias("other_low"), F.col("high").alias("other_high"), deal.alias("deal"))
+    mine = boxes.withColumn("deal", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(15).cast("long"))))
+    meets = written(mine.join(theirs, "deal").where(_apart("low", "high", "other_low", "other_high") <= radius).select("cell", "other", "other_low", "other_high"), "meets")
+    side = F.when(F.col("cell") == F.col("other"), 1).when(F.col("cell") < F.col("other"), 0).otherwise(2).cast("byte")
+    tile = F.xxhash64(F.least("cell", "other"), F.greatest("cell", "other"))
+    rows = placed.join(meets, "cell").where(_apart("counts", "counts", "other_low", "other_high") <= radius).select(tile.alias("tile"), side.alias("side"), "node", "f0", "f1", "f2", "f3")
     return rows.repartition("tile").sortWithinPartitions("tile").mapInArrow(_tiles(radius), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """key, doc_id, kept_key, kept_id: every document of a group but the one that stays, with that one.
+    """key, doc_id, kept_key, kept_id, links: every document of a group but the one that stays, with that
+    one, and how many other documents are within the radius of it.
 
     Groups are the connected components of pairs of fingerprints within `radius`
     of 256 bits; of each group the document with the least (doc_id, key) stays.
@@ -184,18 +243,23 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, id_col: str = "doc_id
     - Equal fingerprints (copies, whatever their case, space and punctuation, and
       whatever their number) are one node, so they cost nothing in the join.
     - A null or empty text, or one without words, has no fingerprint and no group.
-    - Rows that repeat an id with the same text are one document.
-    - A null id comes after all others. An empty table gives no rows.
+    - Rows that repeat an id with the same text are one document. Ids must be
+      integers or cast to them; documents are told apart by a 64-bit hash of id and text.
+    - A null id comes after all others. Very long texts count whole. Extra
+      columns are dropped first. An empty table gives no rows.
     """
     prints = written(fingerprints(docs, id_col, text_col).distinct(), "prints")
     fs = ["f0", "f1", "f2", "f3"]
-    nodes = written(prints.groupBy(*fs).agg(F.min("key").alias("node")), "nodes")
-    roots = components(near_pairs(nodes, radius))
-    node = nodes.join(roots, "node", "left").select(*fs, F.coalesce("root", "node").alias("root"))
-    member = prints.join(node, fs).select("key", "doc_id", "root")
+    nodes = written(prints.groupBy(*fs).agg(F.min("key").alias("node"), F.count("*").alias("copies")), "nodes")
+    pairs = written(near_pairs(nodes, radius), "pairs")
+    roots = components(pairs)
+    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    near = both.join(nodes.select(F.col("node").alias("b"), "copies"), "b").groupBy(F.col("a").alias("node")).agg(F.sum("copies").alias("near"))
+    node = nodes.join(roots, "node", "left").join(near, "node", "left").select(*fs, F.coalesce("root", "node").alias("root"), (F.coalesce("near", F.lit(0)) + F.col("copies") - 1).alias("links"))
+    member = prints.join(node, fs).select("key", "doc_id", "root", "links")
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key")
     kept = member.groupBy("root").agg(F.min(order).alias("kept"), F.count("*").alias("n")).where("n > 1").select("root", F.col("kept.doc_id").alias("kept_id"), F.col("kept.key").alias("kept_key"))
-    return member.join(kept, "root").where(F.col("key") != F.col("kept_key")).select("key", "doc_id", "kept_key", "kept_id")
+    return member.join(kept, "root").where(F.col("key") != F.col("kept_key")).select("key", "doc_id", "kept_key", "kept_id", "links")
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **params) -> DataFrame:

@@ -17,7 +17,7 @@ from spindrel.llm.html_extract import Dom, densities, extract, extract_main_text
 from spindrel.llm.line_dedup import line_dedup
 from spindrel.llm.mixing import flight, mixed, sample
 from spindrel.llm.pii import find, find_pii, luhn
-from spindrel.llm.simhash import _prints, near_dedup, near_duplicates, near_pairs
+from spindrel.llm.simhash import _prints, grid, near_dedup, near_duplicates, near_pairs
 from spindrel.llm.suffix_dedup import repeated, repeated_passages, suffix_array
 from spindrel.llm.tokens import Words
 from spindrel.llm.topk import top_k
@@ -254,33 +254,50 @@ def test_suffixes_against_sorting():
         assert sorted(i for a, b in runs for i in range(a, b + 1)) == want
 
 
-def test_recall_of_near_pairs(spark):
-    r = np.random.default_rng(2)
-    bits = [r.integers(0, 2, 256) for _ in range(150)]
-    for b in bits[:150]:
-        other = b.copy()
-        other[r.choice(256, r.integers(1, 20), replace=False)] ^= 1
-        bits.append(other)
-    prints = np.packbits(np.array(bits, np.uint8), axis=1).view(np.int64)
-    near = {(i, j) for i in range(300) for j in range(i + 1, 300) if (bits[i] != bits[j]).sum() <= 40}
-    nodes = spark.createDataFrame([(i, *map(int, p)) for i, p in enumerate(prints)], "node long, f0 long, f1 long, f2 long, f3 long")
-    got = {(x.a, x.b) for x in near_pairs(nodes).collect()}
-    assert got <= near and len(got) >= 0.9 * len(near)
-
-
-def test_every_pair_within_the_radius(spark):
+@pytest.mark.parametrize("block", [400_000, 40])
+def test_every_pair_within_the_radius(spark, block):
     r = np.random.default_rng(3)
     bits = list(r.integers(0, 2, (164, 256)))
     for k in range(164):  # four pairs at each distance of 1..41
         other = bits[k].copy()
         other[r.choice(256, k % 41 + 1, replace=False)] ^= 1
         bits.append(other)
+    bits += list((r.random((60, 256)) < 0.06).astype(int)) + list((r.random((60, 256)) < 0.94).astype(int))  # far corners of the grid
     prints = np.packbits(np.array(bits, np.uint8), axis=1).view(np.int64)
     far = (np.array(bits)[:, None] != np.array(bits)[None]).sum(axis=2)
     nodes = spark.createDataFrame([(i, *map(int, p)) for i, p in enumerate(prints)], "node long, f0 long, f1 long, f2 long, f3 long")
     for radius in (0, 5, 40, 60):
-        got = [(x.a, x.b) for x in near_pairs(nodes, radius).collect()]
-        assert sorted(got) == [(i, j) for i in range(328) for j in range(i + 1, 328) if far[i, j] <= radius]
+        got = [(x.a, x.b) for x in near_pairs(nodes, radius, block).collect()]
+        assert sorted(got) == [(i, j) for i in range(448) for j in range(i + 1, 448) if far[i, j] <= radius]
+    assert near_pairs(nodes.limit(0)).count() == 0
+
+
+def test_bit_counts_bound_the_distance_and_cells_prune():
+    r = np.random.default_rng(4)
+    prints = r.integers(0, 2**32, (400, 8), dtype=np.uint32)
+    counts = np.bitwise_count(prints).astype(int)
+    apart = np.bitwise_count(prints[:, None] ^ prints[None]).sum(axis=2)
+    assert (np.abs(counts[:, None] - counts[None]).sum(axis=2) <= apart).all()
+    splits = grid(np.concatenate([counts // 8, counts // 8 + 20]), 8)
+    assert len(splits) == 7 and splits[0][1] in range(5, 25)  # the middle of two crowds
+
+
+def test_groups_and_links_against_all_pairs(spark):
+    texts = []
+    for k in range(60):
+        words = prose(120, 300 + k).split()
+        for e in range(k % 5):  # further and further from the first
+            words[7 * e : 7 * e + 6] = [f"e{k}x{e}x{i}" for i in range(6)]
+            texts.append(" ".join(words))
+        texts.append(prose(120, 300 + k).upper())
+    rows = list(enumerate(texts))
+    prints = _prints(Words(pa.array(texts)), len(texts))
+    near = np.bitwise_count(prints[:, None] ^ prints[None]).sum(axis=2) <= 40
+    least = np.arange(len(texts))
+    for _ in texts:
+        least = np.array([least[near[i]].min() for i in range(len(texts))])
+    want = {(i, int(least[i]), int(near[i].sum()) - 1) for i in range(len(texts)) if least[i] != i}
+    assert len(want) > 60 and {(r.doc_id, r.kept_id, r.links) for r in near_duplicates(docs(spark, rows)).collect()} == want
 
 
 @pytest.mark.parametrize("n", [20_000, 100_000])
