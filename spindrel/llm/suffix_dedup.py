@@ -10,10 +10,12 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import small, unique_docs, written
-from .tokens import Words, signed, slices, spans_hash
+from .common import lookup, unique_docs, written
+from .tokens import Words, mix, signed, slices, spans_hash
 
 LENGTH, GRAM = 50, 24
+#: Words that are suffix-sorted at once, and of a group beyond which its windows are counted instead.
+MOST = 1 << 17
 
 
 def suffix_array(text: list[int]) -> list[int]:
@@ -160,19 +162,29 @@ def cut(words: Words, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, n
     return doc[ok[begin]], at[ok[begin]], np.diff(np.append(begin, len(ok))), value[least[begin]]
 
 
+_FETCHED = "least long, content long, alone boolean, key long, at int, words array<long>, window long"
+
+
 def _fetch(length: int):
+    """The words of each stretch that is wanted; of those of crowded groups, one row for each window of `length` words with its hash."""
+
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
                 words = Words(part["text"])
-                content, least, spans = [], [], []
+                out: list[tuple] = []
                 for r, wanted in enumerate(part["wanted"].to_pylist()):
+                    key = part["key"][r].as_py()
                     for w in wanted:
                         a = words.first[r] + w["at"]
-                        content.append(w["content"])
-                        least.append(w["least"])
-                        spans.append(signed(words.hash[a : a + w["size"] + length - 1]))
-                yield pa.RecordBatch.from_arrays([pa.array(least, pa.int64()), pa.array(content, pa.int64()), pa.array(spans, pa.list_(pa.int64()))], names=["least", "content", "words"])
+                        if w["crowded"]:
+                            places = np.arange(a, a + w["size"])
+                            windows = signed(mix(spans_hash(words.hash, places, places + length, 0xD6E8FEB86659FD93)))
+                            out += [(w["least"], w["content"], w["alone"], key, w["at"] + i, None, h) for i, h in enumerate(windows.tolist())]
+                        else:
+                            out.append((w["least"], w["content"], w["alone"], key, w["at"], signed(words.hash[a : a + w["size"] + length - 1]), None))
+                kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate(kinds)], names=[c.split()[0] for c in _FETCHED.split(", ")])
 
     return fetch
 
@@ -198,24 +210,25 @@ def repeated(texts: list[np.ndarray], length: int) -> list[list[tuple[int, int]]
     return out
 
 
-def _sort(length: int, most: int = 1 << 17):
-    """Suffix-sorts runs of whole groups of stretches with one least gram, about `most` words at a time."""
+def _sort(length: int, most: int):
+    """Suffix-sorts runs of whole groups of stretches with one least gram, about `most` words at a time:
+    key, lo, hi of the repeated windows of stretches that stand alone."""
 
-    def flush(held: list[tuple[int, int, np.ndarray]]) -> pa.RecordBatch:
-        rows = [(c, g, a, b) for (g, c, _), runs in zip(held, repeated([x for *_, x in held], length)) for a, b in runs]
-        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.int32()))], names=["content", "least", "lo", "hi"])
+    def flush(held: list[tuple[int, bool, int, int, np.ndarray]]) -> pa.RecordBatch:
+        rows = [(key, at + a, at + b) for (_, alone, key, at, _), runs in zip(held, repeated([x for *_, x in held], length)) if alone for a, b in runs]
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int32(), pa.int32()))], names=["key", "lo", "hi"])
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[int, int, np.ndarray]] = []
+        held: list[tuple[int, bool, int, int, np.ndarray]] = []
         total = 0
         for batch in batches:
             offsets, flat = batch["words"].offsets.to_numpy(), batch["words"].values.to_numpy()
-            for i, (least, content) in enumerate(zip(batch["least"].to_pylist(), batch["content"].to_pylist())):
+            for i, (least, *row) in enumerate(zip(*(batch[c].to_pylist() for c in ("least", "alone", "key", "at")))):
                 if total >= most and least != held[-1][0]:
                     yield flush(held)
                     held, total = [], 0
                 x = flat[offsets[i] : offsets[i + 1]]
-                held.append((least, content, x))
+                held.append((least, *row, x))
                 total += len(x)
         if held:
             yield flush(held)
@@ -223,41 +236,48 @@ def _sort(length: int, most: int = 1 << 17):
     return sort
 
 
-def repeated_passages(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repeated_passages(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, most: int = MOST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, key, start_word, end_word: every maximal stretch of a text covered by passages of `length`
     words that stand at two places or more of the corpus.
 
     The suffixes of the corpus are shared out by the least gram of their first
-    `length` words, so that two that agree in so many meet in one partition, and
+    `length` words, so that two that agree in so many meet in one group, and
     a stretch of neighbours travels as one row of 40 bytes without its words.
     Stretches whose least gram stands once in the corpus are done. Equal
     stretches are repeated as a whole, be they two or a million. Where one least
     gram has different stretches, at the edges of passages, one of each kind is
     fetched and suffix-sorted, and common prefixes of neighbours tell which of
-    its positions are repeated. The result is exact up to 64-bit hashes.
+    its positions are repeated. A group of over `most` words (a header before
+    a million different texts) isn't sorted in one task: its windows of `length`
+    words, at most length - gram + 1 a stretch, are counted by hash instead. The
+    result is the same, and exact up to 64-bit hashes.
 
     - Words are compared without case and punctuation; positions count words from 0, the end excluded.
-    - Null and empty texts, and those below `length` words, give no rows.
-    - Rows that repeat an id with the same text are one document, and no repeat.
+    - Null and empty texts, and those below `length` words, give no rows. Very long ones are searched whole.
+    - Rows that repeat an id with the same text are one document, and no repeat. Ids must be integers or cast
+      to them; documents are told apart by a 64-bit hash of id and text.
     - A passage that repeats within one text counts. A null id is kept.
-    - An empty table gives no rows.
+    - Extra columns are dropped first. An empty table gives no rows.
     """
     docs = unique_docs(docs, id_col, text_col)
-    cut_up = docs.mapInArrow(_stretches(length, gram), "least long, content long, key long, at int, size int")
-    by = Window.partitionBy("least")
-    same = Window.partitionBy("least", "content")
-    marked = cut_up.withColumn("n", F.count("*").over(by)).where("n > 1").withColumn("of", F.count("*").over(same))
-    marked = written(marked, "stretches")
-    mixed = marked.where("of < n")
-    one = mixed.groupBy("least", "content").agg(F.min(F.struct("key", "at", "size")).alias("one"))
-    wanted = written(one.select("one.key", F.struct("least", "content", "one.at", "one.size").alias("w")).groupBy("key").agg(F.collect_list("w").alias("wanted")), "wanted")
-    texts = docs.join(wanted if small(wanted) else wanted.hint("shuffle_hash"), "key").select("key", "text", "wanted")
-    words = texts.mapInArrow(_fetch(length), "least long, content long, words array<long>")
-    runs = words.repartition("least").sortWithinPartitions("least", "content").mapInArrow(_sort(length), "content long, least long, lo int, hi int")
-    whole = marked.where("of > 1").select("key", F.col("at").alias("lo"), (F.col("at") + F.col("size") - 1).alias("hi"))
-    part = marked.where("of = 1 and n > 1").join(runs, ["least", "content"]).select("key", (F.col("at") + F.col("lo")).alias("lo"), (F.col("at") + F.col("hi")).alias("hi"))
+    cut_up = docs.select("key", "text").mapInArrow(_stretches(length, gram), "least long, content long, key long, at int, size int")
+    twice = written(cut_up.groupBy("least").agg(F.count("*").alias("n")).where("n > 1"), "twice")
+    marked = written(cut_up.join(twice, "least"), "stretches")
+    kinds = written(marked.groupBy("least", "content", "n").agg(F.count("*").alias("of"), F.min(F.struct("key", "at", "size")).alias("one")), "kinds")
+    mixed = kinds.where("of < n")
+    crowded = mixed.groupBy("least").agg((F.sum(F.col("one.size") + length - 1) > most).alias("crowded"))
+    w = F.struct("least", "content", (F.col("of") == 1).alias("alone"), "crowded", "one.at", "one.size")
+    wanted = written(mixed.join(crowded, "least").select("one.key", w.alias("w")).groupBy("key").agg(F.collect_list("w").alias("wanted")), "wanted")
+    texts = docs.join(lookup(wanted), "key").select("key", "text", "wanted")
+    fetched = written(texts.mapInArrow(_fetch(length), _FETCHED), "fetched")
+    groups = fetched.where("window is null").select("least", "alone", "key", "at", "words")
+    runs = groups.repartition("least").sortWithinPartitions("least").mapInArrow(_sort(length, most), "key long, lo int, hi int")
+    windows = fetched.where("window is not null")
+    again = windows.groupBy("window").agg(F.count("*").alias("c")).where("c > 1").select("window")
+    single = windows.where("alone").join(again, "window").select("key", F.col("at").alias("lo"), F.col("at").alias("hi"))
+    whole = marked.join(kinds.where("of > 1").select("least", "content"), ["least", "content"]).select("key", F.col("at").alias("lo"), (F.col("at") + F.col("size") - 1).alias("hi"))
     order = Window.partitionBy("key").orderBy("lo", "hi")
-    covered = whole.unionByName(part).withColumn("before", F.max(F.col("hi") + length).over(order.rowsBetween(Window.unboundedPreceding, -1)))
+    covered = whole.unionByName(runs).unionByName(single).withColumn("before", F.max(F.col("hi") + length).over(order.rowsBetween(Window.unboundedPreceding, -1)))
     islands = covered.withColumn("island", F.sum(F.when(F.col("before") >= F.col("lo"), 0).otherwise(1)).over(order))
     spans = islands.groupBy("key", "island").agg(F.min("lo").alias("start_word"), (F.max("hi") + length).alias("end_word"))
     return spans.join(docs.select("key", "doc_id"), "key").select("doc_id", "key", "start_word", "end_word")
