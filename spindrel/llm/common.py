@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterable
@@ -10,16 +12,21 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _own: list[str] = []
+#: Bytes (compressed) of a side of a join, by partition, up to which its partitions become hash tables.
+HASH_PARTITION = 32 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share, from spark.checkpoint.dir; where that is unset
-    (tests, one machine) a temporary one."""
+    """The folder that all executors share, from spark.checkpoint.dir. Where that is unset a temporary
+    one serves, on one machine only: on a cluster each machine would write to its own disk."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
     if not _own:
         _own.append("file://" + tempfile.mkdtemp(prefix="spindrel-"))
+        atexit.register(shutil.rmtree, _own[0][len("file://") :], ignore_errors=True)
     return _own[0]
 
 
@@ -61,18 +68,25 @@ def narrow(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
 def without(docs: DataFrame, keys: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs, whole, whose key is not in `keys` (a column key; a written table, so that its
-    size is known: Spark broadcasts it below its threshold, else builds hash tables of its partitions,
-    and never sorts the texts)."""
+    size is known: see lookup())."""
     name = fresh(docs.columns, "__key")
-    gone = keys.select(F.col("key").alias(name))
-    gone = gone if small(keys) else gone.hint("shuffle_hash")
+    gone = lookup(keys.select(F.col("key").alias(name)), keys)
     return docs.withColumn(name, row_key(id_col, text_col)).join(gone, name, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
-def small(df: DataFrame) -> bool:
-    """Whether a table is known to be below Spark's own broadcast threshold."""
-    limit = df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
-    return 0 <= int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= limit
+def lookup(side: DataFrame, table: DataFrame | None = None) -> DataFrame:
+    """A side of a join that meets whole texts: broadcast by Spark below its threshold; else hash tables
+    of its partitions while these are small (a hash table doesn't spill), so that texts move once and
+    aren't sorted; else sorted. `table`: a written table of at least its size, where side isn't one."""
+    conf = side.sparkSession._jsparkSession.sessionState().conf()
+    size = _size(side if table is None else table)
+    if 0 <= size <= conf.autoBroadcastJoinThreshold() or size > HASH_PARTITION * conf.numShufflePartitions():
+        return side
+    return side.hint("shuffle_hash")
+
+
+def _size(df: DataFrame) -> int:
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import narrow, small, without, written
+from .common import lookup, narrow, without, written
 from .tokens import Words, signed, slices
 
 N = 4
@@ -187,7 +187,7 @@ def contaminated(
         pairs = docs.mapInArrow(_seeded(gram[order], item[order], n, reach), window_type).distinct()
     else:
         per_doc = written(found.join(seeds, "gram").groupBy("key").agg(F.collect_set(F.struct("item", "at")).alias("seeds")), "seeds")
-        texts = docs.join(per_doc if small(per_doc) else per_doc.hint("shuffle_hash"), "key").select("key", "doc_id", "text", "seeds")
+        texts = docs.join(lookup(per_doc), "key").select("key", "doc_id", "text", "seeds")
         pairs = texts.mapInArrow(_windows(reach), window_type).distinct()
     scored = pairs.join(lists, "item").mapInArrow(_align(min_score), "key long, doc_id long, item long, item_id long, score double, start_word int, end_word int")
     best = scored.groupBy("key", "item").agg(F.max_by(F.struct("doc_id", "item_id", "score", "start_word", "end_word"), F.struct("score", -F.col("start_word"))).alias("b"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, row_key
+from .common import fresh, lookup, row_key, written
 
 
 def _windows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -58,15 +58,16 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     - Rows that repeat an id with the same text are one document, and are
       shortened alike; equal texts under two ids are two documents, of which the
       one with the lesser id keeps its lines.
-    - A null id comes after all others.
+    - A null id comes after all others. Windows are compared, and documents told
+      apart, by 64-bit hashes.
     - A document whose every line goes keeps an empty text, or with
       drop_emptied goes itself. An empty table gives an empty table.
     """
     key, cov, removed = (fresh(docs.columns, n) for n in ("__key", "__covered", "n_removed"))
-    covered = covered_lines(docs, id_col, text_col).select(F.col("key").alias(key), F.col("covered").alias(cov))
+    covered = written(covered_lines(docs, id_col, text_col).select(F.col("key").alias(key), F.col("covered").alias(cov)), "covered")
     lines = F.split(F.col(text_col), "\n", -1)
     kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(cov))
     text = F.when(F.col(cov).isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n"))
-    out = docs.withColumn(key, row_key(id_col, text_col)).join(covered.hint("shuffle_hash"), key, "left")
+    out = docs.withColumn(key, row_key(id_col, text_col)).join(lookup(covered), key, "left")
     out = out.select(*[(text.alias(c) if c == text_col else F.col(f"`{c}`")) for c in docs.columns], F.coalesce(F.size(cov), F.lit(0)).alias(removed))
     return out.where((F.col(removed) == 0) | (F.trim(F.regexp_replace(text_col, "\n", "")) != "")) if drop_emptied else out

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fresh, row_key, written
+from .common import fresh, lookup, row_key, written
 from .tokens import mix
 
 TEMPERATURE, BUDGET, BLOCK, SEED = 0.5, 0.6, 4096, 17
@@ -208,8 +208,8 @@ def sample(
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **params) -> DataFrame:
     """The rows of docs that sample() draws, whole. Their keys are a written table; hash tables of its
     partitions meet the texts, which move once and are never sorted."""
-    chosen = written(sample(docs, id_col=id_col, text_col=text_col, source_col=source_col, **params).select("key", "source"), "chosen")
+    drawn = written(sample(docs, id_col=id_col, text_col=text_col, source_col=source_col, **params).select("key", "source"), "chosen")
     key, source = fresh(docs.columns, "__key"), fresh(docs.columns, "__source")
-    chosen = chosen.select(F.col("key").alias(key), F.coalesce(F.concat(F.lit("s"), "source"), F.lit("null")).alias(source))
+    chosen = drawn.select(F.col("key").alias(key), F.coalesce(F.concat(F.lit("s"), "source"), F.lit("null")).alias(source))
     keyed = docs.withColumn(key, row_key(id_col, text_col)).withColumn(source, F.coalesce(F.concat(F.lit("s"), F.col(source_col).cast("string")), F.lit("null")))
-    return keyed.join(chosen.hint("shuffle_hash"), [key, source], "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return keyed.join(lookup(chosen, drawn), [key, source], "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -272,6 +272,25 @@ def test_every_pair_within_the_radius(spark, block):
     assert near_pairs(nodes.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("most", [1 << 17, 300])
+def test_repeated_passages_against_all_windows(spark, most):
+    """A header before different texts, passages that overlap, copies; with a small limit the header's group is crowded."""
+    header, one, two = prose(55, 1), prose(70, 2), prose(52, 3)
+    rows = [(k, f"{header} {prose(30, 10 + k)}") for k in range(40)] + [(50, f"{prose(20, 60)} {one} {prose(9, 61)} {two}"), (51, f"{one} {two}"), (52, f"{two} {prose(3, 62)} {one}"), (53, f"{one} {two}"), (54, prose(100, 63)), (55, "spam " * 120)]
+    seen: dict = {}
+    for k, t in rows:
+        words = t.split()
+        for i in range(len(words) - 49):
+            seen.setdefault(tuple(words[i : i + 50]), []).append((k, i))
+    covered: dict = {}
+    for places in seen.values():
+        for k, i in places if len(places) > 1 else []:
+            covered.setdefault(k, set()).update(range(i, i + 50))
+    want = {(k, w) for k, x in covered.items() for w in x}
+    got = repeated_passages(docs(spark, rows), most=most).collect()
+    assert {(r.doc_id, w) for r in got for w in range(r.start_word, r.end_word)} == want and len(want) > 2500
+
+
 def test_bit_counts_bound_the_distance_and_cells_prune():
     r = np.random.default_rng(4)
     prints = r.integers(0, 2**32, (400, 8), dtype=np.uint32)
