@@ -69,13 +69,13 @@ def _hits(grams: np.ndarray | None, n: int):
     return hits
 
 
-def _cut(words: Words, part: pa.RecordBatch, row: np.ndarray, item: np.ndarray, at: np.ndarray, reach: int) -> pa.RecordBatch:
-    """Of each row and item with seeds at words `at`: the word hashes within reach of any seed, run by run."""
+def _cut(words: Words, part: pa.RecordBatch, row: np.ndarray, item: np.ndarray, at: np.ndarray, reach: np.ndarray) -> pa.RecordBatch:
+    """Of each row and item with seeds at words `at`: the word hashes within the item's reach of any seed, run by run."""
     order = np.lexsort((at, item, row))
-    row, item, at = row[order], item[order], at[order]
-    begin = np.flatnonzero(np.concatenate([[True], (np.diff(row) != 0) | (np.diff(item) != 0) | (np.diff(at) > reach)])) if len(at) else at
+    row, item, at, reach = row[order], item[order], at[order], reach[order]
+    begin = np.flatnonzero(np.concatenate([[True], (np.diff(row) != 0) | (np.diff(item) != 0) | (np.diff(at) > reach[1:])])) if len(at) else at
     last = at[np.append(begin[1:], len(at)) - 1] if len(at) else at
-    row, item = row[begin], item[begin]
+    row, item, reach = row[begin], item[begin], reach[begin]
     base = words.first[row]
     lo, hi = np.maximum(at[begin] - reach, 0), np.minimum(last + reach, words.first[row + 1] - base)
     spans = [signed(words.hash[x:y]) for x, y in zip((base + lo).tolist(), (base + hi).tolist())]
@@ -85,20 +85,16 @@ def _cut(words: Words, part: pa.RecordBatch, row: np.ndarray, item: np.ndarray,
     )
 
 
-def _windows(reach: int):
+def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """_cut() of each text by the seed positions that come with it."""
-
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, "text"):
-                seeds = [(r, s["item"], s["at"]) for r, all_ in enumerate(part["seeds"].to_pylist()) for s in all_]
-                yield _cut(Words(part["text"]), part, *np.array(seeds, np.int64).reshape(-1, 3).T, reach)
-
-    return windows
+    for batch in batches:
+        for part in slices(batch, "text"):
+            seeds = [(r, s["item"], s["at"], s["reach"]) for r, all_ in enumerate(part["seeds"].to_pylist()) for s in all_]
+            yield _cut(Words(part["text"]), part, *np.array(seeds, np.int64).reshape(-1, 4).T)
 
 
-def _seeded(grams: np.ndarray, items: np.ndarray, n: int, reach: int):
-    """_cut() of each text by the seeds found in it; grams ascend, and items[i] is an item that grams[i] is a seed of."""
+def _seeded(grams: np.ndarray, items: np.ndarray, reach: np.ndarray, n: int):
+    """_cut() of each text by the seeds found in it; grams ascend, and items[i], of reach[i], is an item that grams[i] is a seed of."""
 
     def seeded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -111,7 +107,7 @@ def _seeded(grams: np.ndarray, items: np.ndarray, n: int, reach: int):
                 entry = np.repeat(first[hit] - np.cumsum(much) + much, much) + np.arange(much.sum())
                 at = np.repeat(at[hit], much)
                 row = words.doc[at]
-                yield _cut(words, part, row, items[entry], at - words.first[row], reach)
+                yield _cut(words, part, row, items[entry], at - words.first[row], reach[entry])
 
     return seeded
 
@@ -158,7 +154,9 @@ def contaminated(
     corpus join them by shuffle. Results are the same.
 
     - Nulls, empty texts and those below n words, on either side, match nothing.
-    - Rows that repeat an id with the same text are one document, or one item.
+    - Rows that repeat an id with the same text are one document, or one item. Ids must be integers or cast
+      to them; documents are told apart by a 64-bit hash of id and text.
+    - Very long texts are searched whole. Extra columns are dropped first.
     - Of equal scores, the first place in the document wins.
     - Null ids are kept as such. Empty tables give no rows.
     """
@@ -176,19 +174,19 @@ def contaminated(
     total = docs.count()
     seen = of_items.join(df, "gram")
     rank = F.percent_rank().over(Window.partitionBy("item").orderBy("df"))
-    seeds = seen.withColumn("rank", rank).where((F.col("df") <= rare_df * total) | (F.col("rank") <= rare_share)).select("item", "gram")
     lists = written(items.mapInArrow(_item_words, "item long, item_id long, item_words array<long>"), "items")
-    reach = lists.agg(F.max(F.size("item_words"))).first()[0] or 1
+    seeds = seen.withColumn("rank", rank).where((F.col("df") <= rare_df * total) | (F.col("rank") <= rare_share)).select("item", "gram")
+    seeds = seeds.join(lists.select("item", F.size("item_words").alias("reach")), "item")
     window_type = "key long, doc_id long, item long, lo int, words array<long>"
     if size <= broadcast_grams:
         chosen = seeds.toArrow()
-        gram, item = chosen["gram"].to_numpy().view(np.uint64), chosen["item"].to_numpy()
+        gram, item, reach = chosen["gram"].to_numpy().view(np.uint64), chosen["item"].to_numpy(), chosen["reach"].to_numpy().astype(np.int64)
         order = np.lexsort((item, gram))
-        pairs = docs.mapInArrow(_seeded(gram[order], item[order], n, reach), window_type).distinct()
+        pairs = docs.mapInArrow(_seeded(gram[order], item[order], reach[order], n), window_type).distinct()
     else:
-        per_doc = written(found.join(seeds, "gram").groupBy("key").agg(F.collect_set(F.struct("item", "at")).alias("seeds")), "seeds")
+        per_doc = written(found.join(seeds, "gram").groupBy("key").agg(F.collect_set(F.struct("item", "at", "reach")).alias("seeds")), "seeds")
         texts = docs.join(lookup(per_doc), "key").select("key", "doc_id", "text", "seeds")
-        pairs = texts.mapInArrow(_windows(reach), window_type).distinct()
+        pairs = texts.mapInArrow(_windows, window_type).distinct()
     scored = pairs.join(lists, "item").mapInArrow(_align(min_score), "key long, doc_id long, item long, item_id long, score double, start_word int, end_word int")
     best = scored.groupBy("key", "item").agg(F.max_by(F.struct("doc_id", "item_id", "score", "start_word", "end_word"), F.struct("score", -F.col("start_word"))).alias("b"))
     return best.select("key", "b.*")

@@ -174,7 +174,8 @@ def sample(
     moves in none of them.
 
     - Rows that repeat an id with the same text (and source) are one unit of so
-      many documents: they go or stay together.
+      many documents: they go or stay together. Units are told apart by a 64-bit hash. Ids must be integers or cast to them.
+    - Ties (units alike) are decided by the hash of the key. Very long texts count whole. Extra columns are dropped first.
     - A null source is a source of its own name-less kind; with targets its weight is 0.
     - A null or empty text has no tokens; it counts as a document only.
     - A null id is an id. Sources without target or tokens give nothing. An empty table gives no rows.

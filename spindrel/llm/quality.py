@@ -121,7 +121,8 @@ def encode_all(texts: pa.Array, vocabulary: np.ndarray) -> Encoded:
 
 
 def select_vocabulary(texts: pa.Array, labels: np.ndarray, size: int = VOCABULARY) -> tuple[np.ndarray, np.ndarray]:
-    """The features most associated with any label, sorted by hash, and their log odds by label."""
+    """The `size` features most associated with any label (chi-square over 4, in three texts at least),
+    sorted by hash, and their log odds by label."""
     K, tallies = labels.shape[1], []
     for at, part in _parts(texts):
         words = Words(part)
@@ -192,7 +193,7 @@ class Model:
 
 def _sums(values: np.ndarray, group: np.ndarray, n: int) -> np.ndarray:
     """Sums of rows by ascending group numbers below n."""
-    out = np.zeros((n, values.shape[1]), np.float32)
+    out = np.zeros((n, values.shape[1]), values.dtype)
     if len(group):
         begin = np.flatnonzero(np.diff(group, prepend=-1))
         out[group[begin]] = np.add.reduceat(values, begin, axis=0)
@@ -204,7 +205,40 @@ def _attend(h: np.ndarray, w: dict[str, np.ndarray], k: int) -> tuple[np.ndarray
     return t, g, (t * g) @ w["w"][k]
 
 
-def train(texts: pa.Array, labels: np.ndarray, epochs: int = EPOCHS, seed: int = SEED) -> Model:
+def gradients(w: dict[str, np.ndarray], row: np.ndarray, column: np.ndarray, d: np.ndarray, sizes: np.ndarray, labels: np.ndarray, share: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
+    """Loss (cross entropy, classes weighed alike, meaned over bags and summed over heads) of some bags and its gradients by weight.
+
+    row, column: vocabulary entries of passages, by passage; d: dense features;
+    sizes: passages of each bag; share: of each head, the share of positive labels."""
+    begin, bags, loss = np.concatenate([[0], np.cumsum(sizes)[:-1]]), len(sizes), 0.0
+    h = np.tanh(_sums(w["E"][column], row, len(d)) + d @ w["D"] + w["b"])
+    g = {name: np.zeros_like(v) for name, v in w.items()}
+    gh = np.zeros_like(h)
+    for k in range(labels.shape[1]):
+        t, s, score = _attend(h, w, k)
+        soft = np.exp(score - np.repeat(np.maximum.reduceat(score, begin), sizes))
+        soft /= np.repeat(np.add.reduceat(soft, begin), sizes)
+        z = np.add.reduceat(h * soft[:, None], begin, axis=0)
+        y = labels[:, k]
+        prob = 1 / (1 + np.exp(-(z @ w["c"][k] + w["d"][k])))
+        weight = np.where(y == 1, 0.5 / share[k], 0.5 / (1 - share[k])) / bags
+        loss -= float((weight * np.log(np.maximum(np.where(y == 1, prob, 1 - prob), 1e-30))).sum())
+        gl = ((prob - y) * weight).astype(w["c"].dtype)
+        g["c"][k], g["d"][k] = z.T @ gl, gl.sum()
+        gz = np.repeat(gl, sizes)[:, None] * w["c"][k]
+        along = (gz * h).sum(1)
+        gs = soft * (along - np.repeat(np.add.reduceat(soft * along, begin), sizes))
+        g["w"][k] = (t * s).T @ gs
+        gt, gg = gs[:, None] * w["w"][k] * s * (1 - t * t), gs[:, None] * w["w"][k] * t * s * (1 - s)
+        g["V"][k], g["U"][k] = h.T @ gt, h.T @ gg
+        gh += soft[:, None] * gz + gt @ w["V"][k].T + gg @ w["U"][k].T
+    ga = gh * (1 - h * h)
+    by = np.argsort(column, kind="stable")
+    g["E"], g["D"], g["b"] = _sums(ga[row[by]], column[by], len(w["E"])), d.T @ ga, ga.sum(0)
+    return loss, g
+
+
+def train(texts: pa.Array, labels: np.ndarray, epochs: int = EPOCHS, seed: int = SEED, size: int = VOCABULARY) -> Model:
     """Learns from texts and their 0/1 labels (columns as HEADS). Same rows, same model.
 
     Each document is a bag of passages. a_p = w.(tanh(V h_p) * sigmoid(U h_p)) is
@@ -213,7 +247,7 @@ def train(texts: pa.Array, labels: np.ndarray, epochs: int = EPOCHS, seed: int =
     A fifth of the rows is held out of the steps to set the thresholds.
     """
     rng = np.random.default_rng(seed)
-    vocabulary, odds = select_vocabulary(texts, labels)
+    vocabulary, odds = select_vocabulary(texts, labels, size)
     e = encode_all(texts, vocabulary)
     K, V = len(HEADS), len(vocabulary)
     E = rng.normal(0, 0.02, (V, HIDDEN))
@@ -244,33 +278,10 @@ def train(texts: pa.Array, labels: np.ndarray, epochs: int = EPOCHS, seed: int =
             bag = order[a : a + BATCH]
             sizes = e.first[bag + 1] - e.first[bag]
             p = np.concatenate([np.arange(e.first[i], e.first[i + 1]) for i in bag])
-            begin = np.concatenate([[0], np.cumsum(sizes)[:-1]])
             much = entry[p + 1] - entry[p]
             row = np.repeat(np.arange(len(p)), much)
             column = e.column[np.repeat(entry[p] - np.cumsum(much) + much, much) + np.arange(len(row))]
-            d = dense[p]
-            h = np.tanh(_sums(w["E"][column], row, len(p)) + d @ w["D"] + w["b"])
-            g = {name: np.zeros_like(v) for name, v in w.items()}
-            gh = np.zeros_like(h)
-            for k in range(K):
-                t, s, score = _attend(h, w, k)
-                soft = np.exp(score - np.repeat(np.maximum.reduceat(score, begin), sizes))
-                soft /= np.repeat(np.add.reduceat(soft, begin), sizes)
-                z = np.add.reduceat(h * soft[:, None], begin, axis=0)
-                y = labels[bag, k]
-                prob = 1 / (1 + np.exp(-(z @ w["c"][k] + w["d"][k])))
-                gl = ((prob - y) * np.where(y == 1, 0.5 / share[k], 0.5 / (1 - share[k])) / len(bag)).astype(np.float32)
-                g["c"][k], g["d"][k] = z.T @ gl, gl.sum()
-                gz = np.repeat(gl, sizes)[:, None] * w["c"][k]
-                along = (gz * h).sum(1)
-                gs = soft * (along - np.repeat(np.add.reduceat(soft * along, begin), sizes))
-                g["w"][k] = (t * s).T @ gs
-                gt, gg = gs[:, None] * w["w"][k] * s * (1 - t * t), gs[:, None] * w["w"][k] * t * s * (1 - s)
-                g["V"][k], g["U"][k] = h.T @ gt, h.T @ gg
-                gh += soft[:, None] * gz + gt @ w["V"][k].T + gg @ w["U"][k].T
-            ga = gh * (1 - h * h)
-            by = np.argsort(column, kind="stable")
-            g["E"], g["D"], g["b"] = _sums(ga[row[by]], column[by], V), d.T @ ga, ga.sum(0)
+            _, g = gradients(w, row, column, dense[p], sizes, labels[bag], share)
             step += 1
             for name in w:
                 m1[name] += 0.1 * (g[name] - m1[name])
@@ -293,14 +304,16 @@ def _threshold(scores: np.ndarray, labels: np.ndarray) -> float:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, most: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> tuple[pa.Array, np.ndarray]:
-    """At most `most` labelled documents, those of least hash of the key, in its order: the same
+    """At most `most` labelled rows, those of least hash of the id, in its order: the same
     ones however the tables are laid out. Rows with a null label or text, or of an id with labels that differ, are left out."""
     clean = labels.select(F.col(id_col).cast("long").alias("doc_id"), *[F.col(h).cast("int").alias(h) for h in HEADS]).dropna()
     clean = clean.groupBy("doc_id").agg(*[F.min(h).alias(h) for h in HEADS], *[F.max(h).alias(f"{h}_max") for h in HEADS])
     clean = clean.where(" and ".join(f"{h} = {h}_max and {h} in (0, 1)" for h in HEADS)).select("doc_id", *HEADS)
     # ids first, so that only the texts drawn move
     ids = clean.join(docs.select(F.col(id_col).cast("long").alias("doc_id")).distinct(), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    rows = narrow(docs, id_col, text_col).join(F.broadcast(ids), "doc_id").where("text is not null").dropDuplicates(["doc_id", "key"]).select("doc_id", "text", *HEADS).toArrow()
+    rows = narrow(docs, id_col, text_col).join(F.broadcast(ids), "doc_id").where("text is not null").dropDuplicates(["doc_id", "key"])
+    # an id may have many texts
+    rows = rows.orderBy(F.xxhash64("doc_id"), "doc_id", "key").limit(most).select("doc_id", "text", *HEADS).toArrow()
     order = np.lexsort((np.array([xxhash.xxh64_intdigest(t) for t in rows["text"].to_pylist()], np.uint64), rows["doc_id"].to_numpy())) if rows.num_rows else np.zeros(0, np.int64)
     rows = rows.take(pa.array(order))
     return rows["text"].combine_chunks(), np.stack([rows[h].to_numpy() for h in HEADS], axis=1).astype(np.float32)
@@ -323,36 +336,39 @@ def _scorer(model: Model):
 SCORES = "key long, doc_id long, n_passages int, quality_score double, toxic_score double, accepted boolean"
 
 
-def score_documents(docs: DataFrame, labels: DataFrame, most: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score_documents(docs: DataFrame, labels: DataFrame, most: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", vocabulary: int = VOCABULARY) -> DataFrame:
     """key, doc_id, n_passages, quality_score, toxic_score, accepted, for every row of docs.
 
     One model is trained per call, on the driver, from a sample of labelled rows
-    bounded by `most`; its vocabulary and weights (under 2 MB) go out with the
-    tasks, and scoring is one pass without a shuffle. Accepted are documents at or
+    bounded by `most`, whole texts; it knows at most `vocabulary` features (words and
+    beginnings of words most associated with a label, in three texts at least), and
+    they and its weights (under 2 MB) go out with the tasks. Scoring is one pass
+    without a shuffle. Accepted are documents at or
     over the threshold of quality and under that of toxicity.
 
     - A null or empty text, or one without words, has no passages and null
       scores, and isn't accepted.
     - All passages of a text count, however long it is.
-    - Repeated rows are scored alike. A null id is kept.
+    - Repeated rows are scored alike, and ties in score alike. A null id is kept. Ids must be integers or cast to them.
+    - Extra columns are dropped first; accept() returns them as they are.
     - Labels of ids that docs don't have, null labels and labels that contradict
       each other are left out; without any labels scores are those of the
       untrained model and mean nothing, so every text with words is accepted.
     - An empty table gives no rows.
     """
     texts, y = labelled_sample(docs, labels, most, id_col, text_col)
-    model = train(texts, y)
+    model = train(texts, y, size=vocabulary)
     if not len(y):
         model.thresholds[:] = 0.0, 2.0
     return narrow(docs, id_col, text_col).mapInArrow(_scorer(model), SCORES)
 
 
-def accept(docs: DataFrame, labels: DataFrame, most: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def accept(docs: DataFrame, labels: DataFrame, most: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", vocabulary: int = VOCABULARY) -> DataFrame:
     """The rows of docs, whole, that the classifier accepts; nulls and ties as in score_documents().
 
     Rows pass through the scoring task as they are, so that nothing is joined."""
     texts, y = labelled_sample(docs, labels, most, id_col, text_col)
-    model = train(texts, y)
+    model = train(texts, y, size=vocabulary)
     if not len(y):
         model.thresholds[:] = 0.0, 2.0
 

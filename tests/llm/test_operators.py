@@ -15,7 +15,7 @@ from spindrel.llm.chain_dedup import align, chains, common, fuzzy_passages, pass
 from spindrel.llm.decontaminate import contaminated, decontaminate, local_alignment
 from spindrel.llm.html_extract import Dom, densities, extract, extract_main_text
 from spindrel.llm.line_dedup import line_dedup
-from spindrel.llm.mixing import flight, mixed, sample
+from spindrel.llm.mixing import flight, landing, mixed, sample
 from spindrel.llm.pii import find, find_pii, luhn
 from spindrel.llm.simhash import _prints, grid, near_dedup, near_duplicates, near_pairs
 from spindrel.llm.suffix_dedup import repeated, repeated_passages, suffix_array
@@ -71,9 +71,29 @@ def test_odd_and_empty_tables(spark, odd, labels, name):
     if name == "suffix":
         assert sorted((i or 0, r.start_word, r.end_word) for i, r in zip(ids, rows)) == [(0, 0, 60), (7, 0, 60)]
     if name == "lines":
-        assert len(rows) == 9 and "n_removed_" in got.columns
+        assert len(rows) == 9 and "n_removed_" in got.columns and {r["n_removed_"] for r in rows} == {0}
+        assert sorted(r.text or "" for r in rows) == sorted(r.text or "" for r in odd.collect())
     if name == "quality":
         assert len(rows) == 9 and {r.quality_score for r in rows if r.doc_id in (1, 2, 5)} == {None}
+        assert {r.n_passages for r in rows if r.doc_id == 3} == {2} and {r.n_passages for r in rows if r.doc_id == 4} == {417}
+        assert not any(r.accepted for r in rows if r.doc_id in (1, 2, 5))
+    if name == "accept":
+        assert not set(ids) & {1, 2, 5} and ids.count(3) in (0, 2)
+    if name in ("mix", "mixed"):
+        assert set(ids) <= {None, 1, 2, 3, 4, 5, 6, 7}
+    if name == "mix":  # a repeated row is one unit of two documents
+        assert len(set(ids)) == len(ids) and {r.docs for r in rows if r.doc_id == 3} <= {2}
+        assert {r.tokens for r in rows if r.doc_id == 4} <= {20_000}
+    if name == "mixed":
+        assert ids.count(3) in (0, 2)
+    if name == "pii":
+        assert rows == []
+    if name == "leaks":
+        assert sorted((i or 0, r.item_id, r.score, r.start_word, r.end_word) for i, r in zip(ids, rows)) == [(0, 3, 1.0, 0, 60), (7, 3, 1.0, 0, 60)]
+    if name == "near":
+        assert [(r.doc_id, r.kept_id, r.links) for r in rows] == [(None, 7, 1)]
+    if name == "chain":
+        assert sorted((i or 0, r.start_word, r.end_word, r.other_id or 0, r.identity) for i, r in zip(ids, rows)) == [(0, 0, 60, 7, 1.0), (7, 0, 60, 0, 1.0)]
 
 
 def test_empty_side_tables(spark, odd, labels):
@@ -100,6 +120,65 @@ def test_classifier_on_held_out_texts():
     assert np.array_equal(scores, again.score(pa.array(texts[400:]))[0])
 
 
+def test_gradients_against_differences():
+    r = np.random.default_rng(3)
+    shapes = {"E": (6, 4), "D": (8, 4), "b": (4,), "V": (2, 4, 3), "U": (2, 4, 3), "w": (2, 3), "c": (2, 4), "d": (2,)}
+    w = {name: r.normal(0, 0.5, shape) for name, shape in shapes.items()}
+    sizes = np.array([3, 1, 4])
+    row, column = np.array([0, 0, 2, 3, 4, 4, 7]), np.array([1, 4, 1, 0, 5, 1, 3])
+    batch = (row, column, r.normal(size=(8, 8)), sizes, np.array([[1, 0], [0, 1], [1, 1]], float), np.array([0.6, 0.3]))
+    loss, g = quality.gradients(w, *batch)
+
+    def by_loops():  # the forward pass, passage by passage
+        total, first = 0.0, 0
+        for bag, n in enumerate(sizes):
+            h = [np.tanh(sum((w["E"][c] for x, c in zip(row, column) if x == p), np.zeros(4)) + batch[2][p] @ w["D"] + w["b"]) for p in range(first, first + n)]
+            first += n
+            for k in range(2):
+                a = [math.exp(w["w"][k] @ (np.tanh(x @ w["V"][k]) / (1 + np.exp(-(x @ w["U"][k]))))) for x in h]
+                z = sum(x * y for x, y in zip(a, h)) / sum(a)
+                prob, y, share = 1 / (1 + math.exp(-(z @ w["c"][k] + w["d"][k]))), batch[4][bag, k], batch[5][k]
+                total -= (0.5 / share * math.log(prob) if y else 0.5 / (1 - share) * math.log(1 - prob)) / len(sizes)
+        return total
+
+    assert abs(loss - by_loops()) < 1e-9
+    for name, x in w.items():
+        for at in np.ndindex(x.shape):
+            old = x[at]
+            x[at] = old + 1e-5
+            up = by_loops()
+            x[at] = old - 1e-5
+            down = by_loops()
+            x[at] = old
+            assert abs((up - down) / 2e-5 - g[name][at]) < 1e-7, (name, at)
+
+
+def test_scores_against_a_forward_pass_by_loops():
+    texts = [prose(n, n) for n in (5, 48, 49, 200)]
+    model = quality.train(pa.array(texts * 5), np.array([[1, 0], [0, 1], [1, 1], [0, 0]] * 5, np.float32), epochs=2)
+    scores, count = model.score(pa.array([*texts, "", None]))
+    assert count.tolist() == [1, 1, 2, 5, 0, 0] and np.isnan(scores[4:]).all()
+    e = quality.encode(pa.array(texts), model.vocabulary)
+    w = model.weights
+    for i in range(4):
+        h = []
+        for p in range(e.first[i], e.first[i + 1]):
+            x = ((e.dense[p] - model.mean) / model.std) @ w["D"] + w["b"]
+            h.append(np.tanh(x + sum((w["E"][c] for q, c in zip(e.passage, e.column) if q == p), np.zeros_like(x))))
+        for k in range(2):
+            a = [math.exp(w["w"][k] @ (np.tanh(x @ w["V"][k]) / (1 + np.exp(-(x @ w["U"][k]))))) for x in h]
+            z = sum(x * y for x, y in zip(a, h)) / sum(a)
+            assert abs(scores[i, k] - 1 / (1 + math.exp(-(z @ w["c"][k] + w["d"][k])))) < 1e-4
+
+
+def test_the_labelled_sample_is_bounded_by_rows(spark):
+    many = docs(spark, [(1, prose(20, k)) for k in range(60)] + [(2, prose(20, 99))])
+    labels = spark.createDataFrame([(1, 1, 0), (2, 0, 1)], "doc_id long, quality int, toxic int")
+    texts, y = quality.labelled_sample(many, labels, 10)
+    assert len(texts) == len(y) == 10
+    assert len(quality.labelled_sample(many, labels, 1000)[0]) == 61
+
+
 def test_main_text_of_pages(spark):
     main = "".join(f"<p>{prose(40, k)}</p>" for k in range(4))
     menu = "<ul>" + "".join(f'<li><a href="/{k}">go {k}</a></li>' for k in range(30)) + "</ul>"
@@ -242,6 +321,43 @@ def test_leaks_are_found_and_clean_texts_kept(spark):
         assert sorted((r.doc_id, r.item_id, r.start_word) for r in got.collect()) == [(50, 0, 50), (51, 1, 30)]
 
 
+def test_leaks_against_every_alignment(spark):
+    """Seeds, scores and places of the whole operator, by counting and by full tables, for items of unlike length."""
+    items = [(k, prose(n, 300 + k)) for k, n in enumerate((8, 30, 30, 90, 200))]
+    items[2] = (2, items[1][1][: len(items[1][1]) // 2] + " " + prose(15, 777))  # shares half of its words with another
+    rows = []
+    for k in range(60):
+        r = random.Random(k)
+        words = prose(r.randint(30, 120), 500 + k).split()
+        if k % 2:
+            item = r.choice(items)[1].split()
+            piece = [w if r.random() > (k % 5) / 12 else r.choice(VOCABULARY) for w in item]
+            at = r.randrange(len(words))
+            words[at:at] = piece
+        rows.append((k, " ".join(words)))
+    grams = lambda t: {tuple(t.split()[i : i + 4]) for i in range(len(t.split()) - 3)}
+    df: dict = {}
+    for _, t in rows:
+        for g in grams(t):
+            df[g] = df.get(g, 0) + 1
+    want = set()
+    for item, text in items:
+        seen = sorted(df[g] for g in grams(text) if g in df)
+        seeds = {g for g in grams(text) if g in df and (df[g] <= 0.06 or len(seen) == 1 or seen.index(df[g]) / (len(seen) - 1) <= 0.5)}
+        for k, t in rows:
+            if seeds & grams(t):
+                a, b = text.split(), t.split()
+                h = np.zeros((len(a) + 1, len(b) + 1), int)
+                for i, x in enumerate(a):
+                    for j, y in enumerate(b):
+                        h[i + 1, j + 1] = max(0, h[i, j] + (2 if x == y else -1), h[i, j + 1] - 1, h[i + 1, j] - 1)
+                if h.max() >= len(a):
+                    want.add((k, item, int(h.max()), int(h.max(axis=0).argmax())))
+    for most in (2_000_000, 0):
+        got = contaminated(docs(spark, rows), spark.createDataFrame(items, "item_id long, text string"), broadcast_grams=most).collect()
+        assert {(r.doc_id, r.item_id, round(r.score * 2 * len(items[r.item_id][1].split())), r.end_word) for r in got} == want and len(want) > 20
+
+
 def test_suffixes_against_sorting():
     for seed in range(60):
         r = random.Random(seed)
@@ -413,6 +529,27 @@ def test_flight_keeps_totals():
     assert abs(q.sum() - p.sum()) < 1e-6 and abs(q @ tokens - p @ tokens) < 1e-2
 
 
+def test_landing_keeps_expectations_and_comes_close():
+    p, docs_, tokens = np.array([0.3, 1.0, 0.6, 0.0]), np.ones(4), np.array([50.0, 9.0, 70.0, 5.0])
+    outcomes = np.array([landing(p, docs_, tokens, salt) for salt in range(4000)])
+    assert set(outcomes.ravel()) <= {0.0, 1.0} and (outcomes[:, 1] == 1).all() and (outcomes[:, 3] == 0).all()
+    assert np.abs(outcomes.mean(axis=0) - p).max() < 0.03
+    # of the ways to decide two that keep expectations, by enumeration the least expected miss: never both
+    assert (outcomes[:, 0] + outcomes[:, 2] <= 1).all()
+    assert landing(np.array([0.0, 1.0]), docs_[:2], tokens[:2], 1).tolist() == [0, 1]
+
+
+def test_small_samples_against_their_expectations():
+    """Flight and landing of five units: each is drawn as often as its probability says, and totals hold but for two units."""
+    p, one, tokens = np.array([0.2, 0.9, 0.5, 0.4, 0.7]), np.ones(5), np.array([3.0, 1.0, 4.0, 1.0, 5.0])
+    drawn = np.array([landing(flight(p, one, tokens, salt), one, tokens, salt) for salt in range(6000)])
+    assert set(drawn.ravel()) <= {0.0, 1.0}
+    assert np.abs(drawn.mean(axis=0) - p).max() < 0.03
+    assert np.abs(drawn.sum(axis=1) - p.sum()).max() < 2 and np.abs(drawn @ tokens - p @ tokens).max() <= 9
+    flown = np.array([flight(p, one, tokens, salt) for salt in range(200)])
+    assert np.allclose(flown.sum(axis=1), p.sum()) and np.allclose(flown @ tokens, p @ tokens)
+
+
 def test_mix_meets_its_targets(spark):
     rows = [(k, prose(random.Random(k).randint(5, 200), k)) for k in range(400)]
     got = sample(docs(spark, rows), targets={"web": 1.0}, budget=0.25).collect()
