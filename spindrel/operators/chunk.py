@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import preprocess, sentences
+from ..sources.tables import fresh
 from .markdown import split_markdown
 
 Embed = Callable[[list[str]], np.ndarray]
@@ -88,7 +89,14 @@ def chunk_segments(segments: list[str], embed: Embed, o: ChunkOptions, digits: i
     return fold(segments, gaps, threshold(gaps, o.percentile), o)
 
 
-def _chunker(embed: Embed, o: ChunkOptions, digits: int | None, attempts: int, rescue: bool):
+def _chunker(embed: Embed, o: ChunkOptions, digits: int | None, attempts: int, rescue: bool, timeout: float, keep: list[str]):
+    from ..plans.pipeline import with_error_handling, with_retry, with_timeout
+
+    def one(segments: list[str], text: str) -> tuple[list[str] | None, str]:
+        step = with_retry(with_timeout(with_error_handling(lambda s: chunk_segments(s, embed, o, digits) or [text]), timeout), attempts - 1)
+        out = step(segments)
+        return (out.value, "done") if out.done else ([text] if rescue else None, out.reason)
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             chunks, status = [], []
@@ -104,34 +112,31 @@ def _chunker(embed: Embed, o: ChunkOptions, digits: int | None, attempts: int, r
                     continue
                 if o.markdown:
                     early = [s["text"] for s in split_markdown(text, o.min_chars, o.max_chars, o.headings_only)]
-                for left in range(attempts - 1, -1, -1):
-                    try:
-                        chunks.append(chunk_segments(early, embed, o, digits) or [text])
-                        status.append("done")
-                        break
-                    except Exception:
-                        if not left:
-                            chunks.append([text] if rescue else None)
-                            status.append("retryExceeded")
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "chunks": chunks, "status": status})
+                made, how = one(early, text)
+                chunks.append(made)
+                status.append(how)
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "chunks": chunks, "status": status, **{c: batch[c] for c in keep}})
 
     return run
 
 
-def chunk_documents(docs: DataFrame, options: ChunkOptions = ChunkOptions(), embed: Embed = letter_embed, id_col: str = "doc_id", text_col: str = "text", digits: int | None = None, attempts: int = 3, rescue: bool = False) -> DataFrame:
-    """doc_id, chunks, status of every document.
+def chunk_documents(docs: DataFrame, options: ChunkOptions = ChunkOptions(), embed: Embed = letter_embed, id_col: str = "doc_id", text_col: str = "text", digits: int | None = None, attempts: int = 1, rescue: bool = False, timeout: float = 0, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, chunks, status of every document, and its columns `keep`.
 
     Clean-up and sentences are columns; windows, embedding, distances and the
     ordered fold take one pass over Arrow batches, one document at a time, so
     nothing is shuffled. `embed` maps texts to rows and may raise: after
-    `attempts` the status is retryExceeded, with the whole text as one chunk when
-    `rescue` is set. A null text has null chunks and the status empty.
+    `attempts` the status is retryExceeded, and timeout if a call takes longer than
+    `timeout` seconds (0: no limit), with the whole text as one chunk when `rescue`
+    is set. A null text has null chunks and the status empty.
     """
     text = F.col(text_col)
     segments = F.array().cast("array<string>") if options.markdown else sentences(preprocess(text))
-    rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), segments.alias("segments"))
+    names = [fresh(["doc_id", "text", "segments", "chunks", "status"], c) for c in keep]
+    rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), segments.alias("segments"), *[F.col(c).alias(n) for c, n in zip(keep, names)])
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInPandas(_chunker(embed, options, digits, attempts, rescue), f"doc_id {kind}, chunks array<string>, status string")
+    more = "".join(f", `{n}` {rows.schema[n].dataType.simpleString()}" for n in names)
+    return rows.mapInPandas(_chunker(embed, options, digits, attempts, rescue, timeout, names), f"doc_id {kind}, chunks array<string>, status string{more}")
 
 
 def window_gaps(docs: DataFrame, buffer: int = 2, embed: Embed = letter_embed, id_col: str = "doc_id", text_col: str = "text", digits: int | None = None) -> DataFrame:

@@ -1,11 +1,18 @@
-"""HTML to plain text, as columns."""
+"""HTML to plain text and links."""
 
 from __future__ import annotations
 
+import re
+from html.parser import HTMLParser
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 _TOP_TAG = r"(?is)^(?:\s|<!--.*?-->|<!doctype[^>]*>|[^<])*<([a-z][a-z0-9]*)"
+_BLOCK = frozenset("p div h1 h2 h3 h4 h5 h6 li tr ul ol table nav article section footer header blockquote pre".split())
+_HIDDEN = frozenset(("script", "style", "head"))
 
 
 def is_fragment(html: Column) -> Column:
@@ -14,20 +21,68 @@ def is_fragment(html: Column) -> Column:
     return (tag != "") & (tag != "html")
 
 
+class _Reader(HTMLParser):
+    """Text outside script, style and head, and targets of anchors; all character references are resolved."""
+
+    def __init__(self) -> None:
+        super().__init__(convert_charrefs=True)
+        self.parts: list[str] = []
+        self.links: list[str] = []
+        self.hidden: list[str] = []
+
+    def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        if tag in _HIDDEN:
+            self.hidden.append(tag)
+        elif tag == "br":
+            self.parts.append("\n")
+        elif tag == "a":
+            self.links += [v for k, v in attrs if k == "href" and v]
+
+    def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        if tag not in _HIDDEN:
+            self.handle_starttag(tag, attrs)
+
+    def handle_endtag(self, tag: str) -> None:
+        if self.hidden and tag == self.hidden[-1]:
+            self.hidden.pop()
+        elif tag in _BLOCK:
+            self.parts.append("\n")
+
+    def handle_data(self, data: str) -> None:
+        if not self.hidden:
+            self.parts.append(data)
+
+
+def _read(html: str) -> _Reader:
+    reader = _Reader()
+    reader.feed(html)
+    reader.close()
+    return reader
+
+
+def plain_text(html: str) -> str:
+    text = re.sub(r"[ \t\xa0]+", " ", "".join(_read(html).parts))
+    return re.sub(r" ?\n[ \n]*", "\n", text).strip(" \n")
+
+
+@F.pandas_udf(StringType())
+def _texts(html: pd.Series) -> pd.Series:
+    return html.map(lambda x: None if x is None else plain_text(x))
+
+
+@F.pandas_udf(ArrayType(StringType()))
+def _links(html: pd.Series) -> pd.Series:
+    return html.map(lambda x: None if x is None else list(dict.fromkeys(_read(x).links)))
+
+
 def html_to_text(html: Column, unwrap_html: bool = False) -> Column:
     """Plain text of a fragment; plain text and whole documents come back as they are, or with
-    unwrap_html documents are converted too."""
-    text = F.regexp_replace(html, r"(?is)<(script|style|head)\b.*?</\1\s*>|<!--.*?-->|<!doctype[^>]*>", "")
-    text = F.regexp_replace(text, r"(?i)<br\s*/?>|</(?:p|div|h[1-6]|li|tr|ul|ol|table|nav|article|section|footer|header|blockquote|pre)\s*>", "\n")
-    text = F.regexp_replace(text, r"<[^>]*>", "")
-    for entity, mark in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")):
-        text = F.replace(text, F.lit(entity), F.lit(mark))
-    text = F.regexp_replace(F.regexp_replace(text, r"[ \t]+", " "), r" ?\n[ \n]*", "\n")
-    text = F.regexp_replace(text, r"^[ \n]+|[ \n]+$", "")
+    unwrap_html documents are converted too. Null stays null. One pass in Arrow batches."""
     convert = is_fragment(html) | (F.lit(unwrap_html) & (F.regexp_extract(html, _TOP_TAG, 1) != ""))
-    return F.when(convert, text).otherwise(html)
+    # what isn't converted doesn't go through Python
+    return F.coalesce(F.when(convert, _texts(F.when(convert, html))), html)
 
 
 def links(html: Column) -> Column:
-    """Distinct targets of anchors, in order."""
-    return F.array_distinct(F.regexp_extract_all(html, F.lit(r'<a\s+href="([^"]*)"'), F.lit(1)))
+    """Distinct targets of anchors, in order, quoted in either way or not."""
+    return _links(html)

@@ -18,20 +18,27 @@ _DELIMITER = re.compile(r"\s*\|?\s*:?-+:?\s*(\|\s*:?-+:?\s*)*\|?\s*$")
 _HTML = re.compile(r" {0,3}<(?:/?[A-Za-z][\w-]*(?:[\s/>]|$)|!--|\?|![A-Z])")
 
 
+_SHIELDED = re.compile(r"\\([!-/:-@\[-`{-~])|(`+)(.+?)(?<!`)\2(?!`)", re.S)
+_PUNCTUATION = {c: 0xE000 + c for c in [*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]}
+_BACK = {v: k for k, v in _PUNCTUATION.items()}
+
+
 def inline(text: str) -> str:
-    """Text of inline markup: images and links keep their words only; code, em and strong keep one notation."""
+    """Text of inline markup: images go, links keep their words only; code, em and strong keep one notation.
+    Escaped marks, and marks in code, are none."""
+    text = _SHIELDED.sub(lambda m: m[1].translate(_PUNCTUATION) if m[1] else f"{chr(0xE000 + 96)}{m[3].translate(_PUNCTUATION)}{chr(0xE000 + 96)}", text)
     text = re.sub(r"!\[[^\]]*\]\([^)]*\)", "", text)
     text = re.sub(r"\[([^\]]*)\]\((?:[^()]|\([^)]*\))*\)", r"\1", text)
     text = re.sub(r"<(https?://[^>\s]+)>", r"\1", text)
     text = re.sub(r"__(?=\S)(.+?)(?<=\S)__", r"**\1**", text)
     text = re.sub(r"(?<![\w_])_(?=\S)([^_]+?)(?<=\S)_(?![\w_])", r"*\1*", text)
-    return re.sub(r"\\([!-/:-@\[-`{-~])", r"\1", text)
+    return text.translate(_BACK)
 
 
 def heading_text(depth: int, title: str) -> str:
-    if not title:
-        return "** **"
-    return f"{'#' * depth} {title}" if depth <= 4 else f"**{title}**\n"
+    if depth <= 4:
+        return f"{'#' * depth} {title}"
+    return f"**{title}**\n" if title else "** **"
 
 
 def _tidy(text: str) -> str:
@@ -45,8 +52,9 @@ def _cells(line: str) -> list[str]:
     return [inline(c.strip().replace("\\|", "|")) for c in re.split(r"(?<!\\)\|", line)]
 
 
-def segments(source: str) -> list[dict]:
-    """Top-level blocks: text, type, header_path. A heading's own text, with its marks, ends its path."""
+def segments(source: str, recover: bool = False) -> list[dict]:
+    """Top-level blocks: text, type, header_path. A heading's own text, with its marks, ends its path. With
+    `recover` a heading without words takes those of the paragraph after it."""
     lines = source.replace("\r\n", "\n").replace("\r", "\n").replace("\t", "    ").split("\n")
     out: list[dict] = []
     path: list[str] = []
@@ -56,7 +64,19 @@ def segments(source: str) -> list[dict]:
         out.append({"text": _tidy(text), "type": kind, "header_path": list(path)})
 
     def head(depth: int, title: str) -> None:
-        text = heading_text(depth, inline(title.strip()))
+        nonlocal i
+        title = inline(title.strip())
+        if recover and not title:
+            after = i + 1
+            while after < n and not lines[after].strip():
+                after += 1
+            body = []
+            while after < n and lines[after].strip() and not opens(lines[after]) and not lines[after].startswith("    "):
+                body.append(lines[after].strip())
+                after += 1
+            if body:
+                title, i = inline(" ".join(body)), after - 1
+        text = heading_text(depth, title)
         path[:] = [*path[: depth - 1], text]
         emit("heading", text)
 
@@ -91,7 +111,7 @@ def segments(source: str) -> list[dict]:
             while i < n and lines[i].strip() and (lines[i].lstrip().startswith(">") or not opens(lines[i])):
                 body.append(re.sub(r"^\s*> ?", "", lines[i]))
                 i += 1
-            emit("blockquote", "\n".join("> " + inline(x) for x in body if x.strip()))
+            emit("quote", "\n".join("> " + inline(x) for x in body if x.strip()))
         elif m := _ITEM.match(line):
             ordered = m[2][0].isdigit()
             number, items = int(m[2][:-1]) if ordered else 0, []
@@ -192,8 +212,8 @@ def bound_sizes(chunks: list[dict], least: int, most: float) -> list[dict]:
             out += [{"text": text[k : k + step], "header_path": c["header_path"]} for k in range(0, len(text), step)]
         elif len(text) >= least:
             out.append({"text": text, "header_path": c["header_path"]})
-        elif text.startswith("#") and after is not None:
-            after["text"] = text + "\n\n" + after["text"]
+        elif c["text"].startswith("#") and after is not None:
+            after["text"] = c["text"] + "\n\n" + after["text"]
         elif out and out[-1]["header_path"] == c["header_path"]:
             out[-1]["text"] += "\n\n" + text
         elif after is not None and after["header_path"] == c["header_path"]:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -15,6 +16,7 @@ from ..operators import html_text as H
 from ..operators import llm_json as L
 from ..operators import markdown as M
 from ..sources import files as S
+from ..sources.tables import shared_folder
 from ..streaming import jobs as J
 from . import pipeline as P
 
@@ -128,9 +130,7 @@ def semantic_chunks(spark: SparkSession, d: str) -> DataFrame:
 @query(_CHUNKS + "SELECT lang, count(*) AS chunks, count(DISTINCT doc_id) AS docs, CAST(sum(length(chunk)) AS BIGINT) AS chars FROM chunks JOIN (SELECT doc_id, lang FROM documents) USING (doc_id) GROUP BY lang")
 def chunk_stats_by_lang(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents")
-    # the language rides in the id, so that nothing is joined
-    tagged = docs.select(F.concat_ws("\u0001", "lang", F.col("doc_id").cast("string")).alias("doc_id"), "text")
-    sizes = C.chunk_documents(tagged, digits=6).select(F.split("doc_id", "\u0001")[0].alias("lang"), F.size("chunks").alias("n"), F.aggregate("chunks", F.lit(0).cast("long"), lambda s, c: s + F.length(c)).alias("chars"))
+    sizes = C.chunk_documents(docs, digits=6, keep=("lang",)).select("lang", F.size("chunks").alias("n"), F.aggregate("chunks", F.lit(0).cast("long"), lambda s, c: s + F.length(c)).alias("chars"))
     return sizes.groupBy("lang").agg(F.sum("n").cast("long").alias("chunks"), F.count("*").alias("docs"), F.sum("chars").alias("chars"))
 
 
@@ -211,14 +211,14 @@ def _pipeline() -> P.Pipeline:
         .add("clean", lambda x: F.regexp_replace(x, "\n", " "))
         .add("accept", lambda x: x, lambda x: F.when(F.length(x) < 200, "too short"))
         .add("quiet", F.lower)
-        .add("cut", lambda x: F.substring(x, 1, 100))
+        .add("turn", F.reverse)
     )
 
 
 _STATE = "CASE WHEN length(text) < 200 THEN"
 
 
-@query(f"SELECT doc_id, {_STATE} replace(text, chr(10), ' ') ELSE substr(lower(replace(text, chr(10), ' ')), 1, 100) END AS doc, {_STATE} 'paused' ELSE 'done' END AS status, {_STATE} 'too short' END AS reason, {_STATE} 1 ELSE 4 END AS next_step FROM documents")
+@query(f"SELECT doc_id, {_STATE} replace(text, chr(10), ' ') ELSE reverse(lower(replace(text, chr(10), ' '))) END AS doc, {_STATE} 'paused' ELSE 'done' END AS status, {_STATE} 'too short' END AS reason, {_STATE} 1 ELSE 4 END AS next_step FROM documents")
 def pipeline_run(spark: SparkSession, d: str) -> DataFrame:
     p = _pipeline()
     return p.run(p.start(table(spark, d, "documents").select("doc_id", "text"), F.col("text"))).drop("text")
@@ -230,7 +230,7 @@ def pipeline_run(spark: SparkSession, d: str) -> DataFrame:
     SELECT doc_id, 0 AS step, 'progress' AS type, t AS doc, NULL AS reason, 1 AS next_step FROM c
     UNION ALL SELECT doc_id, 1, CASE WHEN length(t) < 200 THEN 'pause' ELSE 'progress' END, t, CASE WHEN length(t) < 200 THEN 'too short' END, CASE WHEN length(t) < 200 THEN 1 ELSE 2 END FROM c
     UNION ALL SELECT doc_id, 2, 'progress', lower(t), NULL, 3 FROM c WHERE length(t) >= 200
-    UNION ALL SELECT doc_id, 3, 'progress', substr(lower(t), 1, 100), NULL, 4 FROM c WHERE length(t) >= 200
+    UNION ALL SELECT doc_id, 3, 'progress', reverse(lower(t)), NULL, 4 FROM c WHERE length(t) >= 200
 """
 )
 def pipeline_events(spark: SparkSession, d: str) -> DataFrame:
@@ -238,18 +238,23 @@ def pipeline_events(spark: SparkSession, d: str) -> DataFrame:
     return p.events(p.start(table(spark, d, "documents").select("doc_id", "text"), F.col("text"))).drop("text", "name")
 
 
-@query("SELECT doc_id, CASE WHEN length(text) < 200 THEN substr(upper(text), 1, 100) ELSE substr(text, 1, 100) END AS doc FROM documents")
+@query("SELECT doc_id, CASE WHEN length(text) < 200 THEN reverse(upper(text)) ELSE reverse(text) END AS doc FROM documents")
 def pipeline_resume(spark: SparkSession, d: str) -> DataFrame:
     """Paused documents go on by a second pipeline, whose steps are its own."""
-    p = P.Pipeline().add("accept", lambda x: x, lambda x: F.when(F.length(x) < 200, "too short")).add("cut", lambda x: F.substring(x, 1, 100))
-    q = P.Pipeline().add("shout", F.upper).add("cut", lambda x: F.substring(x, 1, 100))
+    p = P.Pipeline().add("accept", lambda x: x, lambda x: F.when(F.length(x) < 200, "too short")).add("turn", F.reverse)
+    q = P.Pipeline().add("shout", F.upper).add("turn", F.reverse)
     ran = p.run(p.start(table(spark, d, "documents").select("doc_id", "text"), F.col("text")))
     return q.run(q.resumed(ran).withColumn("next_step", F.lit(0))).select("doc_id", "doc")
 
 
-@query("SELECT doc_id, CASE WHEN length(trim(text)) <= 500 THEN trim(text) WHEN length(substr(trim(text), 1, 1000)) <= 500 THEN substr(trim(text), 1, 1000) ELSE substr(substr(trim(text), 1, 1000), 1, 400) END AS doc FROM documents")
+@query(
+    """
+    SELECT doc_id, CASE WHEN length(a) <= 500 THEN a WHEN length(b) <= 500 THEN b ELSE reverse(b) END AS doc
+    FROM (SELECT doc_id, trim(text) AS a, regexp_replace(trim(text), '[aeiou ]', '', 'g') AS b FROM documents)
+"""
+)
 def sequence_stop(spark: SparkSession, d: str) -> DataFrame:
-    steps = P.with_sequence(F.trim, lambda x: F.substring(x, 1, 1000), lambda x: F.substring(x, 1, 400), stop=lambda x: F.length(x) <= 500)
+    steps = P.with_sequence(F.trim, lambda x: F.regexp_replace(x, "[aeiou ]", ""), F.reverse, stop=lambda x: F.length(x) <= 500)
     return table(spark, d, "documents").select("doc_id", steps(F.col("text")).alias("doc"))
 
 
@@ -289,7 +294,7 @@ def cached_step(spark: SparkSession, d: str) -> DataFrame:
 def jsonl_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     """Written as JSON lines to the shared folder and read again."""
     e = table(spark, d, "events").select("event_id", "user_id", "event_type", "value")
-    path = S.save_jsonl(e, f"{K.shared_folder(spark)}/events-{spark.sparkContext.applicationId}-{id(e)}")
+    path = S.save_jsonl(e, f"{shared_folder(spark)}/events-{uuid.uuid4().hex}")
     return S.read_jsonl(spark, path, "event_id bigint, user_id bigint, event_type string, value double")
 
 
@@ -437,8 +442,11 @@ def html_is_fragment(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "pages").select("page_id", H.is_fragment(F.col("html")).alias("fragment"))
 
 
-_HTML_TEXT = r"regexp_replace(regexp_replace(html, '(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<head\b.*?</head\s*>|<!--.*?-->|<!doctype[^>]*>', '', 'g'), '(?i)<br\s*/?>|</(?:p|div|h[1-6]|li|tr|ul|ol|table|nav|article|section|footer|header|blockquote|pre)\s*>', chr(10), 'g')"
-_HTML_TEXT = f"regexp_replace({_HTML_TEXT}, '<[^>]*>', '', 'g')"
+#: By splitting at every <: what stands before the next > is a tag, the rest text.
+_SHOWN = r"regexp_replace(html, '(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<head\b.*?</head\s*>|<!--.*?-->|<!doctype[^>]*>', '', 'g')"
+_TAG = "lower(regexp_extract(p, '^/?[a-zA-Z0-9]+'))"
+_ENDS = "[" + ", ".join(f"'/{t}'" for t in "p div h1 h2 h3 h4 h5 h6 li tr ul ol table nav article section footer header blockquote pre".split()) + ", 'br']"
+_HTML_TEXT = f"array_to_string(list_transform(list_transform(string_split('>' || {_SHOWN}, '<'), lambda p: CASE WHEN list_contains({_ENDS}, {_TAG}) THEN chr(10) ELSE '' END || substr(p, strpos(p, '>') + 1)), lambda t: t), '')"
 for _entity, _mark in (("&nbsp;", "' '"), ("&lt;", "'<'"), ("&gt;", "'>'"), ("&quot;", "chr(34)"), ("&#39;", "chr(39)"), ("&copy;", "'©'"), ("&middot;", "'·'"), ("&amp;", "'&'")):
     _HTML_TEXT = f"replace({_HTML_TEXT}, '{_entity}', {_mark})"
 _HTML_TEXT = rf"regexp_replace(regexp_replace(regexp_replace({_HTML_TEXT}, '[ \t]+', ' ', 'g'), ' ?\n[ \n]*', chr(10), 'g'), '^[ \n]+|[ \n]+$', '', 'g')"
@@ -455,22 +463,39 @@ def html_to_text_as_given(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "pages").select("page_id", H.html_to_text(F.col("html")).alias("text"))
 
 
-@query("SELECT page_id, list_sort(list_distinct(regexp_extract_all(html, '<a\\s+href=\"([^\"]*)\"', 1))) AS links FROM pages")
+@query(
+    """
+    SELECT page_id, list_sort(list_distinct(list_filter(list_transform(list_filter(string_split(html, '<'), lambda p: lower(p) LIKE 'a %'), lambda p: string_split(split_part(p, 'href="', 2), chr(34))[1]), lambda x: x <> ''))) AS links
+    FROM pages
+"""
+)
 def page_links(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "pages").select("page_id", F.array_sort(H.links(F.col("html"))).alias("links"))
 
 
 def _markdown(spark: SparkSession, d: str) -> DataFrame:
-    """One Markdown text per conversation: turns under their roles, users' at the first level."""
+    """One Markdown text per conversation: turns under their roles, users' at the first level; the whole
+    text as paragraph, list, quote, table or code in turn (escaped where marks would count), and a line after it."""
     c = table(spark, d, "conversations")
-    part = F.concat(F.when(F.col("role") == "user", F.lit("# ")).otherwise(F.lit("## ")), F.initcap("role"), F.lit("\n\n"), F.regexp_replace(F.regexp_replace("text", r"[^\p{L} .,\n]", ""), r"\n+", " "))
+    words = F.trim(F.regexp_replace(F.regexp_replace("text", r"([!-/:-@\[-`{-~])", r"\\$1"), r"\n+", " "))
+    kind = F.col("turn") % 5
+    block = (
+        F.when(kind == 0, words)
+        .when(kind == 1, F.concat(F.lit("- "), "role", F.lit("\n- "), words))
+        .when(kind == 2, F.concat(F.lit("> "), words))
+        .when(kind == 3, F.concat(F.lit("| role | words |\n| --- | --- |\n| "), "role", F.lit(" | "), words, F.lit(" |")))
+        .otherwise(F.concat(F.lit("```\n"), "text", F.lit("\n```")))
+    )
+    part = F.concat(F.when(F.col("role") == "user", F.lit("# ")).otherwise(F.lit("## ")), F.initcap("role"), F.lit("\n\n"), block, F.lit("\n\nn"), "turn")
     return c.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", part.alias("t")))), lambda x: x["t"]), "\n\n").alias("md"))
 
 
 _MD = r"""
+    texts AS (SELECT conv_id, turn, role, text, trim(regexp_replace(text, '\n+', ' ', 'g')) AS t, (CASE WHEN role = 'user' THEN '# ' ELSE '## ' END) || upper(role[1]) || lower(role[2:]) AS head, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS r FROM conversations),
     parts AS (
-        SELECT conv_id, turn, role, (CASE WHEN role = 'user' THEN '# ' ELSE '## ' END) || upper(role[1]) || lower(role[2:]) AS head,
-            trim(regexp_replace(regexp_replace(text, '[^\p{L} .,\n]', '', 'g'), '\n+', ' ', 'g')) AS body, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS r FROM conversations
+        SELECT *, ['paragraph', 'list', 'quote', 'table', 'code'][turn % 5 + 1] AS kind, 'n' || turn AS tiny, CASE turn % 5 WHEN 0 THEN t WHEN 1 THEN '- ' || role || chr(10) || '- ' || t WHEN 2 THEN '> ' || t
+            WHEN 3 THEN 'role | words' || chr(10) || '--- | ---' || chr(10) || role || ' | ' || t ELSE '```' || chr(10) || array_to_string(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> ''), chr(10)) || chr(10) || '```' END AS block
+        FROM texts
     ), user_heads AS (SELECT *, max(CASE WHEN role = 'user' THEN r END) OVER (PARTITION BY conv_id ORDER BY r) AS u FROM parts),
     paths AS (SELECT *, CASE WHEN role = 'user' THEN ['# User'] WHEN u IS NOT NULL THEN ['# User', head] ELSE [head] END AS path FROM user_heads)
 """
@@ -480,7 +505,7 @@ _MD = r"""
     "WITH "
     + _MD
     + """
-    , rows AS (SELECT conv_id, r, 0 AS k, 'heading' AS type, head AS text, path FROM paths UNION ALL SELECT conv_id, r, 1, 'paragraph', body, path FROM paths WHERE body <> '')
+    , rows AS (SELECT conv_id, r, 0 AS k, 'heading' AS type, head AS text, path FROM paths UNION ALL SELECT conv_id, r, 1, kind, block, path FROM paths UNION ALL SELECT conv_id, r, 2, 'paragraph', tiny, path FROM paths)
     SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY r, k) - 1 AS pos, type, text, path AS header_path FROM rows
 """
 )
@@ -492,24 +517,39 @@ _RUNS = (
     "WITH "
     + _MD
     + """
-    , rows AS (SELECT conv_id, r, 0 AS k, head AS text, path FROM paths UNION ALL SELECT conv_id, r, 1, body, path FROM paths WHERE body <> ''),
-    marked AS (SELECT *, CASE WHEN lag(path) OVER w IS DISTINCT FROM path THEN 1 ELSE 0 END AS opens, row_number() OVER w AS pos FROM rows WINDOW w AS (PARTITION BY conv_id ORDER BY r, k)),
-    runs AS (SELECT *, CAST(sum(opens) OVER (PARTITION BY conv_id ORDER BY pos) AS BIGINT) AS run FROM marked)
+    , marked AS (SELECT *, CASE WHEN lag(path) OVER w IS DISTINCT FROM path THEN 1 ELSE 0 END AS opens FROM paths WINDOW w AS (PARTITION BY conv_id ORDER BY r)),
+    runs AS (SELECT *, CAST(sum(opens) OVER (PARTITION BY conv_id ORDER BY r) AS BIGINT) AS run FROM marked)
 """
 )
 
 
-@query(_RUNS + "SELECT conv_id, run, string_agg(text, chr(10) || chr(10) ORDER BY pos) AS text, any_value(path) AS header_path FROM runs GROUP BY conv_id, run")
+@query(_RUNS + "SELECT conv_id, run, string_agg(head || chr(10) || chr(10) || block || chr(10) || chr(10) || tiny, chr(10) || chr(10) ORDER BY r) AS text, any_value(path) AS header_path FROM runs GROUP BY conv_id, run")
 def markdown_groups(spark: SparkSession, d: str) -> DataFrame:
     return M.header_runs(M.markdown_segments(_markdown(spark, d), "conv_id", "md"), "conv_id")
 
 
-@query(_RUNS + "SELECT conv_id, run - 1 AS pos, string_agg(text, chr(10) || chr(10) ORDER BY pos) AS text, any_value(path) AS header_path FROM runs GROUP BY conv_id, run")
+@query(_RUNS + "SELECT conv_id, run - 1 AS pos, string_agg(head || chr(10) || chr(10) || block || chr(10) || tiny, chr(10) || chr(10) ORDER BY r) AS text, any_value(path) AS header_path FROM runs GROUP BY conv_id, run")
 def markdown_chunks(spark: SparkSession, d: str) -> DataFrame:
+    """Tiny blocks join the one before them."""
     return M.markdown_chunks(_markdown(spark, d), id_col="conv_id", text_col="md").select("conv_id", "pos", "text", "header_path")
 
 
-@query()
+@query(
+    _RUNS.replace("WITH ", "WITH RECURSIVE ", 1)
+    + """
+    , turns AS (SELECT conv_id, r, path, head || chr(10) || chr(10) || block || chr(10) || tiny AS t, max(r) OVER (PARTITION BY conv_id) AS n FROM runs),
+    go AS (
+        SELECT DISTINCT conv_id, CAST(0 AS BIGINT) AS r, '' AS carry, CAST(NULL AS VARCHAR) AS made, CAST(NULL AS VARCHAR[]) AS path FROM turns
+        UNION ALL
+        SELECT conv_id, r, CASE WHEN length(x) < 300 AND r < n THEN x || chr(10) || chr(10) ELSE '' END, CASE WHEN length(x) >= 300 OR r = n THEN x END, path
+        FROM (SELECT t.conv_id, t.r, t.n, t.path, g.carry || t.t AS x FROM go g JOIN turns t ON t.conv_id = g.conv_id AND t.r = g.r + 1)
+    ),
+    made AS (SELECT *, length(made) < 300 AND lag(path) OVER w IS NOT DISTINCT FROM path AND lag(path) OVER w IS NOT NULL AS joins FROM go WHERE made IS NOT NULL WINDOW w AS (PARTITION BY conv_id ORDER BY r)),
+    ends AS (SELECT *, CASE WHEN lead(joins) OVER w THEN chr(10) || chr(10) || lead(made) OVER w ELSE '' END AS tail FROM made WINDOW w AS (PARTITION BY conv_id ORDER BY r)),
+    cut AS (SELECT conv_id, r, path, made, tail, unnest(range(0, CASE WHEN length(made) >= 2000 THEN length(made) ELSE 1 END, 2000)) AS k FROM ends WHERE NOT joins)
+    SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY r, k) - 1 AS pos, substr(made, CAST(k + 1 AS BIGINT), 2000) || CASE WHEN k + 2000 >= length(made) THEN tail ELSE '' END AS text, path AS header_path FROM cut
+"""
+)
 def markdown_bounds(spark: SparkSession, d: str) -> DataFrame:
     return M.markdown_chunks(_markdown(spark, d), 300, 2000, True, "conv_id", "md").select("conv_id", "pos", "text", "header_path")
 
@@ -548,17 +588,117 @@ def ignored_titles(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "pages").where(~T.contains_any(F.col("url"), ["blog", "#"])).select("page_id", "url")
 
 
-@query()
+@query(
+    r"""
+    WITH links AS (
+        SELECT page_id, unnest(regexp_extract_all(html, '<a\s+href="([^"]*)"[^>]*>([^<]*)</a>', 1)) AS href, unnest(regexp_extract_all(html, '<a\s+href="([^"]*)"[^>]*>([^<]*)</a>', 2)) AS title,
+            generate_subscripts(regexp_extract_all(html, '<a\s+href="([^"]*)"[^>]*>([^<]*)</a>', 1), 1) AS pos FROM pages
+    ), all_links AS (
+        SELECT page_id, 0 AS pos, 'http://site/top' AS url, 'cover' AS title FROM pages
+        UNION ALL SELECT page_id, pos, 'http://site' || href, CASE WHEN trim(title) = '' THEN 'cover' ELSE trim(title) END FROM links
+    )
+    SELECT page_id, pos, url, title, 'http://site/i.png' AS image FROM all_links WHERE NOT contains(title, 'The') QUALIFY row_number() OVER (PARTITION BY page_id, url ORDER BY pos) = 1
+"""
+)
 def news_articles(spark: SparkSession, d: str) -> DataFrame:
     """Pages' menus as linked articles, with a picture in front."""
     md = F.concat(F.lit("[![Image 1: cover](http://site/i.png)](http://site/top) "), F.regexp_replace("html", r'<a\s+href="([^"]*)"[^>]*>([^<]*)</a>', "[$2](http://site$1)"))
     return M.articles(table(spark, d, "pages").select("page_id", md.alias("md")), ["The"], "page_id", "md")
 
 
-@query("SELECT count(*) AS lines, CAST(sum(length(text)) AS BIGINT) AS chars FROM conversations")
+@query("SELECT conv_id, turn, role, text FROM conversations")
 def streamed_jsonl(spark: SparkSession, d: str) -> DataFrame:
     """A stream of the table goes to a JSONL sink, in ticks of one file, and is read again: every row once."""
     schema = table(spark, d, "conversations").schema
-    folder = f"{K.shared_folder(spark)}/stream-{spark.sparkContext.applicationId}-{id(schema)}"
+    folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     J.append_jsonl(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{d}/conversations.parquet*"), f"{folder}/out", f"{folder}/state")
-    return spark.read.schema(schema).json(f"{folder}/out").agg(F.count("*").alias("lines"), F.sum(F.length("text")).alias("chars"))
+    return spark.read.schema(schema).json(f"{folder}/out").select("conv_id", "turn", "role", "text")
+
+
+def _echo(lines: DataFrame) -> DataFrame:
+    """What a service would answer: the user's words, or an error for every seventh turn."""
+    get = lambda p: F.get_json_object("line", p)
+    busy = F.regexp_extract(get("$.custom_id"), r"-(\d+)$", 1).cast("int") % 7 == 0
+    answer = F.struct(F.concat(F.lit("heard: "), get("$.body.messages[1].content")).alias("body"))
+    return lines.select(F.to_json(F.struct(get("$.custom_id").alias("custom_id"), F.when(busy, "busy").alias("error"), F.when(~busy, answer).alias("response"))).alias("line"))
+
+
+def _job(spark: SparkSession, d: str, per_tick: int) -> tuple[dict, J.FolderClient]:
+    root = f"{shared_folder(spark)}/job-{uuid.uuid4().hex}"
+    line = L.batch_line(F.concat(F.lit("c"), "conv_id", F.lit("-"), "turn"), F.col("role"), F.col("text"))
+    client = J.FolderClient(table(spark, d, "conversations").select("conv_id", "turn", line.alias("line")), ["conv_id", "turn"], f"{root}/service", _echo, per_tick)
+    return J.new_jobs(spark.createDataFrame([("talks",)], "job_id string"), root).first().asDict(), client
+
+
+@query(
+    """
+    SELECT 'c' || conv_id || '-' || turn AS custom_id, 'heard: ' || text AS value, 'done' AS status, (SELECT count(*) FROM conversations) AS line_count
+    FROM conversations WHERE turn % 7 <> 0
+"""
+)
+def batch_job_run(spark: SparkSession, d: str) -> DataFrame:
+    """A job from its first step to its last, and the results in its output file."""
+    job = J.run_job(*_job(spark, d, 1000))
+    lines = spark.read.text(J.output_path(job)).select(F.col("value").alias("line"), F.monotonically_increasing_id().alias("pos"))
+    return L.batch_results(lines).select("custom_id", "value", F.lit(job["status"]).alias("status"), F.lit(job["line_count"]).cast("long").alias("line_count"))
+
+
+@query(
+    """
+    WITH b AS (SELECT CAST(ceil(count(*) / 200.0) AS BIGINT) AS b FROM conversations)
+    SELECT n, CASE WHEN n < b THEN 0 WHEN n <= b + 2 THEN n - b + 1 WHEN n <= b + 4 THEN 3 ELSE n - b - 1 END AS next_step,
+        CASE WHEN n < b THEN 'awaiting-input' WHEN n IN (b + 3, b + 4) THEN 'batch:in_progress' END AS reason, CASE WHEN n = b + 8 THEN 'done' ELSE 'active' END AS status
+    FROM b, (SELECT unnest(range(1, (SELECT b + 9 FROM b))) AS n)
+"""
+)
+def batch_tick(spark: SparkSession, d: str) -> DataFrame:
+    """What a job's row says after each tick."""
+    job, client = _job(spark, d, 200)
+    seen = []
+    while job["status"] == "active":
+        job = J.tick(job, client)
+        seen.append((len(seen) + 1, job["next_step"], job["reason"], job["status"]))
+    return spark.createDataFrame(seen, "n long, next_step long, reason string, status string")
+
+
+@query(
+    """
+    SELECT conv_id, turn, 'small' AS model, role AS system, text AS user, 'false' AS stream, 'object' AS format, '0.5' AS temperature, 'json_schema' AS form, 'reply' AS name, 'true' AS strict, '64' AS max_tokens
+    FROM conversations
+"""
+)
+def chat_payloads(spark: SparkSession, d: str) -> DataFrame:
+    """Requests of both kinds, read again as JSON."""
+    schema = {"type": "object", "properties": {"n": {"type": "integer"}}}
+    local = L.local_payload(F.col("role"), F.col("text"), "small", schema, temperature=0.5)
+    hosted = L.hosted_payload(F.col("role"), F.col("text"), "small", schema, "reply", max_tokens=64)
+    get = lambda c, p, name: F.get_json_object(c, p).alias(name)
+    both = table(spark, d, "conversations").select("conv_id", "turn", local.alias("l"), hosted.alias("h"))
+    return both.select(
+        "conv_id", "turn", get("l", "$.model", "model"), get("h", "$.messages[0].content", "system"), get("l", "$.messages[1].content", "user"), get("l", "$.stream", "stream"), get("l", "$.format.type", "format"), get("l", "$.options.temperature", "temperature"),
+        get("h", "$.response_format.type", "form"), get("h", "$.response_format.json_schema.name", "name"), get("h", "$.response_format.json_schema.strict", "strict"), get("h", "$.max_tokens", "max_tokens"),
+    )
+
+
+def _reply(prompt: str) -> str:
+    if len(prompt) % 3 == 0:
+        raise ValueError("busy")
+    return f'```json\n{{"n": {len(prompt)},}}\n```'
+
+
+@query(
+    """
+    SELECT doc_id, CASE length(text) % 3 WHEN 1 THEN '{"n": ' || length(text) || '}' WHEN 2 THEN '{"instead": ' || length(text) || '}' END AS value, CASE WHEN length(text) % 3 = 0 THEN 'failed' ELSE 'done' END AS status,
+        CASE WHEN length(text) % 3 = 0 THEN 3 ELSE 1 END AS attempts
+    FROM documents
+"""
+)
+def asked_replies(spark: SparkSession, d: str) -> DataFrame:
+    """Replies repaired, parsed and checked: kept, replaced, or given up after three tries."""
+    check = lambda x: True if x["n"] % 3 == 1 else {"instead": x["n"]}
+    return L.ask(table(spark, d, "documents"), _reply, check, 3, "doc_id", "text")
+
+
+@query(f"SELECT doc_id, {_LETTERS.replace('(w)', '(text)')} AS embedding, 'done' AS status FROM documents")
+def embedded_texts(spark: SparkSession, d: str) -> DataFrame:
+    return L.embed_texts(table(spark, d, "documents"), C.letter_embed, id_col="doc_id")

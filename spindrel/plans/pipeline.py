@@ -17,6 +17,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.tables import fresh
+
 ColumnStep = Callable[[Column], Column]
 
 
@@ -68,17 +70,25 @@ class Pipeline:
     def events(self, df: DataFrame) -> DataFrame:
         """One row per step that ran: the columns of df but the four, and step, type (progress, pause, error), doc, reason, next_step."""
         keep = [c for c in df.columns if c not in ("doc", "status", "reason", "next_step")]
+        names = set(df.columns)
+
+        def new(wish: str) -> str:
+            names.add(name := fresh(names, wish))
+            return name
+
+        # each step has columns of its own, so that no expression holds those of the steps before it
+        doc, why, made, active = new("__doc"), new("__why"), new("__made"), new("__active")
+        df = df.withColumns({doc: F.col("doc"), active: F.col("status") == "active"})
         seen = []
-        doc, active = F.col("doc"), F.col("status") == "active"
         for number, step in enumerate(self.steps):
-            why = step.pause(doc) if step.pause else F.lit(None).cast("string")
-            made = step.apply(doc)
-            kind = F.when(why.isNotNull(), "pause").when(made.isNull() & doc.isNotNull(), "error").otherwise("progress")
-            runs = active & (F.col("next_step") <= number)
-            after = F.when(runs & why.isNull(), F.coalesce(made, doc)).otherwise(doc)
-            event = F.struct(F.lit(number).alias("step"), F.lit(step.name).alias("name"), kind.alias("type"), after.alias("doc"), why.alias("reason"), F.when(why.isNull(), number + 1).otherwise(number).alias("next"))
-            seen.append(F.when(runs, event))
-            doc, active = after, active & ~(runs & why.isNotNull())
+            d = F.col(doc)
+            df = df.withColumns({why: step.pause(d) if step.pause else F.lit(None).cast("string"), made: step.apply(d)})
+            kind = F.when(F.col(why).isNotNull(), "pause").when(F.col(made).isNull() & d.isNotNull(), "error").otherwise("progress")
+            runs = F.col(active) & (F.col("next_step") <= number)
+            after = F.when(runs & F.col(why).isNull(), F.coalesce(made, d)).otherwise(d)
+            event = F.struct(F.lit(number).alias("step"), F.lit(step.name).alias("name"), kind.alias("type"), after.alias("doc"), F.col(why).alias("reason"), F.when(F.col(why).isNull(), number + 1).otherwise(number).alias("next"))
+            seen.append(new(f"__event{number}"))
+            df = df.withColumns({seen[-1]: F.when(runs, event), doc: after, active: F.col(active) & ~(runs & F.col(why).isNotNull())})
         return df.select(*keep, F.explode(F.array_compact(F.array(*seen))).alias("e")).select(*keep, "e.step", "e.name", "e.type", "e.doc", "e.reason", F.col("e.next").alias("next_step"))
 
     def _advance(self, df: DataFrame, number: int, step: Step) -> DataFrame:
@@ -104,39 +114,61 @@ def pipe_steps(*steps: ColumnStep) -> ColumnStep:
     return piped
 
 
+def _let(value: Column, then: ColumnStep) -> Column:
+    """then(value), with the value made once however often it is used."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def with_sequence(*steps: ColumnStep, stop: ColumnStep | None = None) -> ColumnStep:
     """Steps one after another until `stop` holds, which is asked after each."""
 
+    def after(step: ColumnStep) -> ColumnStep:
+        return lambda s: F.struct(F.when(s["stopped"], s["doc"]).otherwise(step(s["doc"])).alias("doc"), s["stopped"].alias("stopped"))
+
+    def asked(s: Column) -> Column:
+        return F.struct(s["doc"].alias("doc"), (s["stopped"] | F.coalesce(stop(s["doc"]), F.lit(False))).alias("stopped"))
+
     def sequence(doc: Column) -> Column:
-        stopped = F.lit(False)
+        state = F.struct(doc.alias("doc"), F.lit(False).alias("stopped"))
         for step in steps:
-            doc = F.when(stopped, doc).otherwise(step(doc))
+            state = _let(state, after(step))
             if stop is not None:
-                stopped = stopped | F.coalesce(stop(doc), F.lit(False))
-        return doc
+                state = _let(state, asked)
+        return state["doc"]
 
     return sequence
 
 
 def with_alternatives(*steps: ColumnStep, accept: ColumnStep | None = None, feed_forward: bool = True) -> ColumnStep:
-    """The first result that is accepted, else the last. Each strategy gets the one before's result, or
-    with feed_forward off the input."""
+    """The first result that is accepted, else the last (without `accept` nothing is). Each strategy gets
+    the one before's result, or with feed_forward off the input."""
     if not steps:
         raise ValueError("no alternatives")
 
+    def after(step: ColumnStep, doc: Column) -> ColumnStep:
+        return lambda s: F.struct(F.when(s["accepted"], s["now"]).otherwise(step(s["now"] if feed_forward else doc)).alias("now"), s["accepted"].alias("accepted"))
+
+    def asked(s: Column) -> Column:
+        return F.struct(s["now"].alias("now"), (s["accepted"] | F.coalesce(accept(s["now"]), F.lit(False))).alias("accepted"))
+
     def alternatives(doc: Column) -> Column:
-        now, accepted = doc, F.lit(False)
+        state = F.struct(doc.alias("now"), F.lit(False).alias("accepted"))
         for step in steps:
-            now = F.when(accepted, now).otherwise(step(now if feed_forward else doc))
-            accepted = accepted | (F.coalesce(accept(now), F.lit(False)) if accept is not None else F.lit(True))
-        return now
+            state = _let(state, after(step, doc))
+            if accept is not None:
+                state = _let(state, asked)
+        return state["now"]
 
     return alternatives
 
 
 def cached(df: DataFrame, key: Column, compute: Callable[[DataFrame], DataFrame], out: str) -> DataFrame:
-    """compute() runs over distinct keys (a table with the column key) and gives key and `out`, joined back."""
-    return df.withColumn("key", key).join(compute(df.select(key.alias("key")).distinct()), "key", "left").drop("key")
+    """compute() runs over distinct keys (a table with the column key) and gives key and `out`, joined
+    back. A null key is a key. A column of df's named `out` is replaced; all others stay."""
+    mine = fresh([*df.columns, out], "__key")
+    keyed = df.drop(out).withColumn(mine, key)
+    made = compute(keyed.select(F.col(mine).alias("key")).distinct()).select(F.col("key").alias(mine + "made"), F.col(out))
+    return keyed.join(made, F.col(mine).eqNullSafe(F.col(mine + "made")), "left").drop(mine, mine + "made")
 
 
 def tap(df: DataFrame, name: str, *metrics: Column) -> DataFrame:
@@ -166,6 +198,33 @@ def _outcome(step: Callable, doc: object) -> Outcome:
     return out if isinstance(out, Outcome) else Outcome(out)
 
 
+def sequence_steps(*steps: Callable, stop: Callable[[object], bool] | None = None) -> PyStep:
+    """Python steps one after another until `stop` holds; a pause is handed on at once."""
+
+    def sequence(doc: object) -> Outcome:
+        for step in steps:
+            out = _outcome(step, doc)
+            if not out.done:
+                return out
+            doc = out.value
+            if stop is not None and stop(doc):
+                break
+        return Outcome(doc)
+
+    return sequence
+
+
+def alternative_steps(*steps: Callable, accept: Callable[[object], bool] | None = None) -> PyStep:
+    """Python strategies, each given the one before's result, until one is accepted, else the last; a pause is handed on at once."""
+    if not steps:
+        raise ValueError("no alternatives")
+
+    def alternatives(doc: object) -> Outcome:
+        return sequence_steps(*steps, stop=accept)(doc)
+
+    return alternatives
+
+
 def with_error_handling(step: Callable) -> PyStep:
     def handled(doc: object) -> Outcome:
         try:

@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import strip_ansi
+from ..sources.files import copy_path
+from ..sources.tables import fresh, kept
 
 ROWS_PER_TICK, SLICE_BYTES = 1000, 131072
 LOG_BATCH, LOG_SECONDS = 10, 5
@@ -15,25 +18,43 @@ TERMINAL = ("completed", "failed", "cancelled", "expired")
 STEPS = ("build input", "upload", "create", "wait", "capture ids", "download", "process outputs")
 
 
+def _ordered(df: DataFrame, order: list[str]) -> tuple[DataFrame, str, str]:
+    """The rows sorted by range, as a table, with the number of each one's range and its place there: from
+    a table, as ranges cut twice may differ. The names of the two columns are new ones."""
+    part, place = fresh(df.columns, "__part"), fresh(df.columns, "__place")
+    number = F.monotonically_increasing_id()
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(place, number)
+    return kept(ranged.withColumn(part, F.shiftright(place, 33)).withColumn(place, F.col(place).bitwiseAND((1 << 33) - 1)), "ordered"), part, place
+
+
+def _before(ordered: DataFrame, part: str, amount: Column, name: str) -> DataFrame:
+    """part, name: the sum of `amount` over all earlier ranges. One row a range."""
+    sums = ordered.groupBy(part).agg(F.sum(amount).alias(name))
+    return sums.withColumn(name, F.coalesce(F.sum(name).over(Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+
+
 def ticks(df: DataFrame, order: list[str], per_tick: int = ROWS_PER_TICK, partition: list[str] | None = None) -> DataFrame:
     """Adds tick, from 0: rows in order, so many at a time. Without partition columns the numbers come
     from sizes of ranges and places in them, so no single task sorts all rows."""
     if partition:
         return df.withColumn("tick", F.floor((F.row_number().over(Window.partitionBy(*partition).orderBy(*order)) - 1) / per_tick).cast("long"))
-    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__m", F.monotonically_increasing_id())
-    part, place = F.shiftright("__m", 33), F.col("__m").bitwiseAND((1 << 33) - 1)
-    ranged = ranged.select("*", part.alias("__p"), place.alias("__i"))
-    sizes = ranged.groupBy("__p").agg(F.count("*").alias("__n"))
-    before = sizes.withColumn("__b", F.coalesce(F.sum("__n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("__p", "__b")
-    return ranged.join(before, "__p").withColumn("tick", F.floor((F.col("__b") + F.col("__i")) / per_tick).cast("long")).drop("__m", "__p", "__i", "__n", "__b")
+    ordered, part, place = _ordered(df, order)
+    base = fresh(ordered.columns, "__base")
+    return ordered.join(_before(ordered, part, F.lit(1), base), part).withColumn("tick", F.floor((F.col(base) + F.col(place)) / per_tick).cast("long")).drop(part, place, base)
 
 
 def byte_slices(lines: DataFrame, order: list[str], line_col: str = "line", slice_bytes: int = SLICE_BYTES, partition: list[str] | None = None) -> DataFrame:
-    """Adds begin, end (bytes, with the line end) and slice: the read of so many bytes that completes the line."""
+    """Adds begin, end (bytes, with the line end) and slice: the read of so many bytes that completes the
+    line. Without partition columns all lines are one file; sums by range keep any task from sorting all."""
     size = F.octet_length(line_col) + 1
-    w = Window.partitionBy(*(partition or [F.lit(0)])).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    out = lines.withColumn("end", F.sum(size).over(w)).withColumn("begin", F.col("end") - size)
-    return out.withColumn("slice", F.floor((F.col("end") - 1) / slice_bytes).cast("long"))
+    if partition:
+        out = lines.withColumn("end", F.sum(size).over(Window.partitionBy(*partition).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
+    else:
+        ordered, part, place = _ordered(lines, order)
+        base = fresh(ordered.columns, "__base")
+        within = F.sum(size).over(Window.partitionBy(part).orderBy(place).rowsBetween(Window.unboundedPreceding, 0))
+        out = ordered.join(_before(ordered, part, size, base), part).withColumn("end", F.col(base) + within).drop(part, place, base)
+    return out.withColumn("begin", F.col("end") - size).withColumn("slice", F.floor((F.col("end") - 1) / slice_bytes).cast("long"))
 
 
 def append_jsonl(stream: DataFrame, path: str, checkpoint: str, mode: str = "append"):
@@ -104,6 +125,94 @@ class Client:
         raise NotImplementedError
 
 
+@dataclass(frozen=True)
+class Cursor:
+    """How far a file of lines has been read: bytes, up to a line's start, and lines. Two numbers, so it can be stored anywhere."""
+
+    pos: int = 0
+    count: int = 0
+
+
+def read_lines(spark: SparkSession, path: str, cursor: Cursor, slice_bytes: int = SLICE_BYTES) -> tuple[list[str], Cursor, bool]:
+    """The lines that end in the next slice_bytes, where to go on, and whether that was all. What the slice
+    cuts off is read with the next one, so no character is split; a line that is longer than a slice comes
+    whole; the last one comes with or without a line end."""
+    jvm = spark._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    size, data, much = fs.getFileStatus(p).getLen(), b"", slice_bytes
+    while cursor.pos < size:
+        much = min(much, size - cursor.pos)
+        stream = fs.open(p)
+        try:
+            stream.seek(cursor.pos)
+            data = bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(stream, much))
+        finally:
+            stream.close()
+        if cursor.pos + much >= size:
+            break
+        if b"\n" in data:
+            data = data[: data.rindex(b"\n") + 1]
+            break
+        much *= 2
+    lines = [x.decode("utf-8", "replace") for x in data.split(b"\n") if x.strip()]
+    after = Cursor(cursor.pos + len(data), cursor.count + len(lines))
+    return lines, after, after.pos >= size
+
+
+class FolderClient(Client):
+    """A service that is a folder: files are folders of text in it, and `answer` makes output lines of
+    input lines (a table of `line` each) once a batch has been polled so often. All work on lines is
+    Spark's; the state is what the service would keep."""
+
+    def __init__(self, lines: DataFrame, order: list[str], root: str, answer: Callable[[DataFrame], DataFrame], per_tick: int = ROWS_PER_TICK, polls: int = 2):
+        self.spark, self.root, self.answer, self.polls = lines.sparkSession, root.rstrip("/"), answer, polls
+        self.numbered = kept(ticks(lines, order, per_tick), "numbered")
+        self.next_tick, self.files = 0, 0
+        self.batches: dict[str, dict] = {}
+
+    def _new(self) -> str:
+        self.files += 1
+        return f"file-{self.files}"
+
+    def build(self, job: dict) -> int | None:
+        self.numbered.where(F.col("tick") == self.next_tick).select("line").write.mode("append").text(job["input_path"])
+        self.next_tick += 1
+        return None if self.next_tick < (self.numbered.agg(F.max("tick")).first()[0] or 0) + 1 else self.numbered.count()
+
+    def upload(self, path: str) -> str:
+        name = self._new()
+        if not copy_path(self.spark, path, f"{self.root}/{name}"):
+            raise OSError(path)
+        return name
+
+    def create(self, file_id: str, window: str) -> tuple[str, str]:
+        name = f"batch-{len(self.batches) + 1}"
+        self.batches[name] = {"status": "validating", "file": file_id, "polls": self.polls, "output_file_id": None, "error_file_id": None}
+        return name, "validating"
+
+    def poll(self, batch_id: str) -> dict:
+        batch = self.batches[batch_id]
+        if batch["status"] not in TERMINAL:
+            batch["status"] = "in_progress" if batch["polls"] > 0 else "completed"
+            batch["polls"] -= 1
+            if batch["status"] == "completed":
+                batch["output_file_id"] = self._new()
+                self.answer(self.spark.read.text(f"{self.root}/{batch['file']}").select(F.col("value").alias("line"))).select("line").write.text(f"{self.root}/{batch['output_file_id']}")
+        return batch
+
+    def download(self, file_id: str, path: str) -> None:
+        if not copy_path(self.spark, f"{self.root}/{file_id}", path):
+            raise OSError(path)
+
+    def process(self, job: dict) -> bool:
+        return True
+
+
+def output_path(job: dict, kind: str = "output") -> str:
+    return job["input_path"].rsplit("/", 1)[0] + f"/{job['job_id']}.{kind}.jsonl"
+
+
 def tick(job: dict, client: Client) -> dict:
     """One step of one job row. A step that throws fails the job and says why; it doesn't go on."""
     job = {**job, "reason": None}
@@ -126,10 +235,9 @@ def tick(job: dict, client: Client) -> dict:
             seen = client.poll(job["batch_id"])
             job["output_file_id"], job["error_file_id"] = seen.get("output_file_id"), seen.get("error_file_id")
         elif step == "download":
-            stem = job["input_path"].rsplit("/", 1)[0] + "/" + job["job_id"]
             for kind, file_id in (("output", job["output_file_id"]), ("errors", job["error_file_id"])):
                 if file_id:
-                    client.download(file_id, f"{stem}.{kind}.jsonl")
+                    client.download(file_id, output_path(job, kind))
         elif step == "process outputs":
             if not client.process(job):
                 return {**job, "reason": "processing-outputs"}
@@ -162,14 +270,29 @@ def log_batches(lines: DataFrame, order: list[str], level_col: str, text_col: st
     return grouped.select(*keys, "batch", "n", F.array_join(F.transform("m", lambda x: x["__t"]), "\n").alias("message"))
 
 
-def append_log(stream: DataFrame, path: str, checkpoint: str, on_message: Callable[[list[str]], None] | None = None):
-    """Log sink: a file of lines, and messages of ten lines for a listener."""
+#: Levels of the log, from the gravest; a level lets through those up to it.
+LEVELS = ("error", "warn", "info", "impt", "attn")
+
+
+def append_log(stream: DataFrame, path: str, checkpoint: str, on_message: Callable[[list[str]], None] | None = None, level: str = "attn", seconds: float | None = None):
+    """Log sink: a file of lines, and messages of ten lines at most for a listener. Lines whose column
+    `level` (where there is one) is beyond `level` go. Takes what there is and stops, or with `seconds`
+    (LOG_SECONDS, say) runs on and flushes so often; stop() ends it."""
+    if "level" in stream.columns:
+        stream = stream.where(F.col("level").isin(*LEVELS[: LEVELS.index(level) + 1]))
 
     def write(batch: DataFrame, number: int) -> None:
         batch.select(strip_ansi(F.col("line")).alias("line")).write.mode("append").text(path)
         if on_message:
-            rows = [r[0] for r in batch.select("line").toLocalIterator()]
-            for a in range(0, len(rows), LOG_BATCH):
-                on_message(rows[a : a + LOG_BATCH])
-
-    return for_each_line(stream, write, checkpoint)
+            held: list[str] = []
+            for row in batch.select(strip_ansi(F.col("line"))).toLocalIterator():
+                held.append(row[0])
+                if len(held) == LOG_BATCH:
+                    on_message(held)
+                    held = []
+            if held:
+                on_message(held)
+
+    if seconds is None:
+        return for_each_line(stream, write, checkpoint)
+    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(processingTime=f"{seconds} seconds").start()
