@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Callable, Iterator, Mapping
 
 import pandas as pd
@@ -125,21 +126,27 @@ def numbered_prompt(items: Column, question: str) -> Column:
     return F.concat(F.lit(question + "\n"), numbered(items))
 
 
-#: System and user wording of the prompt builders; {} takes the caller's text.
+#: System and user wording of the prompt builders; {name} takes the caller's field.
 PROMPTS = {
-    "summary": ("You condense documents.", "Write a short summary of this text:\n{}"),
-    "questions": ("You write study questions.", "Write questions, with answers, that this passage settles:\n{}"),
-    "single_question": ("You merge questions.", "Write the one question that covers all of these:\n{}"),
-    "classify": ("You sort texts by topic.", "Name the topic of this text:\n{}"),
-    "translate": ("You translate.", "Put this text into plain English:\n{}"),
-    "facts": ("You list facts.", "List the facts that this text states:\n{}"),
-    "headline": ("You write headlines.", "Write a headline for this text:\n{}"),
-    "critique": ("You review answers.", "Say what is wrong or missing here:\n{}"),
+    "articles": ("You pick news items out of page text and reply in JSON.", "The text below holds {count} items. Give title, link and picture of each.\n\n{markdown}"),
+    "article_count": ("You count news items and reply in JSON.", "How many separate items does this text hold?\n\n{markdown}"),
+    "single_question": ("You merge questions that ask alike and reply in JSON.", "Write one question that covers all of these:\n{cluster}\n\nThey are about this text:\n{context}"),
+    "section": ("You write study questions and reply in JSON.", "Write {target} questions that this {source} settles:\n\n{section}"),
+    "answer": ("You answer from a text alone and reply in JSON.", "Question (of {total} on this text): {question}\n\n{content}"),
+    "snippet": ("You quote the passage that settles a question and reply in JSON.", "Question: {question}\n\n{content}"),
+    "directive": ("You turn texts into instructions and reply in JSON.", "Write the instruction to which this text would be the reply:\n\n{content}"),
+    "transformation": ("You turn texts into instructions and reply in JSON.", "Write an instruction that asks for this text to be changed ({transformation}):\n\n{content}"),
+    "summary": ("You condense documents.", "Write a short summary of this text:\n{content}"),
 }
 
 
-def prompt(kind: str, text: Column) -> Column:
-    """struct<system,user>."""
+def prompt(kind: str, **fields: Column) -> Column:
+    """struct<system,user>; a field that is an array is numbered, one item a line. A null field leaves its place empty."""
+    from ..functions.text import numbered
+
     system, user = PROMPTS[kind]
-    before, after = user.split("{}")
-    return F.struct(F.lit(system).alias("system"), F.concat(F.lit(before), text, F.lit(after)).alias("user"))
+    parts, names = re.split(r"\{(\w+)\}", user), set(re.findall(r"\{(\w+)\}", user))
+    if names != set(fields):
+        raise TypeError(f"{kind} takes {sorted(names)}")
+    filled = [F.lit(x) if i % 2 == 0 else F.coalesce(numbered(fields[x]) if x == "cluster" else fields[x].cast("string"), F.lit("")) for i, x in enumerate(parts)]
+    return F.struct(F.lit(system).alias("system"), F.concat(*filled).alias("user"))

@@ -232,7 +232,8 @@ def _over_batches(fn):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = [(i, k, x) for i, text in zip(batch["id"], batch["text"]) if text is not None for k, x in enumerate(fn(text))]
-            yield pd.DataFrame({"id": [r[0] for r in rows], "pos": [r[1] for r in rows], "text": [r[2]["text"] for r in rows], "type": [r[2].get("type") for r in rows], "header_path": [r[2]["header_path"] for r in rows]})
+            columns = {"id": [r[0] for r in rows], "pos": [r[1] for r in rows], "text": [r[2]["text"] for r in rows], "type": [r[2].get("type") for r in rows], "header_path": [r[2]["header_path"] for r in rows]}
+            yield pd.DataFrame({c: pd.Series(v, dtype=object) for c, v in columns.items()})
 
     return run
 

@@ -423,7 +423,21 @@ def prompt_numbered_list(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT conv_id, turn, 'You condense documents.' AS system, 'Write a short summary of this text:' || chr(10) || text AS user FROM conversations")
 def prompt_build(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "conversations").select("conv_id", "turn", L.prompt("summary", F.col("text")).alias("p")).select("conv_id", "turn", "p.*")
+    return table(spark, d, "conversations").select("conv_id", "turn", L.prompt("summary", content=F.col("text")).alias("p")).select("conv_id", "turn", "p.*")
+
+
+@query(
+    """
+    SELECT c.conv_id, 'Write one question that covers all of these:' || chr(10) || string_agg(r || '. ' || text, chr(10) ORDER BY r) || chr(10) || chr(10) || 'They are about this text:' || chr(10) || any_value(t.first) AS user
+    FROM (SELECT conv_id, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS r FROM conversations WHERE role = 'user') c JOIN (SELECT conv_id, min_by(text, turn) AS first FROM conversations GROUP BY conv_id) t USING (conv_id) GROUP BY c.conv_id
+"""
+)
+def prompt_single_question(spark: SparkSession, d: str) -> DataFrame:
+    """What a conversation's user asked, as one numbered list, with its first turn as context."""
+    c = table(spark, d, "conversations")
+    asked = F.transform(F.array_sort(F.collect_list(F.when(F.col("role") == "user", F.struct("turn", "text")))), lambda x: x["text"])
+    by = c.groupBy("conv_id").agg(asked.alias("cluster"), F.min_by("text", "turn").alias("context")).where(F.size("cluster") > 0)
+    return by.select("conv_id", L.prompt("single_question", cluster=F.col("cluster"), context=F.col("context"))["user"].alias("user"))
 
 
 @query(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -81,6 +83,58 @@ def existing_answers(jsonl: DataFrame, json: DataFrame, least: int, key: str = "
     return both.groupBy(key).agg(F.max_by("n", "source").alias("n"), F.max("source").alias("source")).select(key, "source", "n")
 
 
+def existing_answer_file(spark: SparkSession, jsonl_path: str, json_path: str, least: int) -> DataFrame | None:
+    """The answers of a jsonl file if it has at least so many, else those of a file of one JSON array, which
+    is then written as that jsonl file; None if neither has."""
+    if path_exists(spark, jsonl_path):
+        lines = read_jsonl(spark, jsonl_path).select("line")
+        if lines.count() >= least:
+            return lines
+    if path_exists(spark, json_path):
+        items = spark.read.json(json_path, multiLine=True)
+        if items.count() >= least:
+            save_jsonl(items, jsonl_path)
+            return read_jsonl(spark, jsonl_path).select("line")
+    return None
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return bool(p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p))
+
+
+def write_bytes(spark: SparkSession, path: str, chunks: Iterable[bytes]) -> int:
+    """Writes a stream of bytes (a response's, say) to a file, piece by piece; the number written. A file that breaks off is removed."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    out, n = fs.create(p, True), 0
+    try:
+        for chunk in chunks:
+            out.write(bytearray(chunk))
+            n += len(chunk)
+    except BaseException:
+        out.close()
+        fs.delete(p, False)
+        raise
+    out.close()
+    return n
+
+
+def read_bytes(spark: SparkSession, path: str, size: int = 1 << 20) -> Iterator[bytes]:
+    """A file's bytes, `size` at a time."""
+    jvm = spark._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    left, stream = fs.getFileStatus(p).getLen(), fs.open(p)
+    try:
+        while left > 0:
+            chunk = bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(stream, min(size, left)))
+            left -= len(chunk)
+            yield chunk
+    finally:
+        stream.close()
+
+
 def remove_path(spark: SparkSession, path: str) -> bool:
     """True when nothing is there any more, whether or not something was."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)

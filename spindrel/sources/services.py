@@ -19,6 +19,47 @@ def setting(name: str, default: str | None = None, spark: SparkSession | None =
     return found
 
 
+@dataclass(frozen=True)
+class Context:
+    """What calls to a model share. Retries and seconds are those of every call."""
+
+    model: str
+    endpoint: str
+    key: str = ""
+    retries: int = 2
+    timeout: float = 12.0
+
+    @classmethod
+    def of(cls, name: str, spark: SparkSession | None = None, **given) -> Context:
+        """From settings <name>_MODEL, <name>_ENDPOINT and <name>_API_KEY, where not given."""
+        found = {"model": f"{name}_MODEL", "endpoint": f"{name}_ENDPOINT"}
+        rest = {k: setting(v, spark=spark) for k, v in found.items() if k not in given}
+        key = {} if "key" in given else {"key": setting(f"{name}_API_KEY", "", spark)}
+        return cls(**given, **rest, **key)
+
+
+@dataclass
+class Service:
+    """Calls bound to one context; send(context, payload) -> reply and embed(context, texts) -> rows are the caller's."""
+
+    context: Context
+    send: Callable[[Context, str], str] | None = None
+    embed: Callable[[Context, list[str]], list] | None = None
+
+    def ask(self, df, check: Callable | None = None, tries: int = 0, **names):
+        """llm_json.ask() of payloads; no tries given: those of the context and one."""
+        from ..operators.llm_json import ask
+
+        context, send = self.context, self.send
+        return ask(df, lambda p: send(context, p), check, tries or context.retries + 1, **names)
+
+    def embed_texts(self, df, **names):
+        from ..operators.llm_json import embed_texts
+
+        context, embed = self.context, self.embed
+        return embed_texts(df, lambda t: embed(context, t), context.retries, context.timeout, **names)
+
+
 @dataclass
 class Fetcher:
     """send(url, **options) -> (content type, bytes) is the caller's; parsing is ours."""
