@@ -74,13 +74,14 @@ def without(docs: DataFrame, keys: DataFrame, id_col: str = "doc_id", text_col:
     return docs.withColumn(name, row_key(id_col, text_col)).join(gone, name, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
-def lookup(side: DataFrame, table: DataFrame | None = None) -> DataFrame:
+def lookup(side: DataFrame, table: DataFrame | None = None, broadcast: bool = True) -> DataFrame:
     """A side of a join that meets whole texts: broadcast by Spark below its threshold; else hash tables
     of its partitions while these are small (a hash table doesn't spill), so that texts move once and
-    aren't sorted; else sorted. `table`: a written table of at least its size, where side isn't one."""
+    aren't sorted; else sorted. `table`: a written table of at least its size, where side isn't one.
+    broadcast=False: small tables take the plan of large ones."""
     conf = side.sparkSession._jsparkSession.sessionState().conf()
     size = _size(side if table is None else table)
-    if 0 <= size <= conf.autoBroadcastJoinThreshold() or size > HASH_PARTITION * conf.numShufflePartitions():
+    if (broadcast and 0 <= size <= conf.autoBroadcastJoinThreshold()) or size > HASH_PARTITION * conf.numShufflePartitions():
         return side
     return side.hint("shuffle_hash")
 
@@ -117,6 +118,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
 def unique_docs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """key, doc_id, text without rows that repeat an id with the same text. A count of keys, without
-    texts, finds whether there are any; only then are texts grouped."""
+    texts, finds which do; only their texts move."""
     rows = narrow(docs, id_col, text_col)
-    return rows.dropDuplicates(["key"]) if not rows.groupBy("key").count().where("count > 1").isEmpty() else rows
+    again = written(rows.groupBy("key").count().where("count > 1").select("key"), "again")
+    if again.isEmpty():
+        return rows
+    return rows.join(lookup(again), "key", "left_anti").unionByName(rows.join(lookup(again), "key", "left_semi").dropDuplicates(["key"]))

@@ -68,6 +68,6 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     lines = F.split(F.col(text_col), "\n", -1)
     kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(cov))
     text = F.when(F.col(cov).isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n"))
-    out = docs.withColumn(key, row_key(id_col, text_col)).join(lookup(covered), key, "left")
+    out = docs.withColumn(key, row_key(id_col, text_col)).join(lookup(covered, broadcast=False), key, "left")
     out = out.select(*[(text.alias(c) if c == text_col else F.col(f"`{c}`")) for c in docs.columns], F.coalesce(F.size(cov), F.lit(0)).alias(removed))
     return out.where((F.col(removed) == 0) | (F.trim(F.regexp_replace(text_col, "\n", "")) != "")) if drop_emptied else out

@@ -213,4 +213,4 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     key, source = fresh(docs.columns, "__key"), fresh(docs.columns, "__source")
     chosen = drawn.select(F.col("key").alias(key), F.coalesce(F.concat(F.lit("s"), "source"), F.lit("null")).alias(source))
     keyed = docs.withColumn(key, row_key(id_col, text_col)).withColumn(source, F.coalesce(F.concat(F.lit("s"), F.col(source_col).cast("string")), F.lit("null")))
-    return keyed.join(lookup(chosen, drawn), [key, source], "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return keyed.join(lookup(chosen, drawn, broadcast=False), [key, source], "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
