@@ -672,4 +672,5 @@ def test_every_place_in_either_document_comes_up(spark, seeds):
 def test_one_word_over_and_over(spark):
     rows = [(1, "spam " * 3000), (2, "spam " * 500 + prose(60, 3)), (3, prose(60, 4))]
     got = fuzzy_passages(docs(spark, rows)).collect()
-    assert {(r.doc_id, r.start_word) for r in got} == {(1, 0), (2, 0)} and {r.end_word for r in got} == {3000, 500}
+    covered = {k: sum(r.end_word - r.start_word for r in got if r.doc_id == k) for k in (1, 2, 3)}
+    assert covered[1] > 0.99 * 3000 and covered[2] > 0.99 * 500 and covered[3] == 0
