@@ -8,18 +8,21 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 SENTENCE_BREAK = r"(?<=[.!?])(?<!(?:^|\s)[A-Z]\.)\s+"
+SPACE_BREAK = r" (?<=[.!?] )(?<!(?:^| )[A-Z]\. )"
 
 
 def preprocess(text: Column) -> Column:
     """Line ends become spaces, words cut by a dash and a space are joined, white space is collapsed; no trim."""
     text = F.regexp_replace(text, r"\r?\n+", " ")
-    text = F.regexp_replace(text, r"(?i)([a-z])([–-])\s+([a-z])", "$1$2$3")
-    return F.regexp_replace(text, r"(?U)\s+", " ")
+    # few texts have such a dash, and looking for one is quicker than trying every letter
+    text = F.when(text.rlike(r"[–-]\s"), F.regexp_replace(text, r"(?i)([a-z])([–-])\s+([a-z])", "$1$2$3")).otherwise(text)
+    return F.regexp_replace(text, r"(?U)\s\s+|[\s&&[^ ]]", " ")
 
 
-def sentences(text: Column) -> Column:
-    """Trimmed sentences that aren't empty. A single capital with a point is an abbreviation, not an end."""
-    parts = F.transform(F.split(text, SENTENCE_BREAK), lambda s: F.trim(s))
+def sentences(text: Column, single_spaces: bool = False) -> Column:
+    """Trimmed sentences that aren't empty. A single capital with a point is an abbreviation, not an end.
+    single_spaces: the text comes from preprocess(), so only single spaces are looked at."""
+    parts = F.transform(F.split(text, SPACE_BREAK if single_spaces else SENTENCE_BREAK), lambda s: F.trim(s))
     return F.filter(parts, lambda s: s != "")
 
 

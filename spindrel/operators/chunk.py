@@ -131,7 +131,7 @@ def chunk_documents(docs: DataFrame, options: ChunkOptions = ChunkOptions(), emb
     is set. A null text has null chunks and the status empty.
     """
     text = F.col(text_col)
-    segments = F.array().cast("array<string>") if options.markdown else sentences(preprocess(text))
+    segments = F.array().cast("array<string>") if options.markdown else sentences(preprocess(text), True)
     names = [fresh(["doc_id", "text", "segments", "chunks", "status"], c) for c in keep]
     rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), segments.alias("segments"), *[F.col(c).alias(n) for c, n in zip(keep, names)])
     kind = rows.schema["doc_id"].dataType.simpleString()
@@ -145,7 +145,7 @@ def window_gaps(docs: DataFrame, buffer: int = 2, embed: Embed = letter_embed, i
     One pass over Arrow batches: as nested column expressions the vectors are
     computed again at every use.
     """
-    rows = docs.select(F.col(id_col).alias("doc_id"), sentences(preprocess(F.col(text_col))).alias("segments")).where(F.size("segments") > buffer)
+    rows = docs.select(F.col(id_col).alias("doc_id"), sentences(preprocess(F.col(text_col)), True).alias("segments")).where(F.size("segments") > buffer)
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def gaps(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -75,7 +75,7 @@ _CHUNKS = f"""
 
 
 def _segments(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", "lang", "text", T.sentences(T.preprocess(F.col("text"))).alias("s"))
+    return table(spark, d, "documents").select("doc_id", "lang", "text", T.sentences(T.preprocess(F.col("text")), True).alias("s"))
 
 
 @query(f"SELECT doc_id, {_PRE} AS text FROM documents")

@@ -62,12 +62,13 @@ def test_replies(reply, value):
     assert sanitize("[1]", "always") == "[1]}"
 
 
-def test_greedy_clusters_follow_the_sequential_walk(spark):
+@pytest.mark.parametrize("together", [2_000_000, 0])
+def test_greedy_clusters_follow_the_sequential_walk(spark, together):
     rng = np.random.default_rng(3)
-    edges = sorted({tuple(sorted(map(int, p))) for p in rng.integers(0, 30, (40, 2)) if p[0] != p[1]})
+    edges = sorted({tuple(sorted(map(int, p))) for p in rng.integers(0, 30, (40, 2)) if p[0] != p[1]} | {(2, 9)})
     leader: dict[int, int] = {}
     for i in range(30):
         if i not in leader:
             leader |= {j: i for j in range(i, 30) if j not in leader and (j == i or (i, j) in edges)}
-    got = greedy_clusters(spark.range(30).withColumnRenamed("id", "vec_id"), spark.createDataFrame(edges, "i long, j long"))
+    got = greedy_clusters(spark.range(30).withColumnRenamed("id", "vec_id"), spark.createDataFrame([*edges, (3, 3), (9, 2)], "i long, j long"), together=together)
     assert {r.vec_id: r.leader for r in got.collect()} == leader
