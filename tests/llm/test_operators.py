@@ -652,6 +652,21 @@ def test_all_edited_copies_of_a_group_are_found(spark, group):
     assert len({r.doc_id for r in fuzzy_passages(docs(spark, rows), group=group).collect()}) >= 97
 
 
+def test_a_family_of_much_edited_copies_against_all_pairs(spark):
+    """15 % of every copy edited: two are 0.72 alike on average, so that most pairs are none. Nine in ten of the documents that have a partner come up."""
+    passage, texts = prose(80, 600).split(), []
+    for k in range(100):
+        r = random.Random(k)
+        texts.append([*prose(40, 700 + k).split(), *(f"new{k}x{i}" if r.random() < 0.15 else w for i, w in enumerate(passage)), *prose(40, 90000 + k).split()])
+    want = set()
+    for i in range(100):
+        for j in range(i):
+            if passages(*np.array(common(texts[i], texts[j])).T, 50, 0.8):
+                want |= {i, j}
+    got = {r.doc_id for r in fuzzy_passages(docs(spark, [(k, " ".join(t)) for k, t in enumerate(texts)])).collect()}
+    assert 60 < len(want) < 100 and len(got & want) >= 0.9 * len(want)
+
+
 def test_short_phrases_of_many_documents_are_no_passages(spark):
     phrase = prose(30, 77)
     rows = [(k, " ".join([prose(60, 700 + k), phrase, prose(60, 900 + k)])) for k in range(200)]
