@@ -2,60 +2,17 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-from collections.abc import Iterable
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_own: list[str] = []
+from ..sources.tables import drop_kept as drop_written
+from ..sources.tables import fresh
+from ..sources.tables import kept as written
+
 #: Bytes (compressed) of a side of a join, by partition, up to which its partitions become hash tables.
 HASH_PARTITION = 32 << 20
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share, from spark.checkpoint.dir. Where that is unset a temporary
-    one serves, on one machine only: on a cluster each machine would write to its own disk."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
-    if not _own:
-        _own.append("file://" + tempfile.mkdtemp(prefix="spindrel-"))
-        atexit.register(shutil.rmtree, _own[0][len("file://") :], ignore_errors=True)
-    return _own[0]
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The rows, written as Parquet to the shared folder and read again: cuts lineage, so that a lost
-    executor costs no more than the step under way, and gives the next plan a table of known size."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def drop_written(*frames: DataFrame) -> None:
-    """Deletes tables made by written() that nothing will read again."""
-    for df in frames:
-        jvm = df.sparkSession._jvm
-        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-            path = jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def fresh(names: Iterable[str], wish: str) -> str:
-    """A column name like `wish` that none of `names` takes, in any case."""
-    taken = {n.lower() for n in names}
-    while wish.lower() in taken:
-        wish += "_"
-    return wish
-
-
 def row_key(id_col: str = "doc_id", text_col: str = "text") -> Column:
     """Rows with the same id and text get the same key: they count as one document."""
     return F.xxhash64(F.col(id_col), F.col(text_col))
