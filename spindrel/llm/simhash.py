@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, fresh, narrow, row_key, without, written
+from .common import components, drop_written, fresh, narrow, row_key, without, written
 from .tokens import Words, distinct, mix, signed, slices
 
 BITS = 256
@@ -211,7 +211,7 @@ def near_pairs(nodes: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> Da
     each). Where two cells meet, fingerprints are compared by segments: two within
     the radius are, in one segment at least, within that segment's small reach
     (pigeonhole), so a table of the segment's values is probed at all values so
-    near. The bits decide.
+    near. The bits decide. The result is a written table.
     """
     n = nodes.count()
     leaves = max(-(-n // block), min(LEAST_BLOCKS, 1 + n // FEW))
@@ -230,7 +230,9 @@ def near_pairs(nodes: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> Da
     side = F.when(F.col("cell") == F.col("other"), 1).when(F.col("cell") < F.col("other"), 0).otherwise(2).cast("byte")
     tile = F.xxhash64(F.least("cell", "other"), F.greatest("cell", "other"))
     rows = placed.join(meets, "cell").where(_apart("counts", "counts", "other_low", "other_high") <= radius).select(tile.alias("tile"), side.alias("side"), "node", "f0", "f1", "f2", "f3")
-    return rows.repartition("tile").sortWithinPartitions("tile").mapInArrow(_tiles(radius), "a long, b long")
+    pairs = written(rows.repartition("tile").sortWithinPartitions("tile").mapInArrow(_tiles(radius), "a long, b long"), "pairs")
+    drop_written(placed, boxes, meets)
+    return pairs
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -251,7 +253,7 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, id_col: str = "doc_id
     prints = written(fingerprints(docs, id_col, text_col).distinct(), "prints")
     fs = ["f0", "f1", "f2", "f3"]
     nodes = written(prints.groupBy(*fs).agg(F.min("key").alias("node"), F.count("*").alias("copies")), "nodes")
-    pairs = written(near_pairs(nodes, radius), "pairs")
+    pairs = near_pairs(nodes, radius)
     roots = components(pairs)
     both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
     near = both.join(nodes.select(F.col("node").alias("b"), "copies"), "b").groupBy(F.col("a").alias("node")).agg(F.sum("copies").alias("near"))

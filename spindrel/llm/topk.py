@@ -289,6 +289,7 @@ def top_k(vectors: DataFrame, k: int = K, queries: Column | None = None, block:
     home = blocks.join(blocks.groupBy("dims", "cell").agg(F.min("part").alias("part")), ["dims", "cell", "part"]).select("dims", "cell", F.col("n").alias("d_n"), F.col("ids").alias("d_ids"), F.col("data").alias("d_data"))
     near = asked.withColumn("tile", F.concat_ws("/", "cell", "part")).join(home, ["dims", "cell"])
     tiles = written(near.repartition("dims", "tile").mapInPandas(_radii(k), _TILE), "tiles")
+    drop_written(asked)
     groups = -(-tiles.count() * TILE // GROUP) or 1
     pairs = written(meetings(tiles, blocks).withColumn("group", F.pmod(F.xxhash64("tile"), F.lit(groups))), "pairs")
     columns = ["dims", "cell", "part", "group", "n", "ids", "data", "low", "high", "radii"]
