@@ -82,6 +82,25 @@ def test_vectors(spark):
     assert [r[0] for r in t.select(pooled(F.col("t"), "cls")).collect()][0] == [3.0, 0.0]
 
 
+@pytest.mark.parametrize("block", [1024, 4])
+def test_all_pairs_by_tiles(spark, block):
+    import random
+
+    r = random.Random(2)
+    rows = [(i, [float(r.randint(-3, 3)) for _ in range(3 if i % 5 else 2)]) for i in range(23)] + [(30, [0.0, 0.0, 0.0]), (31, None), (None, [1.0])]
+
+    def cosine(a, b):
+        n = min(len(a), len(b))
+        norm = math.sqrt(sum(x * x for x in a[:n]) * sum(x * x for x in b[:n]))
+        return round(sum(x * y for x, y in zip(a, b)) / norm, 6) if norm else 0.0
+
+    data = spark.createDataFrame([(*x, 1, 2) for x in rows], "vec_id long, embedding array<double>, tile int, side int")
+    full = {(i, j): cosine(a, b) for i, a in rows for j, b in rows if i is not None and j is not None and i < j and a and b}
+    assert {(x.i, x.j): round(x.sim, 6) + 0.0 for x in K.cosine_pairs(data, block=block).collect()} == full
+    assert {(x.i, x.j) for x in K.cosine_pairs(data, 0.5, block=block).collect()} == {p for p, sim in full.items() if sim >= 0.5}
+    assert K.cosine_pairs(data.limit(0)).count() == 0
+
+
 def test_texts_are_projected_and_grouped(spark):
     items = spark.createDataFrame([(1, "aab"), (2, "aabb"), (3, "zz"), (4, "z")], "id long, name string")
     embed = lambda texts: [[t.count("a"), t.count("b"), t.count("z")] for t in texts]
