@@ -17,8 +17,10 @@ from .tokens import Words, mix, signed, slices
 KMER = 7
 LENGTH, IDENTITY = 50, 0.8
 GAP_COST = 0.2
-#: Documents of a seed that are compared at once, and words of context on either side that a place carries as a mask.
+#: Documents of a seed that share a lead, and words of context on either side that a place carries as a mask.
 GROUP, CONTEXT = 256, 20
+#: Places of a seed that one task compares with as many others, and words by which the two sides of a passage may be out of step.
+BLOCK, DRIFT = 8192, 5
 #: Seeds that stand in two documents go to the tasks as a bitmap of 8 bits each while they are at most so many (128 MB).
 BITMAP_SEEDS = 1 << 27
 _LEVEL = 4
@@ -432,14 +434,12 @@ def _passages(docs: DataFrame, matches: DataFrame, length: int, identity: float,
 # The whole
 
 
-def _alike(x: str, y: str) -> tuple[Column, list[Column]]:
-    """Whether two places may lie in one passage, and how alike their contexts are: on both sides, before,
-    and after. A passage of `length` words has CONTEXT of them before a seed or after it; the masks of these
-    share three fifths of their bits or more."""
+def _alike(x: str, y: str) -> Column:
+    """Whether two places may lie in one passage. A passage of `length` words has CONTEXT of them before a
+    seed or after it; the masks of these share three fifths of their bits or more."""
     both = {s: F.bit_count(F.col(f"{x}.{s}").bitwiseAND(F.col(f"{y}.{s}"))) for s in "lr"}
     least = {s: F.least(F.bit_count(f"{x}.{s}"), F.bit_count(f"{y}.{s}")) for s in "lr"}
-    ok = (least["l"] > 0) & (both["l"] * 5 >= least["l"] * 3) | (least["r"] > 0) & (both["r"] * 5 >= least["r"] * 3)
-    return ok, [both["l"] + both["r"], both["l"], both["r"]]
+    return (least["l"] > 0) & (both["l"] * 5 >= least["l"] * 3) | (least["r"] > 0) & (both["r"] * 5 >= least["r"] * 3)
 
 
 def _covered(found: DataFrame) -> DataFrame:
@@ -451,41 +451,166 @@ def _covered(found: DataFrame) -> DataFrame:
     return merged.groupBy("key").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
 
 
-def _uncovered(places: DataFrame, found: DataFrame, kmer: int) -> DataFrame:
+def _marked(places: DataFrame, found: DataFrame, kmer: int) -> DataFrame:
+    """seed, key, at, fresh: whether no passage covers the place so far."""
     inside = F.exists("spans", lambda s: (s["lo"] <= F.col("at")) & (F.col("at") + kmer <= s["hi"]))
-    return places.join(_covered(found), "key", "left").where(F.col("spans").isNull() | ~inside).select(*places.columns)
+    return places.join(_covered(found), "key", "left").select("seed", "key", "at", (F.col("spans").isNull() | ~inside).alias("fresh"))
 
 
-def _best(x: DataFrame, y: DataFrame, on: list[str], apart: Column) -> DataFrame:
-    """The matches of each place in x with those places in y, of other documents, whose contexts are most
-    like its own: on both sides, before, and after."""
-    ok, alike = _alike("x", "y")
-    # merged at every size: a table of few bytes may give many rows here, and Spark would broadcast them
-    met = x.select(*on, F.struct(*x.columns).alias("x")).hint("merge").join(y.select(*on, F.struct(*y.columns).alias("y")), on).where(apart & (F.col("x.key") != F.col("y.key")) & ok)
-    tops = [F.max(F.struct(a.alias("alike"), (-F.col("y.key")).alias("order"), F.col("y.key").alias("of"), F.col("y.at").alias("of_at"))) for a in alike]
-    best = met.groupBy("x.seed", "x.key", "x.at").agg(F.array(*tops).alias("tops")).select("key", "at", F.explode(F.array_distinct(F.transform("tops", lambda t: F.struct(t["of"].alias("of"), t["of_at"].alias("of_at"))))).alias("y"))
-    swap = F.col("key") < F.col("y.of")
-    pick = lambda c, d: F.when(swap, F.col(c)).otherwise(F.col(d))
-    return best.select(pick("key", "y.of").alias("lead"), pick("y.of", "key").alias("key"), pick("at", "y.of_at").alias("lead_at"), pick("y.of_at", "at").alias("at")).distinct()
+def _windows(kmer: int, context: int, reach: int):
+    """The wanted places of every text with their masks, and a byte for each of the `reach` words before
+    (nearest first) and after; 0 where the text ends."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                words, wanted = Words(part["text"]), part["wanted"]
+                doc = np.repeat(np.arange(part.num_rows), wanted.value_lengths().to_numpy())
+                flat = wanted.flatten()
+                place = flat.field("at").to_numpy()
+                at = words.first[doc] + place
+                left, right = contexts(words, context)
+                right = np.append(right, np.zeros(kmer, np.uint64))
+                after = np.where(place + kmer < np.diff(words.first)[doc], right[at + kmer], np.uint64(0))
+                code = np.concatenate([(words.hash % np.uint64(255)).astype(np.uint8) + np.uint8(1), np.zeros(1, np.uint8)])
+                near = at[:, None] + np.concatenate([np.arange(-1, -reach - 1, -1), np.arange(kmer, kmer + reach)])
+                near[(near < words.first[doc][:, None]) | (near >= words.first[doc + 1][:, None])] = -1
+                spans = np.arange(len(at) + 1, dtype=np.int32) * (2 * reach)
+                data = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(spans), pa.py_buffer(np.ascontiguousarray(code[near]))])
+                cells = [flat.field(c) for c in ("seed", "at", "fresh", "blocks")]
+                yield pa.RecordBatch.from_arrays([cells[0], part["key"].take(pa.array(doc)), *cells[1:], pa.array(signed(left[at])), pa.array(signed(after)), data], names=["seed", "key", "at", "fresh", "blocks", "l", "r", "words"])
+
+    return run
+
+
+def _tiers(length: int, identity: float, kmer: int) -> list[tuple[int, int]]:
+    """Sizes of windows about a seed (without it) and words in common that they need: a passage of w to
+    v - 1 words lacks (1 - identity) * (v - 1) of them at most, so no w of its words lack more."""
+    out, w = [], length
+    for _ in range(6):
+        v = w + max(1, -(-w * 12 // 100))
+        out.append((max(0, w - kmer), max(0, w - kmer - int((1 - identity) * (v - 1) + 1e-9))))
+        w = v
+    return out
+
+
+def agreeing(x: np.ndarray, y: np.ndarray, tiers: list[tuple[int, int]], drift: int) -> np.ndarray:
+    """For pairs of places (rows of bytes, see _windows) whether in some window about the seed enough words of
+    the first (see _tiers) stand in the second too, at most `drift` words off."""
+    reach, counts = tiers[-1][0], []
+    wide = reach + drift
+    for side in (slice(0, wide), slice(wide, 2 * wide)):
+        a, b = x[:, side], y[:, side]
+        same = a == b
+        for d in range(1, drift + 1):
+            same[:, d:] |= a[:, d:] == b[:, :-d]
+            same[:, :-d] |= a[:, :-d] == b[:, d:]
+        same &= a > 0
+        count = np.zeros((len(x), reach + 1), np.uint16)
+        np.cumsum(same[:, :reach], axis=1, dtype=np.uint16, out=count[:, 1:])
+        counts.append(count)
+    out = np.zeros(len(x), bool)
+    for size, least in tiers:
+        may = np.flatnonzero(~out & (counts[0][:, size] + counts[1][:, size] >= least))
+        out[may] = (counts[0][may, : size + 1] + counts[1][may, size::-1]).max(axis=1) >= least if len(may) else False
+    return out
+
+
+def _meet(tiers: list[tuple[int, int]], drift: int, pairs: int = 1 << 18):
+    """The pairs of places of one seed, in rows sorted by seed, i, j, block and fresh (first), of which one at
+    least is fresh, that may lie in one passage: blocks i and j meet, or i itself."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: list[np.ndarray] | None = None
+        for batch in batches:
+            now = [batch[c].to_numpy(zero_copy_only=False) for c in ("seed", "i", "j", "block", "fresh", "key", "at", "l", "r")]
+            _, spans, data = batch["words"].buffers()
+            begin = int(np.frombuffer(spans, np.int32)[batch["words"].offset]) if batch.num_rows else 0
+            size = 2 * (tiers[-1][0] + drift)
+            now.append(np.frombuffer(data, np.uint8)[begin : begin + batch.num_rows * size].reshape(-1, size))
+            rest = now if rest is None else [np.concatenate(x) for x in zip(rest, now)]
+            new = np.flatnonzero((rest[0][1:] != rest[0][:-1]) | (rest[1][1:] != rest[1][:-1]) | (rest[2][1:] != rest[2][:-1]))
+            if len(new):
+                cut = int(new[-1]) + 1
+                yield from of_groups([x[:cut] for x in rest])
+                rest = [x[cut:] for x in rest]
+        if rest is not None and len(rest[0]):
+            yield from of_groups(rest)
+
+    def of_groups(rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        seed, i, j, block, fresh, key, at, l, r, words = rows
+        l, r, n = l.view(np.uint64), r.view(np.uint64), len(seed)
+        opens = np.concatenate([[True], (seed[1:] != seed[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])])
+        begins = np.flatnonzero(opens)
+        group = np.cumsum(opens) - 1
+        ends = np.append(begins[1:], n)
+        second = (block == j) & (i != j)
+        other = ends - np.bincount(group[second], minlength=len(begins))  # where the rows of block j begin
+        news = np.bincount(group[second & fresh], minlength=len(begins))
+        # each row's partners are the rows from..to
+        row, across = np.arange(n), (i != j)
+        start = np.where(across, other[group], row + 1)
+        stop = np.where(across, np.where(fresh, ends[group], other[group] + news[group]), np.where(fresh, ends[group], row + 1))
+        counts = np.where(second, 0, stop - start)
+        # a mask shares three fifths of the bits of the lesser: thresholds; none for an empty one
+        need = [np.where(m == 0, 255, (np.bitwise_count(m) * np.uint16(3) + 4) // 5).astype(np.uint8) for m in (l, r)]
+        total = np.concatenate([[0], np.cumsum(counts)])
+        a = 0
+        while a < n:
+            b = max(a + 1, int(np.searchsorted(total, total[a] + pairs, side="right")) - 1)
+            x = np.repeat(row[a:b], counts[a:b])
+            y = start[x] + np.arange(len(x)) - (total[x] - total[a])
+            a = b
+            ok = np.zeros(len(x), bool)
+            for m, t in zip((l, r), need):
+                ok |= np.bitwise_count(m[x] & m[y]) >= np.minimum(t[x], t[y])
+            ok &= key[x] != key[y]
+            x, y = x[ok], y[ok]
+            for _ in range(2):  # enough words of either stand in the other
+                good = [agreeing(words[x[c : c + 4096]], words[y[c : c + 4096]], tiers, drift) for c in range(0, len(x), 4096)]
+                good = np.concatenate([*good, np.zeros(0, bool)])
+                x, y = y[good], x[good]
+            swap = key[x] > key[y]
+            x, y = np.where(swap, y, x), np.where(swap, x, y)
+            yield pa.RecordBatch.from_arrays([pa.array(key[x]), pa.array(key[y]), pa.array(at[x]), pa.array(at[y])], names=["lead", "key", "lead_at", "at"])
+
+    return run
+
+
+def _all_met(docs: DataFrame, marked: DataFrame, length: int, identity: float, kmer: int, block: int) -> DataFrame:
+    """lead, key, lead_at, at: every fresh place with every place of its seed, in other documents, that may lie
+    in one passage with it: by the masks, and by the words about them (see _tiers; a passage of up to twice
+    `length` words has as much in common about every seed, but for sides more than DRIFT out of step)."""
+    tiers = _tiers(length, identity, kmer)
+    seeds = marked.groupBy("seed").agg(F.count("*").alias("n"), F.max("fresh").alias("any")).where("any and n > 1")
+    wanted = marked.join(seeds.select("seed", F.ceil(F.col("n") / block).cast("int").alias("blocks")), "seed")
+    wanted = written(wanted.groupBy("key").agg(F.collect_list(F.struct("seed", "at", "fresh", "blocks")).alias("wanted")), "wanted")
+    texts = docs.join(lookup(wanted), "key").select("key", "text", "wanted")
+    seen = texts.mapInArrow(_windows(kmer, CONTEXT, tiers[-1][0] + DRIFT), "seed long, key long, at int, fresh boolean, blocks int, l long, r long, words binary")
+    mine = seen.withColumn("block", F.pmod(F.xxhash64("key", "at"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    pairs = mine.select("seed", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "fresh", "key", "at", "l", "r", "words")
+    pairs = pairs.repartition("seed", "i", "j").sortWithinPartitions("seed", "i", "j", "block", F.desc("fresh"))
+    met = written(pairs.mapInArrow(_meet(tiers, DRIFT), "lead long, key long, lead_at int, at int"), "met")
+    drop_written(wanted)
+    return met
 
 
 def fuzzy_passages(
-    docs: DataFrame, length: int = LENGTH, identity: float = IDENTITY, kmer: int = KMER, group: int = GROUP, bitmap_seeds: int = BITMAP_SEEDS, id_col: str = "doc_id", text_col: str = "text",
+    docs: DataFrame, length: int = LENGTH, identity: float = IDENTITY, kmer: int = KMER, group: int = GROUP, bitmap_seeds: int = BITMAP_SEEDS, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text",
 ) -> DataFrame:
     """doc_id, start_word, end_word, other_id, other_start, other_end, identity: every stretch of a document
     covered by passages of at least `length` words that stand, edited or not, in another document too,
     with the longest such passage of it: the other document, the place there, and the share of words that agree.
 
     Seeds are k-mers of words whose least word stands first or last. Those in
-    one document alone go at once. Documents of a seed meet in groups of at most
-    about `group`, by a hash of the document, the same for all seeds up to its
-    prefix; a place carries masks of the words about it, so pairs that share
-    little more than a phrase go before anything is chained or aligned.
+    one document alone go at once. A place carries masks of the words about it, so pairs
+    that share little more than a phrase go before anything is chained or aligned.
 
-    1. Every place meets its group's lead, so a passage in a million documents makes a million matches, not their square.
-    2. Places that no passage covers so far meet the rest of their group, and those most like them (on both sides, before, after) are taken.
-    3. Places still uncovered, in a run of frequent seeds that could hold a
-       passage, meet all places of their seed in all other groups.
+    1. Every place meets its group's lead (groups of at most about `group` documents of a seed, by a hash), so a
+       passage in a million documents makes a million matches, not their square.
+    2. Every place that no passage covers so far meets all places of its seed in all other documents, by blocks
+       of `block` places; those go on that may lie in one passage with it (see _all_met). Nothing is capped, so
+       this costs the square of a seed's places where few are covered.
 
     The matches of two documents are chained (Fenwick tree, gap costs), the chains'
     words fetched with `length` words at either end, and aligned: gaps of any
@@ -496,9 +621,11 @@ def fuzzy_passages(
     - Ids must be integers or cast to them. Null ids are kept. Rows that repeat an id with the same text are one
       document. Documents are told apart by a 64-bit hash of id and text.
     - A passage that repeats within one document alone doesn't count; in a document with other copies each of its places does.
-    - Of passages of a stretch, the longest is shown; of equal ones that with the least (hash of the) other document.
+    - Of passages found of a stretch, the longest is shown (covered places ask no further, so longer ones may stand elsewhere); of equal ones that with the least (hash of the) other document.
     - Very long texts are searched whole. Extra columns are dropped first. An empty table gives no rows.
-    - Approximate by its seeds: a passage needs one in common, and words about it alike enough (see _alike).
+    - Approximate by its seeds: a passage needs one in common, and words about it alike enough (see
+      _alike, _tiers). Of a seed that repeats within CONTEXT words one place a block counts. A covered stretch
+      grows by passages that have a seed outside it.
     """
     docs = unique_docs(docs, id_col, text_col)
     repeated = written(docs.select("text").mapInArrow(_counted(kmer, length), "seed long").groupBy("seed").agg(F.count("*").alias("g")).where("g > 1"), "repeated")
@@ -508,25 +635,16 @@ def fuzzy_passages(
     depth = F.greatest(F.lit(0), F.ceil(F.log2(F.col("g") / group) / _LEVEL - 1e-9)).cast("int") * _LEVEL
     found_at = docs.select("key", "text").mapInArrow(_placed(kmer, length, CONTEXT, *bitmap), _PLACES).join(repeated, "seed")
     bucket = F.when(F.col("depth") == 0, F.lit(0).cast("long")).otherwise(F.expr("shiftrightunsigned(xxhash64(key), 64 - depth)"))
-    places = written(found_at.withColumn("depth", depth).withColumn("bucket", bucket).select("seed", "bucket", "depth", "key", "at", "first", "l", "r"), "places")
+    places = written(found_at.withColumn("depth", depth).withColumn("bucket", bucket).select("seed", "bucket", "key", "at", "first", "l", "r"), "places")
     first = places.where("first")
     lead = written(first.groupBy("seed", "bucket").agg(F.min(F.struct("key", "at", "l", "r")).alias("y"), F.count("*").alias("n")).where("n > 1").select("seed", "bucket", "y"), "leads")
-    ok, _ = _alike("x", "y")
-    star = places.select("seed", "bucket", F.struct("key", "at", "l", "r").alias("x")).join(lead, ["seed", "bucket"]).where((F.col("x.key") != F.col("y.key")) & ok)
+    star = places.select("seed", "bucket", F.struct("key", "at", "l", "r").alias("x")).join(lead, ["seed", "bucket"]).where((F.col("x.key") != F.col("y.key")) & _alike("x", "y"))
     found = [_passages(docs, star.select(F.col("y.key").alias("lead"), F.col("x.key").alias("key"), F.col("y.at").alias("lead_at"), F.col("x.at").alias("at")), length, identity, kmer)]
-    rest = written(_uncovered(places, found[0], kmer), "rest")
-    met = rest.join(lead.select("seed", "bucket", F.col("y.key").alias("met")), ["seed", "bucket"])
-    found.append(_passages(docs, _best(met, first, ["seed", "bucket"], F.col("x.met") != F.col("y.key")), length, identity, kmer))
-    frequent = _uncovered(rest.where("depth > 0"), found[1], kmer)
-    runs = Window.partitionBy("key").orderBy("at")
-    frequent = frequent.withColumn("run", F.sum(F.when(F.col("at") - F.lag("at").over(runs) <= CONTEXT, 0).otherwise(1)).over(runs))
-    run = Window.partitionBy("key", "run")
-    frequent = frequent.withColumn("extent", F.max("at").over(run) + kmer - F.min("at").over(run)).where(F.col("extent") >= length - CONTEXT)
-    frequent = written(frequent, "frequent")
-    if not frequent.isEmpty():
-        spread = frequent.withColumn("own", F.col("bucket")).withColumn("bucket", F.explode(F.sequence(F.lit(0).cast("long"), F.expr("shiftleft(1L, depth) - 1"))))
-        found.append(_passages(docs, _best(spread, first.where("depth > 0"), ["seed", "bucket"], F.col("x.own") != F.col("y.bucket")), length, identity, kmer))
-    drop_written(places, lead, rest, repeated, frequent)
+    marked = written(_marked(places, found[0], kmer), "marked")
+    drop_written(places, lead, repeated)
+    met = _all_met(docs, marked, length, identity, kmer, block)
+    found.append(_passages(docs, met, length, identity, kmer))
+    drop_written(marked, met)
     every = reduce(DataFrame.unionByName, found)
     order = Window.partitionBy("key").orderBy("start", "stop")
     before = F.max("stop").over(order.rowsBetween(Window.unboundedPreceding, -1))

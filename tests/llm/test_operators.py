@@ -673,6 +673,19 @@ def test_short_phrases_of_many_documents_are_no_passages(spark):
     assert fuzzy_passages(docs(spark, rows), group=16).count() == 0
 
 
+@pytest.mark.parametrize("block", [8192, 16])
+def test_of_a_phrase_of_many_documents_every_partner_comes_up(spark, block):
+    """80 documents share a phrase of 47 words, no passage; two and two also the three words after it, a passage of 50.
+    About the phrase's seeds all others are as alike, so a few picks a place don't do."""
+    own = lambda k, side, n: [f"{side}{k}x{i}" for i in range(n)]
+    phrase = own(0, "p", 47)
+    texts = [own(k, "a", 40) + phrase + own(k // 2, "b", 3) + own(k, "c", 40) for k in range(80)]
+    want = {(i, j) for i in range(80) for j in range(80) if i != j and passages(*np.array(common(texts[i], texts[j])).T, 50, 0.8)}
+    got = fuzzy_passages(docs(spark, [(k, " ".join(t)) for k, t in enumerate(texts)]), block=block).collect()
+    assert want == {(r.doc_id, r.other_id) for r in got} == {(k, k ^ 1) for k in range(80)}
+    assert {(r.start_word, r.end_word) for r in got} == {(40, 90)}
+
+
 @pytest.mark.parametrize("seeds", [1 << 20, 0])
 def test_every_place_in_either_document_comes_up(spark, seeds):
     rows, want = [], set()
