@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+from contextlib import contextmanager
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import drop_kept as drop_written
@@ -11,6 +14,8 @@ from ..sources.tables import kept as written
 
 #: Bytes (compressed) of a side of a join, by partition, up to which its partitions become hash tables.
 HASH_PARTITION = 32 << 20
+#: Bytes of an Arrow batch of texts: the JVM holds several copies of one outside its heap, and Python one.
+BATCH = 2 << 20
 
 
 def row_key(id_col: str = "doc_id", text_col: str = "text") -> Column:
@@ -47,6 +52,18 @@ def _size(df: DataFrame) -> int:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
+@contextmanager
+def small_batches(spark: SparkSession, most: int = BATCH) -> Iterator[None]:
+    """What is written inside goes to Python in Arrow batches of about `most` bytes, instead of 10,000 rows whatever their size."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    was, now = spark.conf.get(name, None), spark._jsparkSession.sessionState().conf().arrowMaxBytesPerBatch()
+    spark.conf.set(name, str(most if now <= 0 else min(most, now)))
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if was is None else spark.conf.set(name, was)
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components of an undirected graph of longs: node, root (the least node of its component).
 

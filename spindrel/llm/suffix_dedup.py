@@ -10,7 +10,7 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import drop_written, lookup, unique_docs, written
+from .common import drop_written, lookup, small_batches, unique_docs, written
 from .tokens import Words, mix, signed, slices, spans_hash
 
 LENGTH, GRAM = 50, 24
@@ -261,8 +261,9 @@ def repeated_passages(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, m
     """
     docs = unique_docs(docs, id_col, text_col)
     cut_up = docs.select("key", "text").mapInArrow(_stretches(length, gram), "least long, content long, key long, at int, size int")
-    twice = written(cut_up.groupBy("least").agg(F.count("*").alias("n")).where("n > 1"), "twice")
-    marked = written(cut_up.join(twice, "least"), "stretches")
+    with small_batches(docs.sparkSession):
+        twice = written(cut_up.groupBy("least").agg(F.count("*").alias("n")).where("n > 1"), "twice")
+        marked = written(cut_up.join(twice, "least"), "stretches")
     drop_written(twice)
     kinds = written(marked.groupBy("least", "content", "n").agg(F.count("*").alias("of"), F.min(F.struct("key", "at", "size")).alias("one")), "kinds")
     mixed = kinds.where("of < n")
@@ -270,7 +271,8 @@ def repeated_passages(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, m
     w = F.struct("least", "content", (F.col("of") == 1).alias("alone"), "crowded", "one.at", "one.size")
     wanted = written(mixed.join(crowded, "least").select("one.key", w.alias("w")).groupBy("key").agg(F.collect_list("w").alias("wanted")), "wanted")
     texts = docs.join(lookup(wanted), "key").select("key", "text", "wanted")
-    fetched = written(texts.mapInArrow(_fetch(length), _FETCHED), "fetched")
+    with small_batches(docs.sparkSession):
+        fetched = written(texts.mapInArrow(_fetch(length), _FETCHED), "fetched")
     drop_written(wanted)
     groups = fetched.where("window is null").select("least", "alone", "key", "at", "words")
     runs = groups.repartition("least").sortWithinPartitions("least").mapInArrow(_sort(length, most), "key long, lo int, hi int")

@@ -3,6 +3,7 @@
 import math
 import random
 import time
+import uuid
 from xml.etree import ElementTree
 
 import numpy as np
@@ -10,7 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from spindrel.llm import chain_dedup, quality, topk
+from spindrel.llm import chain_dedup, quality, suffix_dedup, topk
 from spindrel.llm.chain_dedup import align, chains, common, fuzzy_passages, passages
 from spindrel.llm.decontaminate import contaminated, decontaminate, local_alignment
 from spindrel.llm.html_extract import Dom, densities, extract, extract_main_text
@@ -407,6 +408,32 @@ def test_repeated_passages_against_all_windows(spark, most):
     assert {(r.doc_id, w) for r in got for w in range(r.start_word, r.end_word)} == want and len(want) > 2500
 
 
+def test_texts_go_to_python_in_small_batches(spark, monkeypatch, tmp_path):
+    """op6: a partition of 20 MB isn't one batch, and the session's own limit is back afterwards."""
+    real, name = suffix_dedup._fetch, "spark.sql.execution.arrow.maxBytesPerBatch"
+
+    def spied(length):
+        fetch = real(length)
+
+        def run(batches):
+            def seen():
+                for batch in batches:
+                    (tmp_path / uuid.uuid4().hex).write_text(str(batch.nbytes))
+                    yield batch
+
+            yield from fetch(seen())
+
+        return run
+
+    monkeypatch.setattr(suffix_dedup, "_fetch", spied)
+    same = prose(60, 1)
+    rows = [(k, f"{same} {prose(30, k)} " + "x" * 230_000) for k in range(100)]
+    before = spark.conf.get(name, None)
+    assert repeated_passages(docs(spark, rows).coalesce(1)).count() == 100 and spark.conf.get(name, None) == before
+    sizes = [int(f.read_text()) for f in tmp_path.iterdir()]
+    assert sum(sizes) > 20_000_000 and max(sizes) < 4_000_000, sizes
+
+
 def test_bit_counts_bound_the_distance_and_cells_prune():
     r = np.random.default_rng(4)
     prints = r.integers(0, 2**32, (400, 8), dtype=np.uint32)
