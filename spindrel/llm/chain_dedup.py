@@ -19,6 +19,8 @@ LENGTH, IDENTITY = 50, 0.8
 GAP_COST = 0.2
 #: Documents of a seed that share a lead, and words of context on either side that a place carries as a mask.
 GROUP, CONTEXT = 256, 20
+#: Documents of a seed in a bucket, all of whose places meet before those that are still uncovered meet all.
+FEW = 16
 #: Places of a seed that one task compares with as many others, and words by which the two sides of a passage may be out of step.
 BLOCK, DRIFT = 8192, 5
 #: Seeds that stand in two documents go to the tasks as a bitmap of 8 bits each while they are at most so many (128 MB).
@@ -376,16 +378,19 @@ def _cut(margin: int, kmer: int):
         for batch in batches:
             for part in slices(batch, "text"):
                 words = Words(part["text"])
-                ids, sides, begins, spans = [], [], [], []
+                pairs, sizes, ids, sides, begins, spans = [], [], [], [], [], []
                 for r, wanted in enumerate(part["wanted"].to_pylist()):
                     base, n = int(words.first[r]), int(words.first[r + 1] - words.first[r])
                     for w in wanted:
                         lo, hi = max(0, w["lo"] - margin), min(n, w["hi"] + kmer + margin)
+                        pairs.append(w["pair"])
+                        sizes.append(w["size"])
                         ids.append(w["chain"])
                         sides.append(w["side"])
                         begins.append(lo)
                         spans.append(_packed(words.hash[base + lo : base + hi]))
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sides, pa.int32()), pa.array(begins, pa.int32()), pa.array(spans, pa.binary())], names=["chain", "side", "begin", "words"])
+                columns = [pa.array(x, t) for x, t in ((pairs, pa.int64()), (sizes, pa.int32()), (ids, pa.int64()), (sides, pa.int32()), (begins, pa.int32()), (spans, pa.binary()))]
+                yield pa.RecordBatch.from_arrays(columns, names=["pair", "size", "chain", "side", "begin", "words"])
 
     return cut
 
@@ -393,20 +398,37 @@ def _cut(margin: int, kmer: int):
 _FOUND = "key long, start int, stop int, other long, other_start int, other_stop int, identity double"
 
 
+def within(places: list[int], kmer: int, spans: list[tuple[int, int]]) -> bool:
+    """Whether every k-mer lies in one of the stretches."""
+    return all(any(s <= p and p + kmer <= t for s, t in spans) for p in places)
+
+
 def _aligned(kmer: int, length: int, identity: float):
-    """Both directions of every passage."""
+    """Both directions of every passage. Of a chain three rows arrive: its places, the lead's words, its own;
+    two documents' chains come together, longest first. One whose every seed lies, in both, in
+    passages of these two that are found already asks no further."""
     names = [c.split()[0] for c in _FOUND.split(", ")]
     kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.float64())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pair, mine, theirs, chain, lead = None, [], [], {}, {}
         for batch in batches:
             rows = []
             for x in batch.to_pylist():
-                a, b, c, d = _unpacked(x["lead_words"]), _unpacked(x["own_words"]), x["lead_begin"], x["own_begin"]
-                pairs = align(a, b, [t - c for t in x["lead_ats"]], [t - d for t in x["ats"]], kmer)
-                for s, t, u, v, same in passages(*pairs, length, identity):
-                    rows.append((x["lead"], s + c, t + c, x["key"], u + d, v + d, same))
-                    rows.append((x["key"], u + d, v + d, x["lead"], s + c, t + c, same))
+                if x["side"] == -1:
+                    chain = x
+                    if pair != (x["lead"], x["key"]):
+                        pair, mine, theirs = (x["lead"], x["key"]), [], []
+                elif x["side"] == 0:
+                    lead = x
+                elif not (within(chain["lead_ats"], kmer, mine) and within(chain["ats"], kmer, theirs)):
+                    a, b, c, d = _unpacked(lead["words"]), _unpacked(x["words"]), lead["begin"], x["begin"]
+                    pairs = align(a, b, [t - c for t in chain["lead_ats"]], [t - d for t in chain["ats"]], kmer)
+                    for s, t, u, v, same in passages(*pairs, length, identity):
+                        rows.append((pair[0], s + c, t + c, pair[1], u + d, v + d, same))
+                        rows.append((pair[1], u + d, v + d, pair[0], s + c, t + c, same))
+                        mine.append((s + c, t + c))
+                        theirs.append((u + d, v + d))
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names=names)
 
     return run
@@ -416,16 +438,15 @@ def _passages(docs: DataFrame, matches: DataFrame, length: int, identity: float,
     """Chains matches (lead, key, lead_at, at) and aligns the chains' words; a written table, see _FOUND."""
     matches = matches.repartition("lead", "key").sortWithinPartitions("lead", "key")
     chained = matches.mapInArrow(_chain(kmer), "lead long, key long, lead_ats array<int>, ats array<int>")
-    chained = written(chained.withColumn("chain", F.xxhash64("lead", "key", "lead_ats", "ats")), "chains")
+    named = {"pair": F.xxhash64("lead", "key"), "size": F.size("ats"), "chain": F.xxhash64("lead", "key", "lead_ats", "ats")}
+    chained = written(chained.withColumns(named), "chains")
     ends = lambda c: (F.get(c, F.lit(0)).alias("lo"), F.element_at(c, -1).alias("hi"))
-    sides = [chained.select(F.col(k).alias("key"), F.struct("chain", F.lit(s).alias("side"), *ends(c)).alias("w")) for s, k, c in ((0, "lead", "lead_ats"), (1, "key", "ats"))]
+    sides = [chained.select(F.col(k).alias("key"), F.struct("pair", "size", "chain", F.lit(s).alias("side"), *ends(c)).alias("w")) for s, k, c in ((0, "lead", "lead_ats"), (1, "key", "ats"))]
     wanted = written(sides[0].unionByName(sides[1]).groupBy("key").agg(F.collect_list("w").alias("wanted")), "wanted")
     texts = docs.join(lookup(wanted), "key").select("text", "wanted")
-    parts = texts.mapInArrow(_cut(length, kmer), "chain long, side int, begin int, words binary")
-    both = F.struct("begin", "words")
-    pivoted = parts.groupBy("chain").agg(F.max(F.when(F.col("side") == 0, both)).alias("x"), F.max(F.when(F.col("side") == 1, both)).alias("own"))
-    columns = [F.col(f"{x}.{c}").alias(f"{s}_{c}") for s, x in (("lead", "x"), ("own", "own")) for c in ("begin", "words")]
-    ready = pivoted.join(chained, "chain").select("lead", "key", "lead_ats", "ats", *columns)
+    parts = texts.mapInArrow(_cut(length, kmer), "pair long, size int, chain long, side int, begin int, words binary")
+    ready = chained.withColumn("side", F.lit(-1)).unionByName(parts, allowMissingColumns=True)
+    ready = ready.repartition("pair").sortWithinPartitions("pair", F.desc("size"), "chain", "side")
     found = written(ready.mapInArrow(_aligned(kmer, length, identity), _FOUND), "passages")
     drop_written(chained, wanted)
     return found
@@ -452,9 +473,9 @@ def _covered(found: DataFrame) -> DataFrame:
 
 
 def _marked(places: DataFrame, found: DataFrame, kmer: int) -> DataFrame:
-    """seed, key, at, fresh: whether no passage covers the place so far."""
+    """seed, key, at, first, fresh: whether no passage covers the place so far."""
     inside = F.exists("spans", lambda s: (s["lo"] <= F.col("at")) & (F.col("at") + kmer <= s["hi"]))
-    return places.join(_covered(found), "key", "left").select("seed", "key", "at", (F.col("spans").isNull() | ~inside).alias("fresh"))
+    return places.join(_covered(found), "key", "left").select("seed", "key", "at", "first", (F.col("spans").isNull() | ~inside).alias("fresh"))
 
 
 def _windows(kmer: int, context: int, reach: int):
@@ -577,18 +598,27 @@ def _meet(tiers: list[tuple[int, int]], drift: int, pairs: int = 1 << 18):
     return run
 
 
-def _all_met(docs: DataFrame, marked: DataFrame, length: int, identity: float, kmer: int, block: int) -> DataFrame:
+def _met(docs: DataFrame, marked: DataFrame, length: int, identity: float, kmer: int, block: int, few: int | None = None) -> DataFrame:
     """lead, key, lead_at, at: every fresh place with every place of its seed, in other documents, that may lie
     in one passage with it: by the masks, and by the words about them (see _tiers; a passage of up to twice
-    `length` words has as much in common about every seed, but for sides more than DRIFT out of step)."""
+    `length` words has as much in common about every seed, but for sides more than DRIFT out of step).
+    few: with those of its bucket only, of about so many documents by their hash."""
     tiers = _tiers(length, identity, kmer)
-    seeds = marked.groupBy("seed").agg(F.count("*").alias("n"), F.max("fresh").alias("any")).where("any and n > 1")
-    wanted = marked.join(seeds.select("seed", F.ceil(F.col("n") / block).cast("int").alias("blocks")), "seed")
+    # of few: powers of two, so that two documents in one bucket of a seed share those of all seeds in as many documents or fewer
+    texts_of = F.sum(F.col("first").cast("int"))
+    blocks = F.pow(F.lit(2), F.greatest(F.lit(0), F.ceil(F.log2(texts_of / few) - 1e-9))) if few else F.ceil(F.count("*") / block)
+    seeds = marked.groupBy("seed").agg(F.count("*").alias("n"), F.max("fresh").alias("any"), blocks.cast("int").alias("blocks")).where("any and n > 1")
+    wanted = marked.join(seeds.select("seed", "blocks"), "seed")
     wanted = written(wanted.groupBy("key").agg(F.collect_list(F.struct("seed", "at", "fresh", "blocks")).alias("wanted")), "wanted")
     texts = docs.join(lookup(wanted), "key").select("key", "text", "wanted")
     seen = texts.mapInArrow(_windows(kmer, CONTEXT, tiers[-1][0] + DRIFT), "seed long, key long, at int, fresh boolean, blocks int, l long, r long, words binary")
-    mine = seen.withColumn("block", F.pmod(F.xxhash64("key", "at"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    pairs = mine.select("seed", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "fresh", "key", "at", "l", "r", "words")
+    columns = ("block", "fresh", "key", "at", "l", "r", "words")
+    if few:
+        mine = seen.withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
+        pairs = mine.select("seed", F.col("block").alias("i"), F.col("block").alias("j"), *columns)
+    else:
+        mine = seen.withColumn("block", F.pmod(F.xxhash64("key", "at"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        pairs = mine.select("seed", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), *columns)
     pairs = pairs.repartition("seed", "i", "j").sortWithinPartitions("seed", "i", "j", "block", F.desc("fresh"))
     met = written(pairs.mapInArrow(_meet(tiers, DRIFT), "lead long, key long, lead_at int, at int"), "met")
     drop_written(wanted)
@@ -608,9 +638,10 @@ def fuzzy_passages(
 
     1. Every place meets its group's lead (groups of at most about `group` documents of a seed, by a hash), so a
        passage in a million documents makes a million matches, not their square.
-    2. Every place that no passage covers so far meets all places of its seed in all other documents, by blocks
-       of `block` places; those go on that may lie in one passage with it (see _all_met). Nothing is capped, so
-       this costs the square of a seed's places where few are covered.
+    2. Every place that no passage covers so far meets all places of its seed in a bucket of about FEW documents;
+       those go on that may lie in one passage with it (see _met).
+    3. Every place that is uncovered even then meets all places of its seed in all other documents, by blocks
+       of `block` places. Nothing is capped, so this costs the square of a seed's places where few are covered.
 
     The matches of two documents are chained (Fenwick tree, gap costs), the chains'
     words fetched with `length` words at either end, and aligned: gaps of any
@@ -642,9 +673,14 @@ def fuzzy_passages(
     found = [_passages(docs, star.select(F.col("y.key").alias("lead"), F.col("x.key").alias("key"), F.col("y.at").alias("lead_at"), F.col("x.at").alias("at")), length, identity, kmer)]
     marked = written(_marked(places, found[0], kmer), "marked")
     drop_written(places, lead, repeated)
-    met = _all_met(docs, marked, length, identity, kmer, block)
-    found.append(_passages(docs, met, length, identity, kmer))
-    drop_written(marked, met)
+    for few in (FEW, None):
+        met = _met(docs, marked, length, identity, kmer, block, few)
+        found.append(_passages(docs, met, length, identity, kmer))
+        drop_written(met)
+        if few:
+            before, marked = marked, written(_marked(marked, reduce(DataFrame.unionByName, found), kmer), "marked")
+            drop_written(before)
+    drop_written(marked)
     every = reduce(DataFrame.unionByName, found)
     order = Window.partitionBy("key").orderBy("start", "stop")
     before = F.max("stop").over(order.rowsBetween(Window.unboundedPreceding, -1))

@@ -669,6 +669,22 @@ def test_edited_passages_are_found_as_brute_force_finds_them(spark):
     assert got <= {k for k, _ in rows} and len(want) > 300 and len(got & want) >= 0.93 * len(want)
 
 
+def test_places_that_few_documents_cover_do_not_meet_all(spark, monkeypatch):
+    """op10: copies that their leads don't cover, nearly all alike enough to meet, don't make the square of their number of matches."""
+    met, real = [], chain_dedup.written
+
+    def written(df, name):
+        table = real(df, name)
+        met.extend([table.count()] if name == "met" else [])
+        return table
+
+    monkeypatch.setattr(chain_dedup, "written", written)
+    r, passage = random.Random(8), prose(80, 601).split()
+    rows = [(k, " ".join(f"new{k}x{i}" if r.random() < 0.12 else w for i, w in enumerate(passage))) for k in range(300)]
+    found = {x.doc_id for x in fuzzy_passages(docs(spark, rows)).collect()}
+    assert len(found) >= 290 and sum(met) < 20_000, (len(found), met)
+
+
 @pytest.mark.parametrize("group", [256, 16])
 def test_all_edited_copies_of_a_group_are_found(spark, group):
     r, passage = random.Random(6), prose(80, 600).split()
