@@ -25,6 +25,8 @@ FEW = 16
 BLOCK, DRIFT = 8192, 5
 #: Seeds that stand in two documents go to the tasks as a bitmap of 8 bits each while they are at most so many (128 MB).
 BITMAP_SEEDS = 1 << 27
+#: Kinds of places in a run of one word, see _seeds.
+INSIDE, DEEP = -1, -2
 _LEVEL = 4
 _DIRECT = 1 << 26
 
@@ -32,31 +34,54 @@ _DIRECT = 1 << 26
 # Seeds
 
 
-def _seeds(words: Words, kmer: int, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """First word and hash of the k-mers whose least word (by hash) stands first or last, in texts of at
-    least `length` words. The choice depends on the k-mer alone, so copies choose alike whatever stands about it."""
+def _stretch(words: Words, at: np.ndarray, kmer: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of k-mers of one word over and over: how many more of it stand before and after; -1 of others."""
+    new = np.ones(len(words.hash), bool)
+    new[1:] = (words.hash[1:] != words.hash[:-1]) | (words.doc[1:] != words.doc[:-1])
+    begin = np.append(np.flatnonzero(new), len(new))
+    run = (np.cumsum(new) - 1)[at]
+    before, after = at - begin[run], begin[run + 1] - at - kmer
+    return np.where(after >= 0, before, -1), np.where(after >= 0, after, -1)
+
+
+def _seeds(words: Words, kmer: int, length: int, step: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First word, hash and kind of the k-mers whose least word (by hash) stands first or last, in texts of at
+    least `length` words. The choice depends on the k-mer alone, so copies choose alike whatever stands about it.
+
+    Of a run of one word its first k-mer counts and, with another hash, its last one: where such a run stands in two
+    documents, a passage that goes on before it has the first in common, one that goes on after it the last. Within a run of
+    `length` words or more every `step`-th counts too. Kind: the words of such a run at its first k-mer; INSIDE or, at
+    places with more of the word on either side than an alignment sees, DEEP within it; else 0."""
     at, value = words.grams(kmer)
+    if len(at):
+        at_least = np.diff(words.first)[words.doc[at]] >= length
+        at, value = at[at_least], value[at_least]
     if not len(at):
-        return at, value
-    at_least = np.diff(words.first)[words.doc[at]] >= length
-    at, value = at[at_least], value[at_least]
-    if not len(at):
-        return at, value
+        return at, value, np.zeros(0, np.int32)
     least = sliding_window_view(mix(words.hash, 3), kmer)[at].argmin(axis=1)
     ends = (least == 0) | (least == kmer - 1)
-    return at[ends], value[ends]
+    at, value = at[ends], value[ends]
+    before, after = _stretch(words, at, kmer)
+    many = before + after + kmer >= length
+    kind = np.where(before > 0, np.where((before > length + step) & (after > length), DEEP, INSIDE), before + after + kmer) * many
+    one = (before <= 0) | many & (before % step == 0) & (after > 0)
+    last = after == 0
+    kind = np.where(before < 0, 0, kind)
+    return np.concatenate([at[one], at[last]]), np.concatenate([value[one], mix(value[last], 5)]), np.concatenate([kind[one], np.zeros(last.sum(), kind.dtype)]).astype(np.int32)
 
 
-def _counted(kmer: int, length: int):
-    """Each text's distinct seeds."""
+def _counted(kmer: int, length: int, step: int):
+    """Each text's distinct seeds, and whether they are a run of `length` words or more in it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
                 words = Words(part["text"])
-                at, value = _seeds(words, kmer, length)
+                at, value, kind = _seeds(words, kmer, length, step)
+                order = np.argsort(kind <= 0, kind="stable")
+                at, value, kind = at[order], value[order], kind[order]
                 once = np.unique(mix(value + words.doc[at].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), return_index=True)[1]
-                yield pa.RecordBatch.from_arrays([pa.array(signed(value[once]))], names=["seed"])
+                yield pa.RecordBatch.from_arrays([pa.array(signed(value[once])), pa.array(kind[once] > 0)], names=["seed", "run"])
 
     return run
 
@@ -78,22 +103,22 @@ def contexts(words: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
     return left, right
 
 
-_PLACES = "seed long, key long, at int, first boolean, l long, r long"
+_PLACES = "seed long, key long, at int, kind int, first boolean, l long, r long"
 
 
 def _placed(kmer: int, length: int, context: int, bitmap: np.ndarray | None, bits: int):
     """Places of seeds; of those whose bit is set, where there is a bitmap. Of places of one seed in one
-    block of `context` words of a text the first counts; the first in the text is marked."""
+    block of `context` words of a text the first counts, and every long run; the first in the text is marked."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
                 words = Words(part["text"])
-                at, value = _seeds(words, kmer, length)
+                at, value, kind = _seeds(words, kmer, length, context)
                 if bitmap is not None:
                     slot = value >> np.uint64(64 - bits)
                     hit = bitmap[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8) & 1 == 1
-                    at, value = at[hit], value[hit]
+                    at, value, kind = at[hit], value[hit], kind[hit]
                 doc = words.doc[at]
                 place = at - words.first[doc]
                 order = np.lexsort((at, value))
@@ -101,14 +126,15 @@ def _placed(kmer: int, length: int, context: int, bitmap: np.ndarray | None, bit
                 first, new = np.ones(len(at), bool), np.ones(len(at), bool)
                 first[order[1:]] = (v[1:] != v[:-1]) | (d[1:] != d[:-1])
                 new[order[1:]] = first[order[1:]] | (p[1:] != p[:-1])
+                new |= kind > 0
                 left, right = contexts(words, context)
                 right = np.append(right, np.zeros(kmer, np.uint64))
                 # the words after the seed are those of its own text, or the text is too short for them
                 after = np.where(place + kmer < np.diff(words.first)[doc], right[at + kmer], np.uint64(0))
-                at, doc, place, first, value, after = (x[new] for x in (at, doc, place, first, value, after))
+                at, doc, place, kind, first, value, after = (x[new] for x in (at, doc, place, kind, first, value, after))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(signed(value)), part["key"].take(pa.array(doc)), pa.array(place.astype(np.int32)), pa.array(first), pa.array(signed(left[at])), pa.array(signed(after))],
-                    names=["seed", "key", "at", "first", "l", "r"],
+                    [pa.array(signed(value)), part["key"].take(pa.array(doc)), pa.array(place.astype(np.int32)), pa.array(kind), pa.array(first), pa.array(signed(left[at])), pa.array(signed(after))],
+                    names=["seed", "key", "at", "kind", "first", "l", "r"],
                 )
 
     return run
@@ -203,7 +229,7 @@ def _chain(kmer: int):
     def chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = None
         for batch in batches:
-            now = np.stack([batch[c].to_numpy().astype(np.int64) for c in ("lead", "key", "lead_at", "at")], axis=1)
+            now = np.stack([batch[c].to_numpy().astype(np.int64) for c in ("lead", "key", "lead_at", "at")] + [batch["alone"].to_numpy(zero_copy_only=False).astype(np.int64)], axis=1)
             rest = now if rest is None else np.concatenate([rest, now])
             edges = np.flatnonzero((rest[1:, 0] != rest[:-1, 0]) | (rest[1:, 1] != rest[:-1, 1])) + 1
             if len(edges):
@@ -215,7 +241,9 @@ def _chain(kmer: int):
     def of_pairs(x: np.ndarray, edges: np.ndarray) -> pa.RecordBatch:
         out: list[tuple] = []
         for s, e in zip(edges[:-1].tolist(), edges[1:].tolist()):
-            a, b = x[s:e, 2].tolist(), x[s:e, 3].tolist()
+            met = dict.fromkeys(zip(x[s:e, 2].tolist(), x[s:e, 3].tolist(), x[s:e, 4].tolist()))  # a run of one k-mer meets by its first and its last
+            out += [(int(x[s, 0]), int(x[s, 1]), [p], [q]) for p, q, alone in met if alone]
+            a, b = [p for p, _, alone in met if not alone], [q for _, q, alone in met if not alone]
             for c in chains(a, b, kmer):
                 out.append((int(x[s, 0]), int(x[s, 1]), [a[m] for m in c], [b[m] for m in c]))
         kinds = (pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()))
@@ -435,7 +463,7 @@ def _aligned(kmer: int, length: int, identity: float):
 
 
 def _passages(docs: DataFrame, matches: DataFrame, length: int, identity: float, kmer: int) -> DataFrame:
-    """Chains matches (lead, key, lead_at, at) and aligns the chains' words; a written table, see _FOUND."""
+    """Chains matches (lead, key, lead_at, at, alone) and aligns the chains' words; a written table, see _FOUND."""
     matches = matches.repartition("lead", "key").sortWithinPartitions("lead", "key")
     chained = matches.mapInArrow(_chain(kmer), "lead long, key long, lead_ats array<int>, ats array<int>")
     named = {"pair": F.xxhash64("lead", "key"), "size": F.size("ats"), "chain": F.xxhash64("lead", "key", "lead_ats", "ats")}
@@ -463,6 +491,23 @@ def _alike(x: str, y: str) -> Column:
     return (least["l"] > 0) & (both["l"] * 5 >= least["l"] * 3) | (least["r"] > 0) & (both["r"] * 5 >= least["r"] * 3)
 
 
+def _of_runs(longs: DataFrame) -> DataFrame:
+    """The passages of runs (seed, key, at, kind) of one word that stand in another document too, as long as
+    they are or in pieces as long as the longest there; see _FOUND."""
+    by_doc = longs.groupBy("seed", "key").agg(F.max(F.struct("kind", F.bitwise_not("at").alias("order"), "at")).alias("r"))
+    by_doc = written(by_doc.select("seed", "key", F.struct(F.col("r.kind").alias("size"), F.bitwise_not("key").alias("order"), "key", F.col("r.at").alias("at")).alias("o")), "runs")
+    best = by_doc.groupBy("seed").agg(F.max("o").alias("best"))
+    second = by_doc.join(best, "seed").where("key <> best.key").groupBy("seed").agg(F.max("o").alias("second"))
+    met = longs.join(best.join(second, "seed"), "seed").withColumn("o", F.when(F.col("best.key") != F.col("key"), F.col("best")).otherwise(F.col("second")))
+    met = met.withColumn("size", F.least("kind", "o.size"))
+    pieces = met.withColumn("off", F.explode(F.array_union(F.sequence(F.lit(0), F.col("kind") - F.col("size"), "size"), F.array(F.col("kind") - F.col("size")))))
+    begin = F.col("at") + F.col("off")
+    found = pieces.select("key", begin.alias("start"), (begin + F.col("size")).alias("stop"), F.col("o.key").alias("other"), F.col("o.at").alias("other_start"), (F.col("o.at") + F.col("size")).alias("other_stop"), F.lit(1.0).alias("identity"))
+    found = written(found, "passages")
+    drop_written(by_doc)
+    return found
+
+
 def _covered(found: DataFrame) -> DataFrame:
     """key, spans: each document's covered stretches, merged."""
     order = Window.partitionBy("key").orderBy("start", "stop")
@@ -478,9 +523,10 @@ def _marked(places: DataFrame, found: DataFrame, kmer: int) -> DataFrame:
     return places.join(_covered(found), "key", "left").select("seed", "key", "at", "first", (F.col("spans").isNull() | ~inside).alias("fresh"))
 
 
-def _windows(kmer: int, context: int, reach: int):
+def _windows(kmer: int, context: int, reach: int, length: int):
     """The wanted places of every text with their masks, and a byte for each of the `reach` words before
-    (nearest first) and after; 0 where the text ends."""
+    (nearest first) and after; 0 where the text ends. Two more bytes: how many of the words before and after are of
+    the same run of one word, of less than `length`, as the seed. `inner`: whether the place is within a run."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -496,10 +542,13 @@ def _windows(kmer: int, context: int, reach: int):
                 code = np.concatenate([(words.hash % np.uint64(255)).astype(np.uint8) + np.uint8(1), np.zeros(1, np.uint8)])
                 near = at[:, None] + np.concatenate([np.arange(-1, -reach - 1, -1), np.arange(kmer, kmer + reach)])
                 near[(near < words.first[doc][:, None]) | (near >= words.first[doc + 1][:, None])] = -1
-                spans = np.arange(len(at) + 1, dtype=np.int32) * (2 * reach)
-                data = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(spans), pa.py_buffer(np.ascontiguousarray(code[near]))])
+                before, more = _stretch(words, at, kmer)
+                short = (before >= 0) & (before + more + kmer < length)
+                run = np.where(short[:, None], np.stack([before, more], axis=1), 0).astype(np.uint8)
+                spans = np.arange(len(at) + 1, dtype=np.int32) * (2 * reach + 2)
+                data = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(spans), pa.py_buffer(np.ascontiguousarray(np.concatenate([code[near], run], axis=1)))])
                 cells = [flat.field(c) for c in ("seed", "at", "fresh", "blocks")]
-                yield pa.RecordBatch.from_arrays([cells[0], part["key"].take(pa.array(doc)), *cells[1:], pa.array(signed(left[at])), pa.array(signed(after)), data], names=["seed", "key", "at", "fresh", "blocks", "l", "r", "words"])
+                yield pa.RecordBatch.from_arrays([cells[0], part["key"].take(pa.array(doc)), *cells[1:], pa.array(signed(left[at])), pa.array(signed(after)), pa.array((before > 0) & (more > 0)), data], names=["seed", "key", "at", "fresh", "blocks", "l", "r", "inner", "words"])
 
     return run
 
@@ -517,10 +566,12 @@ def _tiers(length: int, identity: float, kmer: int) -> list[tuple[int, int]]:
 
 def agreeing(x: np.ndarray, y: np.ndarray, tiers: list[tuple[int, int]], drift: int) -> np.ndarray:
     """For pairs of places (rows of bytes, see _windows) whether in some window about the seed enough words of
-    the first (see _tiers) stand in the second too, at most `drift` words off."""
-    reach, counts = tiers[-1][0], []
+    the first (see _tiers) stand in the second too, at most `drift` words off. Of a seed in a short run of one word one
+    of these lies outside of the run: a passage begins and ends with words in common, and is longer than the run."""
+    reach, counts, outside = tiers[-1][0], [], []
     wide = reach + drift
-    for side in (slice(0, wide), slice(wide, 2 * wide)):
+    runs = np.flatnonzero(x[:, 2 * wide :].any(axis=1)) if x.shape[1] > 2 * wide else np.zeros(0, np.int64)
+    for k, side in enumerate((slice(0, wide), slice(wide, 2 * wide))):
         a, b = x[:, side], y[:, side]
         same = a == b
         for d in range(1, drift + 1):
@@ -530,24 +581,37 @@ def agreeing(x: np.ndarray, y: np.ndarray, tiers: list[tuple[int, int]], drift:
         count = np.zeros((len(x), reach + 1), np.uint16)
         np.cumsum(same[:, :reach], axis=1, dtype=np.uint16, out=count[:, 1:])
         counts.append(count)
-    out = np.zeros(len(x), bool)
+        if len(runs):
+            within = np.minimum(x[runs, 2 * wide + k], reach).astype(np.int64)
+            mine = count[runs]
+            outside.append(mine > np.where(np.arange(reach + 1) < within[:, None], mine, mine[np.arange(len(runs)), within][:, None]))
+    out, row = np.zeros(len(x), bool), np.full(len(x), -1)
+    row[runs] = np.arange(len(runs))
     for size, least in tiers:
         may = np.flatnonzero(~out & (counts[0][:, size] + counts[1][:, size] >= least))
-        out[may] = (counts[0][may, : size + 1] + counts[1][may, size::-1]).max(axis=1) >= least if len(may) else False
+        if not len(may):
+            continue
+        enough = counts[0][may, : size + 1] + counts[1][may, size::-1] >= least
+        if len(runs):
+            of, k = row[may], np.flatnonzero(row[may] >= 0)
+            enough[k] &= outside[0][of[k], : size + 1] | outside[1][of[k], size::-1]
+        out[may] = enough.any(axis=1)
     return out
 
 
-def _meet(tiers: list[tuple[int, int]], drift: int, pairs: int = 1 << 18):
+def _meet(tiers: list[tuple[int, int]], drift: int, pairs: int = 1 << 18, most: int = 1 << 12):
     """The pairs of places of one seed, in rows sorted by seed, i, j, block and fresh (first), of which one at
-    least is fresh, that may lie in one passage: blocks i and j meet, or i itself."""
+    least is fresh, that may lie in one passage: blocks i and j meet, or i itself. Those with over `most` pairs are
+    compared in tiles, rows against columns; the small ones many at a time. A match within a run of one word stands
+    alone: any other of the run is as good, so a chain of these would be out of step."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: list[np.ndarray] | None = None
         for batch in batches:
-            now = [batch[c].to_numpy(zero_copy_only=False) for c in ("seed", "i", "j", "block", "fresh", "key", "at", "l", "r")]
+            now = [batch[c].to_numpy(zero_copy_only=False) for c in ("seed", "i", "j", "block", "fresh", "key", "at", "l", "r", "inner")]
             _, spans, data = batch["words"].buffers()
             begin = int(np.frombuffer(spans, np.int32)[batch["words"].offset]) if batch.num_rows else 0
-            size = 2 * (tiers[-1][0] + drift)
+            size = 2 * (tiers[-1][0] + drift) + 2
             now.append(np.frombuffer(data, np.uint8)[begin : begin + batch.num_rows * size].reshape(-1, size))
             rest = now if rest is None else [np.concatenate(x) for x in zip(rest, now)]
             new = np.flatnonzero((rest[0][1:] != rest[0][:-1]) | (rest[1][1:] != rest[1][:-1]) | (rest[2][1:] != rest[2][:-1]))
@@ -559,7 +623,18 @@ def _meet(tiers: list[tuple[int, int]], drift: int, pairs: int = 1 << 18):
             yield from of_groups(rest)
 
     def of_groups(rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        seed, i, j, block, fresh, key, at, l, r, words = rows
+        def matches(x: np.ndarray, y: np.ndarray) -> pa.RecordBatch:
+            ok = key[x] != key[y]
+            x, y = x[ok], y[ok]
+            for _ in range(2):  # enough words of either stand in the other
+                good = [agreeing(words[x[c : c + 4096]], words[y[c : c + 4096]], tiers, drift) for c in range(0, len(x), 4096)]
+                good = np.concatenate([*good, np.zeros(0, bool)])
+                x, y = y[good], x[good]
+            swap = key[x] > key[y]
+            x, y = np.where(swap, y, x), np.where(swap, x, y)
+            return pa.RecordBatch.from_arrays([pa.array(key[x]), pa.array(key[y]), pa.array(at[x]), pa.array(at[y]), pa.array(inner[x] | inner[y])], names=["lead", "key", "lead_at", "at", "alone"])
+
+        seed, i, j, block, fresh, key, at, l, r, inner, words = rows
         l, r, n = l.view(np.uint64), r.view(np.uint64), len(seed)
         opens = np.concatenate([[True], (seed[1:] != seed[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])])
         begins = np.flatnonzero(opens)
@@ -573,8 +648,18 @@ def _meet(tiers: list[tuple[int, int]], drift: int, pairs: int = 1 << 18):
         start = np.where(across, other[group], row + 1)
         stop = np.where(across, np.where(fresh, ends[group], other[group] + news[group]), np.where(fresh, ends[group], row + 1))
         counts = np.where(second, 0, stop - start)
+        large = np.bincount(group, counts, minlength=len(begins)) > most
+        counts[large[group]] = 0  # these go by tiles
         # a mask shares three fifths of the bits of the lesser: thresholds; none for an empty one
         need = [np.where(m == 0, 255, (np.bitwise_count(m) * np.uint16(3) + 4) // 5).astype(np.uint8) for m in (l, r)]
+
+        def alike(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+            ok = np.zeros(np.broadcast_shapes(x.shape, y.shape), bool)
+            for m, t in zip((l, r), need):
+                bits = np.bitwise_count(m[x] & m[y])
+                ok |= (bits >= t[x]) | (bits >= t[y])
+            return ok
+
         total = np.concatenate([[0], np.cumsum(counts)])
         a = 0
         while a < n:
@@ -582,24 +667,26 @@ def _meet(tiers: list[tuple[int, int]], drift: int, pairs: int = 1 << 18):
             x = np.repeat(row[a:b], counts[a:b])
             y = start[x] + np.arange(len(x)) - (total[x] - total[a])
             a = b
-            ok = np.zeros(len(x), bool)
-            for m, t in zip((l, r), need):
-                ok |= np.bitwise_count(m[x] & m[y]) >= np.minimum(t[x], t[y])
-            ok &= key[x] != key[y]
-            x, y = x[ok], y[ok]
-            for _ in range(2):  # enough words of either stand in the other
-                good = [agreeing(words[x[c : c + 4096]], words[y[c : c + 4096]], tiers, drift) for c in range(0, len(x), 4096)]
-                good = np.concatenate([*good, np.zeros(0, bool)])
-                x, y = y[good], x[good]
-            swap = key[x] > key[y]
-            x, y = np.where(swap, y, x), np.where(swap, x, y)
-            yield pa.RecordBatch.from_arrays([pa.array(key[x]), pa.array(key[y]), pa.array(at[x]), pa.array(at[y])], names=["lead", "key", "lead_at", "at"])
+            ok = alike(x, y)
+            yield matches(x[ok], y[ok])
+        for g in np.flatnonzero(large):
+            b, o, e = int(begins[g]), int(other[g]), int(ends[g])
+            f = b + int(fresh[b:o].sum())
+            for lo, hi, first, last in ((b, f, o if across[b] else b, e), (f, o, o, o + int(news[g]))):
+                step = max(1, pairs // max(1, last - first))
+                for c in range(lo, hi if last > first else lo, step):
+                    x, y = row[c : min(c + step, hi), None], row[None, first if across[b] else c + 1 : last]
+                    ok = alike(x, y)
+                    if not across[b]:
+                        ok &= x < y
+                    p, q = np.nonzero(ok)
+                    yield matches(x[p, 0], y[0, q])
 
     return run
 
 
 def _met(docs: DataFrame, marked: DataFrame, length: int, identity: float, kmer: int, block: int, few: int | None = None) -> DataFrame:
-    """lead, key, lead_at, at: every fresh place with every place of its seed, in other documents, that may lie
+    """lead, key, lead_at, at, alone: every fresh place with every place of its seed, in other documents, that may lie
     in one passage with it: by the masks, and by the words about them (see _tiers; a passage of up to twice
     `length` words has as much in common about every seed, but for sides more than DRIFT out of step).
     few: with those of its bucket only, of about so many documents by their hash."""
@@ -611,8 +698,8 @@ def _met(docs: DataFrame, marked: DataFrame, length: int, identity: float, kmer:
     wanted = marked.join(seeds.select("seed", "blocks"), "seed")
     wanted = written(wanted.groupBy("key").agg(F.collect_list(F.struct("seed", "at", "fresh", "blocks")).alias("wanted")), "wanted")
     texts = docs.join(lookup(wanted), "key").select("key", "text", "wanted")
-    seen = texts.mapInArrow(_windows(kmer, CONTEXT, tiers[-1][0] + DRIFT), "seed long, key long, at int, fresh boolean, blocks int, l long, r long, words binary")
-    columns = ("block", "fresh", "key", "at", "l", "r", "words")
+    seen = texts.mapInArrow(_windows(kmer, CONTEXT, tiers[-1][0] + DRIFT, length), "seed long, key long, at int, fresh boolean, blocks int, l long, r long, inner boolean, words binary")
+    columns = ("block", "fresh", "key", "at", "l", "r", "inner", "words")
     if few:
         mine = seen.withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
         pairs = mine.select("seed", F.col("block").alias("i"), F.col("block").alias("j"), *columns)
@@ -620,7 +707,7 @@ def _met(docs: DataFrame, marked: DataFrame, length: int, identity: float, kmer:
         mine = seen.withColumn("block", F.pmod(F.xxhash64("key", "at"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         pairs = mine.select("seed", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), *columns)
     pairs = pairs.repartition("seed", "i", "j").sortWithinPartitions("seed", "i", "j", "block", F.desc("fresh"))
-    met = written(pairs.mapInArrow(_meet(tiers, DRIFT), "lead long, key long, lead_at int, at int"), "met")
+    met = written(pairs.mapInArrow(_meet(tiers, DRIFT), "lead long, key long, lead_at int, at int, alone boolean"), "met")
     drop_written(wanted)
     return met
 
@@ -636,6 +723,8 @@ def fuzzy_passages(
     one document alone go at once. A place carries masks of the words about it, so pairs
     that share little more than a phrase go before anything is chained or aligned.
 
+    0. Runs of one word over and over are covered by the longest such run of another document. Else a run has two places,
+       its ends, with other seeds for either; those within long runs ask only where no other document has one.
     1. Every place meets its group's lead (groups of at most about `group` documents of a seed, by a hash), so a
        passage in a million documents makes a million matches, not their square.
     2. Every place that no passage covers so far meets all places of its seed in a bucket of about FEW documents;
@@ -653,25 +742,31 @@ def fuzzy_passages(
       document. Documents are told apart by a 64-bit hash of id and text.
     - A passage that repeats within one document alone doesn't count; in a document with other copies each of its places does.
     - Of passages found of a stretch, the longest is shown (covered places ask no further, so longer ones may stand elsewhere); of equal ones that with the least (hash of the) other document.
+    - Runs of one word, of `length` words or more, in two documents cover each other at once, without seeds (step 0): a run as
+      long as the longest elsewhere or in pieces as long as that. Texts that repeat several words in turn have no such way.
     - Very long texts are searched whole. Extra columns are dropped first. An empty table gives no rows.
     - Approximate by its seeds: a passage needs one in common, and words about it alike enough (see
       _alike, _tiers). Of a seed that repeats within CONTEXT words one place a block counts. A covered stretch
       grows by passages that have a seed outside it.
     """
     docs = unique_docs(docs, id_col, text_col)
-    repeated = written(docs.select("text").mapInArrow(_counted(kmer, length), "seed long").groupBy("seed").agg(F.count("*").alias("g")).where("g > 1"), "repeated")
+    counted = docs.select("text").mapInArrow(_counted(kmer, length, CONTEXT), "seed long, run boolean")
+    repeated = written(counted.groupBy("seed").agg(F.count("*").alias("g"), F.count_if("run").alias("runs")).where("g > 1"), "repeated")
     n = repeated.count()
     bitmap = _bitmap(repeated, n) if n <= bitmap_seeds else (None, 0)
     # buckets of a seed: 1 up to `group` documents, then 16, 256, ...
     depth = F.greatest(F.lit(0), F.ceil(F.log2(F.col("g") / group) / _LEVEL - 1e-9)).cast("int") * _LEVEL
     found_at = docs.select("key", "text").mapInArrow(_placed(kmer, length, CONTEXT, *bitmap), _PLACES).join(repeated, "seed")
+    # where two documents have long runs of a word, these are covered: their inner places only wait for others
+    found_at = found_at.where((F.col("kind") != DEEP) | (F.col("runs") < 2)).withColumn("kind", F.when((F.col("kind") > 0) & (F.col("runs") < 2), 0).otherwise(F.col("kind")))
     bucket = F.when(F.col("depth") == 0, F.lit(0).cast("long")).otherwise(F.expr("shiftrightunsigned(xxhash64(key), 64 - depth)"))
-    places = written(found_at.withColumn("depth", depth).withColumn("bucket", bucket).select("seed", "bucket", "key", "at", "first", "l", "r"), "places")
+    places = written(found_at.withColumn("depth", depth).withColumn("bucket", bucket).select("seed", "bucket", "key", "at", "kind", "first", "l", "r"), "places")
     first = places.where("first")
     lead = written(first.groupBy("seed", "bucket").agg(F.min(F.struct("key", "at", "l", "r")).alias("y"), F.count("*").alias("n")).where("n > 1").select("seed", "bucket", "y"), "leads")
-    star = places.select("seed", "bucket", F.struct("key", "at", "l", "r").alias("x")).join(lead, ["seed", "bucket"]).where((F.col("x.key") != F.col("y.key")) & _alike("x", "y"))
-    found = [_passages(docs, star.select(F.col("y.key").alias("lead"), F.col("x.key").alias("key"), F.col("y.at").alias("lead_at"), F.col("x.at").alias("at")), length, identity, kmer)]
-    marked = written(_marked(places, found[0], kmer), "marked")
+    found = [_of_runs(places.where("kind > 0"))]
+    star = places.where("kind >= 0").select("seed", "bucket", F.struct("key", "at", "l", "r").alias("x")).join(lead, ["seed", "bucket"]).where((F.col("x.key") != F.col("y.key")) & _alike("x", "y"))
+    found.append(_passages(docs, star.select(F.col("y.key").alias("lead"), F.col("x.key").alias("key"), F.col("y.at").alias("lead_at"), F.col("x.at").alias("at"), F.lit(False).alias("alone")), length, identity, kmer))
+    marked = written(_marked(places, reduce(DataFrame.unionByName, found), kmer), "marked")
     drop_written(places, lead, repeated)
     for few in (FEW, None):
         met = _met(docs, marked, length, identity, kmer, block, few)

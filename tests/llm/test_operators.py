@@ -745,3 +745,57 @@ def test_one_word_over_and_over(spark):
     got = fuzzy_passages(docs(spark, rows)).collect()
     covered = {k: sum(r.end_word - r.start_word for r in got if r.doc_id == k) for k in (1, 2, 3)}
     assert covered[1] > 0.99 * 3000 and covered[2] > 0.99 * 500 and covered[3] == 0
+
+
+def test_long_runs_of_one_word_are_covered_by_the_longest_elsewhere(spark):
+    rows = [(1, "spam " * 3000), (2, prose(20, 5) + " spam" * 500), (3, "spam " * 70 + prose(60, 3)), (4, "eggs " * 300), (5, prose(60, 4))]
+    got = {r.doc_id: (r.start_word, r.end_word, r.other_id, r.other_end - r.other_start, r.identity) for r in fuzzy_passages(docs(spark, rows)).collect()}
+    assert got == {1: (0, 3000, 2, 500, 1.0), 2: (20, 520, 1, 500, 1.0), 3: (0, 70, 1, 70, 1.0)}
+
+
+def test_an_edited_run_covers_the_whole_of_a_long_one(spark):
+    """The only long run of its word: each of its places is like the other document's run with one word between."""
+    edited = prose(40, 3) + " " + "spam " * 45 + "new " + "spam " * 45 + prose(40, 4)
+    for more in ([], [(3, prose(30, 5) + " " + "spam " * 200 + prose(30, 6))]):  # with a third document, the long runs cover each other
+        rows = [(1, prose(30, 1) + " " + "spam " * 400 + prose(30, 2)), (2, edited), *more]
+        got = {r.doc_id: (r.start_word, r.end_word) for r in fuzzy_passages(docs(spark, rows)).collect()}
+        assert got[1] == (30, 430) and got[2] == (40, 131) and len(got) == len(rows)
+
+
+def test_short_runs_of_one_word_in_unlike_documents_do_not_meet(spark, monkeypatch):
+    """op10: every document has a run of 44 words, four fifths of a passage, and all but two pairs nothing else in common."""
+    met, real = [], chain_dedup.written
+
+    def written(df, name):
+        table = real(df, name)
+        met.extend([table.count()] if name == "met" else [])
+        return table
+
+    monkeypatch.setattr(chain_dedup, "written", written)
+    own = lambda k, side, n: " ".join(f"{side}{k}x{i}" for i in range(n))
+    rows = [(k, " ".join([*[f"a{k}"] * 30, *["the"] * 44, *[f"b{k}"] * 30])) for k in range(100)]
+    rows += [(k, " ".join([own(k, "a", 40), *["the"] * 44, own(k, "b", 1), *["of"] * 6, own(k, "c", 40)])) for k in (100, 101)]
+    rows += [(k, " ".join([own(k, "a", 40), *["of"] * 6, own(k, "b", 1), *["the"] * 44, own(k, "c", 40)])) for k in (102, 103)]
+    got = {(r.doc_id, r.start_word, r.end_word, r.other_id) for r in fuzzy_passages(docs(spark, rows)).collect()}
+    assert got == {(k, 40, 91, k ^ 1) for k in (100, 101, 102, 103)} and sum(met) < 2500, (got, met)
+
+
+def test_tiles_meet_as_pairs_do():
+    r = np.random.default_rng(4)
+    tiers, n = chain_dedup._tiers(50, 0.8, 7), 400
+    size = 2 * (tiers[-1][0] + chain_dedup.DRIFT)
+    rows = []
+    for seed in range(6):
+        i, j = (0, 1) if seed % 2 else (0, 0)
+        for block in sorted({i, j}):
+            rows += [(seed, i, j, block, bool(f), int(k), int(a)) for f, k, a in zip(sorted(r.random(n // 6) < 0.3, reverse=True), r.integers(0, 40, n // 6), r.integers(0, 999, n // 6))]
+    masks = [r.integers(0, 1 << 8, len(rows)) for _ in "lr"]
+    words = np.concatenate([r.integers(1, 4, (len(rows), size)), np.zeros((len(rows), 2))], axis=1).astype(np.uint8)
+    columns = [pa.array([x[c] for x in rows], t) for c, t in enumerate((pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.int64(), pa.int32()))]
+    columns += [pa.array(m) for m in masks] + [pa.array(r.random(len(rows)) < 0.2), pa.array([w.tobytes() for w in words], pa.binary())]
+    batch = pa.RecordBatch.from_arrays(columns, names=["seed", "i", "j", "block", "fresh", "key", "at", "l", "r", "inner", "words"])
+
+    def met(pairs, most):
+        return sorted(tuple(x.values()) for out in chain_dedup._meet(tiers, chain_dedup.DRIFT, pairs, most)(iter([batch])) for x in out.to_pylist())
+
+    assert met(1 << 18, 1 << 30) == met(500, 0) == met(1 << 18, 0) and len(met(500, 0)) > 100
