@@ -82,6 +82,10 @@ def test_vectors(spark):
     assert [r[0] for r in t.select(pooled(F.col("t"), "cls")).collect()][0] == [3.0, 0.0]
 
 
+def test_references_without_a_semicolon_stay():
+    assert plain_text("<p>a &amp; b&amp</p><p>&lt;i&gt; &copy &#39 &ampfoo; &amp;lt; &nope; &Eacute;</p>") == "a & b&amp\n<i> &copy &#39 &ampfoo; &lt; &nope; É"
+
+
 @pytest.mark.parametrize("block", [1024, 4])
 def test_all_pairs_by_tiles(spark, block):
     import random
