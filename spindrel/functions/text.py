@@ -47,6 +47,19 @@ def lower_rank(values: Column, percent: float) -> Column:
     return F.get(F.array_sort(values), F.floor(F.lit(percent / 100) * (F.size(values) - 1)).cast("int"))
 
 
+#: Characters whose upper case is several; what each becomes as one; and what stands for it meanwhile (private use).
+_WIDE = [c for c in map(chr, range(0x10000)) if not "\ud800" <= c <= "\udfff" and len(c.upper()) > 1]
+_WIDE_UPPER = "".join("\u1e9e" if c == "ß" else c.title() if len(c.title()) == 1 else c for c in _WIDE)
+_WIDE_HELD = "".join(chr(0xF0000 + i) for i in range(len(_WIDE)))
+
+
+def upper_by_char(text: Column) -> Column:
+    """Upper case, one character for one: ß becomes ẞ, not SS, and what has no single upper case stays."""
+    wide = "".join(_WIDE)
+    held = F.translate(F.upper(F.translate(text, wide, _WIDE_HELD)), _WIDE_HELD, _WIDE_UPPER)
+    return F.when(text.rlike(f"[{wide}]"), held).otherwise(F.upper(text))
+
+
 def slug(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(text), r"[^a-z0-9]+", "-"), r"^-+|-+$", "")
 

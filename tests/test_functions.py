@@ -72,3 +72,12 @@ def test_greedy_clusters_follow_the_sequential_walk(spark, together):
             leader |= {j: i for j in range(i, 30) if j not in leader and (j == i or (i, j) in edges)}
     got = greedy_clusters(spark.range(30).withColumnRenamed("id", "vec_id"), spark.createDataFrame([*edges, (3, 3), (9, 2)], "i long, j long"), together=together)
     assert {r.vec_id: r.leader for r in got.collect()} == leader
+
+
+def test_upper_case_by_character(spark):
+    import duckdb
+
+    texts = ["straße ŉ ﬁ ᾳ ǆ", "plain äöü ı", "", None, *(chr(c) for c in range(1, 0x2000) if len(chr(c).upper()) > 1)]
+    data = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, t string")
+    got = {r.id: r.u for r in data.select("id", T.upper_by_char(F.col("t")).alias("u")).collect()}
+    assert got == {i: t and duckdb.execute("SELECT upper(?)", [t]).fetchone()[0] for i, t in enumerate(texts)}
