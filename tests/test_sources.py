@@ -105,6 +105,42 @@ def test_all_pairs_by_tiles(spark, block):
     assert K.cosine_pairs(data.limit(0)).count() == 0
 
 
+def _vectors(spark, seed=5):
+    """Close and far ones, of either length, equal ids, zeros and nulls, in any order."""
+    import random
+
+    r = random.Random(seed)
+    rows = [(r.randint(0, 60), [float(r.randint(-3, 3)) for _ in range(4 if r.random() < 0.8 else 2)]) for _ in range(70)]
+    rows += [(61, [0.0] * 4), (62, None), (5, None), (None, [1.0] * 4), (63, [-5.0, 1e-200, 0.0, 1.0])]
+    return rows, spark.createDataFrame(rows, "vec_id int, embedding array<double>")
+
+
+def _close(a, b, tau):
+    n = min(len(a), len(b))
+    norm = math.sqrt(sum(x * x for x in a[:n]) * sum(x * x for x in b[:n]))
+    return (round(sum(x * y for x, y in zip(a, b)) / norm, 6) if norm else 0.0) >= tau
+
+
+@pytest.mark.parametrize("tau", [0.7, 0.0])
+@pytest.mark.parametrize("chunk", [9, 65536])
+def test_pairs_and_clusters_by_chunks(spark, monkeypatch, chunk, tau):
+    rows, data = _vectors(spark)
+    want = sorted((i, j) for i, a in rows for j, b in rows if i is not None and j is not None and i < j and a and b and _close(a, b, tau))
+    pairs = K.cosine_pairs(data, tau, block=4, chunk=chunk)
+    assert sorted((x.i, x.j) for x in pairs.collect()) == want
+    # vectors are not dealt out to every tile: what multiplies reads the table
+    assert "Exchange" not in pairs._jdf.queryExecution().executedPlan().toString()
+
+    monkeypatch.setattr(K, "cosine_pairs", None)  # clusters don't make the pairs
+    leader: dict[int, int] = {}
+    met = {*want, *((j, i) for i, j in want)}
+    for i in sorted({i for i, _ in rows if i is not None}):
+        leader[i] = next((j for j in sorted(leader) if leader[j] == j and (i, j) in met), i)
+    got = K.group_similar(data, tau, block=4, chunk=chunk)
+    assert sorted((x.vec_id, x.leader) for x in got.collect()) == sorted(leader.items()) and got.dtypes == [("vec_id", "int"), ("leader", "int")]
+    assert K.group_similar(data.limit(0)).count() == 0
+
+
 def test_texts_are_projected_and_grouped(spark):
     items = spark.createDataFrame([(1, "aab"), (2, "aabb"), (3, "zz"), (4, "z")], "id long, name string")
     embed = lambda texts: [[t.count("a"), t.count("b"), t.count("z")] for t in texts]
