@@ -148,6 +148,22 @@ def copy_path(spark: SparkSession, source: str, target: str) -> bool:
     return bool(jvm.org.apache.hadoop.fs.FileUtil.copy(a.getFileSystem(conf), a, b.getFileSystem(conf), b, False, conf))
 
 
+def move_files(spark: SparkSession, source: str, target: str, prefix: str = "") -> int:
+    """Moves the files directly in a folder (none where there is no such folder) into another that exists; how many."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    a, b = jvm.org.apache.hadoop.fs.Path(source), jvm.org.apache.hadoop.fs.Path(target)
+    here, there = a.getFileSystem(conf), b.getFileSystem(conf)
+    if not here.exists(a):
+        return 0
+    found = [f.getPath() for f in here.listStatus(a) if f.isFile()]
+    for path in found:
+        to = jvm.org.apache.hadoop.fs.Path(b, prefix + path.getName())
+        moved = here.rename(path, to) if here.getUri().equals(there.getUri()) else jvm.org.apache.hadoop.fs.FileUtil.copy(here, path, there, to, True, conf)
+        if not moved:
+            raise OSError(str(path))
+    return len(found)
+
+
 def ensure_folder(spark: SparkSession, path: str) -> bool:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return bool(p.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(p))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -9,8 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import strip_ansi
-from ..sources.files import copy_path
-from ..sources.tables import fresh, kept
+from ..sources.files import copy_path, ensure_folder, move_files
+from ..sources.tables import drop_kept, fresh, kept
 
 ROWS_PER_TICK, SLICE_BYTES = 1000, 131072
 LOG_BATCH, LOG_SECONDS = 10, 5
@@ -167,7 +168,12 @@ class FolderClient(Client):
 
     def __init__(self, lines: DataFrame, order: list[str], root: str, answer: Callable[[DataFrame], DataFrame], per_tick: int = ROWS_PER_TICK, polls: int = 2):
         self.spark, self.root, self.answer, self.polls = lines.sparkSession, root.rstrip("/"), answer, polls
-        self.numbered = kept(ticks(lines, order, per_tick), "numbered")
+        # each tick's lines are files of their own, written once: a tick moves them and reads nothing
+        numbered = kept(ticks(lines, order, per_tick), "numbered")
+        self.count, last = numbered.agg(F.count("*"), F.max("tick")).first()
+        self.last, self.staged = last or 0, f"{self.root}/staged-{uuid.uuid4().hex}"
+        numbered.select("line", "tick").write.partitionBy("tick").text(self.staged)
+        drop_kept(numbered)
         self.next_tick, self.files = 0, 0
         self.batches: dict[str, dict] = {}
 
@@ -176,9 +182,10 @@ class FolderClient(Client):
         return f"file-{self.files}"
 
     def build(self, job: dict) -> int | None:
-        self.numbered.where(F.col("tick") == self.next_tick).select("line").write.mode("append").text(job["input_path"])
+        ensure_folder(self.spark, job["input_path"])
+        move_files(self.spark, f"{self.staged}/tick={self.next_tick}", job["input_path"], f"tick-{self.next_tick}-")
         self.next_tick += 1
-        return None if self.next_tick < (self.numbered.agg(F.max("tick")).first()[0] or 0) + 1 else self.numbered.count()
+        return None if self.next_tick <= self.last else self.count
 
     def upload(self, path: str) -> str:
         name = self._new()

@@ -165,3 +165,18 @@ def test_answers_that_exist(spark, tmp_path):
     assert S.existing_answer_file(spark, f"{d}/q.jsonl", f"{d}/q.json", 2).count() == 2
     (tmp_path / "q.json").unlink()
     assert sorted(json.loads(r.line)["q"] for r in S.existing_answer_file(spark, f"{d}/q.jsonl", f"{d}/q.json", 2).collect()) == [1, 2]
+
+
+def test_a_tick_moves_its_lines_and_runs_no_job(spark, tmp_path):
+    lines = spark.range(11).selectExpr("id AS n", "'line ' || id AS line")
+    client = J.FolderClient(lines, ["n"], f"file://{tmp_path}/service", lambda x: x, per_tick=3)
+    job = {"input_path": f"file://{tmp_path}/x.input.jsonl"}
+    spark.sparkContext.setJobGroup("ticks", "")
+    seen = [client.build(job) for _ in range(2)]
+    assert spark.sparkContext.statusTracker().getJobIdsForGroup("ticks") == []
+    assert sorted(r.value for r in spark.read.text(job["input_path"]).collect()) == sorted(f"line {i}" for i in range(6))
+    assert seen + [client.build(job) for _ in range(2)] == [None, None, None, 11]
+    assert sorted(r.value for r in spark.read.text(job["input_path"]).collect()) == sorted(f"line {i}" for i in range(11))
+    nothing = J.FolderClient(lines.limit(0), ["n"], f"file://{tmp_path}/none", lambda x: x)
+    assert nothing.build({"input_path": f"file://{tmp_path}/none.jsonl"}) == 0 and spark.read.text(f"file://{tmp_path}/none.jsonl").count() == 0
+    spark.sparkContext._jsc.clearJobGroup()
