@@ -79,18 +79,35 @@ def ask(df: DataFrame, send: Callable[[str], str], check: Callable[[object], obj
     return df.select(F.col(id_col).alias("id"), F.col(prompt_col).alias("prompt")).mapInPandas(run, f"id {kind}, value string, status string, attempts int").withColumnRenamed("id", id_col)
 
 
+#: Characters of texts that an embedder is given at once (one text at least).
+EMBED_CHARS = 1 << 20
+
+
+def _pieces(texts: list[str], most: int) -> Iterator[tuple[int, int]]:
+    start = size = 0
+    for at, text in enumerate(texts):
+        if at > start and size + len(text or "") > most:
+            yield start, at
+            start, size = at, 0
+        size += len(text or "")
+    if start < len(texts):
+        yield start, len(texts)
+
+
 def embed_texts(df: DataFrame, embed: Callable[[list[str]], list], retries: int = 2, timeout: float = 12.0, id_col: str = "id", text_col: str = "text") -> DataFrame:
-    """id, embedding, status: batches through an injected embedder, each with max(1, retries) + 1 tries."""
+    """id, embedding, status: batches of at most EMBED_CHARS through an injected embedder, each with max(1, retries) + 1 tries."""
     from ..plans.pipeline import with_error_handling, with_retry, with_timeout
 
     kind = df.schema[id_col].dataType.simpleString()
-    call = with_retry(with_timeout(with_error_handling(embed), timeout), max(1, retries))
+    call, most = with_retry(with_timeout(with_error_handling(embed), timeout), max(1, retries)), EMBED_CHARS
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            out = call(b["text"].tolist())
-            vectors = [list(map(float, v)) for v in out.value] if out.done else [None] * len(b)
-            yield pd.DataFrame({"id": b["id"], "embedding": vectors, "status": "done" if out.done else out.reason})
+            texts = b["text"].tolist()
+            for start, end in _pieces(texts, most):
+                out = call(texts[start:end])
+                vectors = [list(map(float, v)) for v in out.value] if out.done else [None] * (end - start)
+                yield pd.DataFrame({"id": b["id"].iloc[start:end].to_numpy(), "embedding": vectors, "status": "done" if out.done else out.reason})
 
     return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInPandas(run, f"id {kind}, embedding array<double>, status string").withColumnRenamed("id", id_col)
 

@@ -180,3 +180,9 @@ def test_a_tick_moves_its_lines_and_runs_no_job(spark, tmp_path):
     nothing = J.FolderClient(lines.limit(0), ["n"], f"file://{tmp_path}/none", lambda x: x)
     assert nothing.build({"input_path": f"file://{tmp_path}/none.jsonl"}) == 0 and spark.read.text(f"file://{tmp_path}/none.jsonl").count() == 0
     spark.sparkContext._jsc.clearJobGroup()
+
+
+def test_an_embedder_gets_a_bounded_piece_at_once(spark):
+    data = spark.range(7).selectExpr("id", "repeat('a', 400000) AS text").coalesce(1)
+    rows = L.embed_texts(data, lambda texts: [[float(sum(map(len, texts)))]] * len(texts)).collect()
+    assert sorted((r.id, r.status) for r in rows) == [(i, "done") for i in range(7)] and max(r.embedding[0] for r in rows) <= 1 << 20
